@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import knn
+from lodestone.llm import knn, mixing, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,9 +36,96 @@ SELECT * FROM ranked WHERE rank <= 5
 """
 
 
+def op4_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards whose row counts differ by one at most (the law ``rows``)."""
+    text = F.encode("text", "UTF-8")
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"), F.crc32(F.coalesce(text, F.encode(F.lit(""), "UTF-8"))).alias("text_crc32"),
+    )
+    placed = sharding.shard_rows(docs, ["doc_id", "size", "text_crc32"], 40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op9_golden_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes."""
+    return mixing.mixed_counts(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP9_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         md5(concat_ws('|', coalesce(doc_id::VARCHAR, 'null'), coalesce(source, 'null'), md5(coalesce(text, '')))) AS place
+  FROM documents
+), s0 AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS place_no FROM sized GROUP BY source
+), s1 AS (
+  SELECT *, CASE (place_no - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, 3 * source_size AS cap, (sum(source_size) OVER ())::BIGINT AS total FROM s0
+), s2 AS (
+  SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, place_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+    / (sum(weight) OVER (ORDER BY cap / weight, place_no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM s1
+), s3 AS (
+  SELECT *, CASE WHEN cap <= weight * level THEN cap::DOUBLE ELSE weight * max(CASE WHEN cap > weight * level THEN level END) OVER () END AS target FROM s2
+), s4 AS (
+  SELECT *, least(cap, round(target)::BIGINT) AS words, (source_size + 999) // 1000 AS n_blocks FROM s3
+), s5 AS (
+  SELECT *, CASE WHEN source_size > 0 THEN (words // source_size) * n_blocks + (words % source_size + 999) // 1000 ELSE 0 END AS slots FROM s4
+), src AS (
+  SELECT *, (sum(slots) OVER (ORDER BY place_no))::BIGINT AS up_to FROM s5
+), points AS (
+  SELECT slot, ((slot + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE) % 1.0::DOUBLE * (SELECT max(up_to) FROM src) AS x
+  FROM (SELECT unnest(range((SELECT coalesce(max(up_to), 0) FROM src)::BIGINT)) AS slot)
+), drawn AS (
+  SELECT slot, (SELECT min(place_no) FROM src WHERE up_to > x) AS place_no FROM points
+), ranked AS (
+  SELECT place_no, row_number() OVER (PARTITION BY place_no ORDER BY slot) - 1 AS rank FROM drawn
+), given AS (
+  SELECT place_no, count(*) AS n FROM ranked GROUP BY place_no
+), every AS (
+  SELECT place_no, rank FROM ranked
+  UNION ALL SELECT src.place_no, unnest(range(coalesce(n, 0)::BIGINT, slots::BIGINT)) FROM src LEFT JOIN given USING (place_no)
+), cut AS (
+  SELECT place_no, rank % n_blocks AS block, (rank % n_blocks) * 1000 AS lo,
+         least((rank % n_blocks) * 1000 + 1000, source_size, (rank % n_blocks) * 1000 + words - (rank // n_blocks) * source_size - (rank % n_blocks) * 1000) AS hi
+  FROM every JOIN src USING (place_no) WHERE rank < slots
+), at_words AS (
+  SELECT doc_id, size, source_size, target, place_no, row_number() OVER () AS row_no,
+         (sum(size) OVER (PARTITION BY place_no ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size)::BIGINT AS start
+  FROM sized JOIN src ON sized.source IS NOT DISTINCT FROM src.source
+), got AS (
+  SELECT row_no, sum(greatest(0, least(hi, start + size) - greatest(lo, start))) AS taken
+  FROM (SELECT *, unnest(range(start // 1000, (start + size - 1) // 1000 + 1)) AS block FROM at_words WHERE size > 0) JOIN cut USING (place_no, block)
+  GROUP BY row_no
+)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM at_words LEFT JOIN got USING (row_no)
+"""
+
+
+def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a record of normalised archives, read back by offset."""
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP10_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (
+  SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY 1
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first_id THEN first_id END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pivot_topk": op1_pivot_topk}
+    return {
+        "op1_pivot_topk": op1_pivot_topk,
+        "op4_hypergeometric_shards": op4_hypergeometric_shards,
+        "op9_golden_mix": op9_golden_mix,
+        "op10_warc_round_trip": op10_warc_round_trip,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pivot_topk": OP1_SQL}
+    return {"op1_pivot_topk": OP1_SQL, "op9_golden_mix": OP9_SQL, "op10_warc_round_trip": OP10_SQL}
