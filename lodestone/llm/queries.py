@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import knn, mixing, sharding, warc
+from lodestone.llm import bpe, knn, langid, licenses, mixing, neardup, repeats, sharding, tiff, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +37,17 @@ SELECT * FROM ranked WHERE rank <= 5
 """
 
 
+def op2_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text as a TIFF file, its pages read back."""
+    files = tiff.encode_texts(table(spark, sf_dir, "documents"))
+    return tiff.digest_files(files).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_pages")
+
+
+def op3_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op4_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards whose row counts differ by one at most (the law ``rows``)."""
     text = F.encode("text", "UTF-8")
@@ -46,6 +58,48 @@ def op4_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def held_out() -> Column:
+    return F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 4 == 2
+
+
+def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, learned from the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~held_out()))
+    return langid.identify(docs, model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op6_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every text without the 400-byte strings that repeat."""
+    rows = repeats.removed(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text as token ids, and these as bytes again."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ids = bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return bpe.digests(bpe.decode(ids, path, public_tokenizers.PATTERN))
+
+
+def op8_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical digest of every whole text, and the licence that it is, if any."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def license_sql() -> str:
+    spellings = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in licenses.SPELLINGS.items())
+    known = ", ".join(f"('{d}', '{n}')" for d, n in licenses.digest_list(licenses.KNOWN))
+    return rf"""
+WITH words AS (
+  SELECT doc_id, string_split(trim(regexp_replace(regexp_replace(lower(text), '{licenses.COPYRIGHT_LINE}', '', 'g'), '{licenses.OTHER}', ' ', 'g')), ' ') AS w FROM documents
+), digests AS (
+  SELECT doc_id, sha256(array_to_string(list_transform(w, lambda x: CASE x {spellings} ELSE x END), ' ')) AS canonical_sha256 FROM words
+)
+SELECT doc_id, canonical_sha256, license FROM digests LEFT JOIN (VALUES {known}) known(digest, license) ON canonical_sha256 = digest
+"""
+
+
 def op9_golden_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
     return mixing.mixed_counts(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -121,11 +175,17 @@ FROM p LEFT JOIN f USING (payload_digest)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pivot_topk": op1_pivot_topk,
+        "op2_tiff_pages": op2_tiff_pages,
+        "op3_probminhash": op3_probminhash,
         "op4_hypergeometric_shards": op4_hypergeometric_shards,
+        "op5_kneser_ney": op5_kneser_ney,
+        "op6_run_length_index": op6_run_length_index,
+        "op7_byte_bpe": op7_byte_bpe,
+        "op8_license_digests": op8_license_digests,
         "op9_golden_mix": op9_golden_mix,
         "op10_warc_round_trip": op10_warc_round_trip,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pivot_topk": OP1_SQL, "op9_golden_mix": OP9_SQL, "op10_warc_round_trip": OP10_SQL}
+    return {"op1_pivot_topk": OP1_SQL, "op8_license_digests": license_sql(), "op9_golden_mix": OP9_SQL, "op10_warc_round_trip": OP10_SQL}
