@@ -292,10 +292,13 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas) and decoded_sha256 of rows of ``decode``."""
+def digests(decoded: DataFrame, ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256, and if asked the ids, of rows of ``decode``."""
+    own = F.coalesce("ids", F.array().cast("array<int>"))
     return decoded.select(
-        "doc_id", F.size(F.coalesce("ids", F.array().cast("array<int>"))).cast("long").alias("n_tokens"),
-        F.sha2(F.encode(F.array_join(F.coalesce("ids", F.array().cast("array<int>")).cast("array<string>"), ","), "UTF-8"), 256).alias("ids_sha256"),
+        "doc_id",
+        *([own.alias("ids")] if ids else []),
+        F.size(own).cast("long").alias("n_tokens"),
+        F.sha2(F.encode(F.array_join(own.cast("array<string>"), ","), "UTF-8"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )

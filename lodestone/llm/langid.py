@@ -107,8 +107,8 @@ class Model:
 
     def __init__(self, languages: list[str], counts: list[Counts], letters: int):
         self.languages, self.uniform = languages, 1.0 / (letters + 2)
-        self.alpha = [merged([c.alpha[n] for c in counts], 0.0) for n in range(ORDER)]
-        self.gamma = [merged([c.gamma[n] for c in counts], 1.0) for n in range(ORDER)]
+        self.alpha = [merged([c.alpha[n] for c in counts], 0.0) for n in range(ORDER)] if counts else []
+        self.gamma = [merged([c.gamma[n] for c in counts], 1.0) for n in range(ORDER)] if counts else []
         self.level = np.full(len(languages), np.inf)
         self.forget()
 
@@ -134,12 +134,8 @@ class Model:
             own = at[fits]
             context = h[n - 1][own - 1] if n > 1 else np.zeros(len(own), np.uint64)
             p[fits] = found(self.alpha[n - 1], h[n][own]) + found(self.gamma[n - 1], context) * p[fits]
-        bits = np.zeros((len(runs), len(self.languages)))
-        np.add.at(bits, owner[at], -np.log2(p)) if len(runs) < 2 else None
-        if len(runs) >= 2:
-            starts = np.flatnonzero(np.concatenate([[True], owner[at][1:] != owner[at][:-1]]))
-            bits = np.add.reduceat(-np.log2(p), starts, axis=0)
-        return bits, np.bincount(owner[at], minlength=len(runs))
+        starts = np.flatnonzero(np.concatenate([[True], owner[at][1:] != owner[at][:-1]]))  # each run has a symbol: its end mark
+        return np.add.reduceat(-np.log2(p), starts, axis=0), np.bincount(owner[at], minlength=len(runs))
 
     def places(self, runs: list[str]) -> np.ndarray:
         if len(self.known) > CACHED_RUNS:
@@ -189,11 +185,11 @@ class Model:
         The score is the share of the language among all languages and a reject class at the calibrated level, each weighing
         2 to the minus bits for ``CONFIDENT`` symbols at most; a text is accepted if its language outweighs the reject class.
         """
+        if not self.languages:
+            none = np.zeros(len(column))
+            return [UNKNOWN] * len(column), none, none, np.zeros(len(column), bool)
         bits, symbols = self.texts(column)
         blank = symbols == 0
-        if not self.languages:
-            none = np.zeros(len(blank))
-            return [UNKNOWN] * len(blank), none, none, np.zeros(len(blank), bool)
         entropy = self.entropies(bits, symbols)
         best = entropy.argmin(1)
         low = entropy[np.arange(len(best)), best]
@@ -255,6 +251,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     language by code point. The model is broadcast: its size is bounded by the sample.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    kept = [f"kept_{i}" for i in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
@@ -262,9 +259,22 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 names, score, entropy, accepted = own.predict(part.column("runs"))
-                yield pa.record_batch([part.column("doc_id"), *[part.column(c) for c in keep], pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64()), pa.array(accepted)], names=["doc_id", *keep, "lang_pred", "score", "entropy", "accepted"])
+                found = [pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64()), pa.array(accepted)]
+                yield pa.record_batch([*[part.column(c) for c in ("doc_id", *kept)], *found], names=["doc_id", *kept, "lang_pred", "score", "entropy", "accepted"])
 
-    rows = keyed(docs, doc_id=id_col, text=text_col, **{c: c for c in keep}).select("doc_id", runs_of(F.col("text")).alias("runs"), *keep)
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), runs_of(F.col(f"`{text_col}`")).alias("runs"), *[F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept, strict=True)])
     kinds = dict(rows.dtypes)
-    ddl = ", ".join(f"{c} {kinds[c]}" for c in ("doc_id", *keep))
-    return rows.mapInArrow(run, f"{ddl}, lang_pred string, score double, entropy double, accepted boolean")
+    ddl = ", ".join(f"{c} {kinds[c]}" for c in ("doc_id", *kept))
+    out = rows.mapInArrow(run, f"{ddl}, lang_pred string, score double, entropy double, accepted boolean")
+    return out.withColumnsRenamed(dict(zip(kept, keep, strict=True)))
+
+
+def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that are not rejected, with all columns and ``lang_col`` set to the language found.
+
+    Learns from the labelled rows of ``docs`` itself. Extra columns named as those of ``identify`` are not allowed.
+    """
+    model = train(docs, id_col, text_col, lang_col)
+    found = identify(docs, model, id_col, text_col, keep=tuple(c for c in docs.columns if c not in (id_col, lang_col)))
+    found = found.where("accepted").withColumnsRenamed({"doc_id": id_col})
+    return found.withColumn(lang_col, F.col("lang_pred")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -6,7 +6,7 @@ names the bucket of that window, so equal windows meet. Neighbouring windows of
 
 1. Segments are listed as names, content hashes and places, without their bytes; equal ones are counted.
    Where a segment's content occurs twice, all its bytes repeat.
-2. Names under which different contents met go on with one copy of each content. Blocks of whole names are indexed: a run-length
+2. Names under which different contents met, or that occur twice in a segment, go on with one copy of each content. Blocks of whole names are indexed: a run-length
    Burrows-Wheeler transform with the suffix positions at the run ends. The longest match of any suffix with its neighbour follows
    from the samples, since within a run it shrinks by one byte per step (the irreducible values at run heads determine all), so
    the matching statistics stream from the run heads and the bytes under matches of ``LENGTH`` or more are marked.
@@ -21,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import keyed, stored
+from lodestone.llm.common import stored
 
 LENGTH = 400
 K = 32
@@ -69,10 +69,13 @@ def powers(n: int, base: int) -> np.ndarray:
     return np.multiply.accumulate(out) if n else out
 
 
-def segments(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(name, content hash, start, bytes) of the segments of one text of at least ``LENGTH`` bytes."""
-    h = window_hashes(data)
-    names = least_in_windows(h, LENGTH - K + 1)
+def segments(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(name, content hash, start, bytes, again) of the segments of one text of at least ``LENGTH`` bytes.
+
+    ``again`` tells that the string behind the name occurs more than once in the segment, so a window may repeat within it.
+    """
+    h, width = window_hashes(data), LENGTH - K + 1
+    names = least_in_windows(h, width)
     starts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
     ends = np.append(starts[1:], len(names))
     if (ends - starts).max() > LONGEST_SEGMENT:
@@ -83,7 +86,14 @@ def segments(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     sums = np.concatenate([[np.uint64(0)], np.cumsum(h * powers(len(h), POWER))])
     back = powers(len(h) + 1, pow(POWER, -1, 1 << 64))
     content = mixed((sums[ends + LENGTH - K] - sums[starts]) * back[starts])
-    return names[starts], content, starts, ends - starts + LENGTH - 1
+    own, views = names[starts], np.lib.stride_tricks.sliding_window_view(h, width)
+    again = ends - starts > width
+    for at in range(0, len(starts), 4096):
+        part = slice(at, at + 4096)
+        fresh = np.arange(width)[None, :] >= np.maximum(0, starts[part] + width - ends[part] + 1)[:, None]
+        count = (views[starts[part]] == own[part, None]).sum(1) + ((views[ends[part] - 1] == own[part, None]) & fresh).sum(1)
+        again[part] |= count > 1
+    return own, content, starts, ends - starts + LENGTH - 1, again
 
 
 # The index of a block
@@ -186,13 +196,13 @@ class RunIndex:
 
 # The steps over tables
 
-LISTED = "k1 long, k2 long, name long, content long, start int, bytes int"
+LISTED = "k1 long, k2 long, name long, content long, start int, bytes int, again boolean"
 MARKS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int32()), ("bytes", pa.int32())])
 
 
 def list_segments(rows: DataFrame) -> DataFrame:
     """The segments of (k1, k2, text) rows: name, content hash and place, without bytes."""
-    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("name", pa.int64()), ("content", pa.int64()), ("start", pa.int32()), ("bytes", pa.int32())])
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("name", pa.int64()), ("content", pa.int64()), ("start", pa.int32()), ("bytes", pa.int32()), ("again", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -200,8 +210,8 @@ def list_segments(rows: DataFrame) -> DataFrame:
         def flush() -> pa.RecordBatch:
             k1, k2, parts = zip(*held, strict=True)
             sizes = [len(p[0]) for p in parts]
-            name, content, start, length = (np.concatenate(c) for c in zip(*parts, strict=True))
-            return pa.record_batch([pa.array(np.repeat(np.array(k1, np.int64), sizes)), pa.array(np.repeat(np.array(k2, np.int64), sizes)), pa.array(name.view(np.int64)), pa.array(content.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(length.astype(np.int32))], schema=schema)
+            name, content, start, length, again = (np.concatenate(c) for c in zip(*parts, strict=True))
+            return pa.record_batch([pa.array(np.repeat(np.array(k1, np.int64), sizes)), pa.array(np.repeat(np.array(k2, np.int64), sizes)), pa.array(name.view(np.int64)), pa.array(content.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(again)], schema=schema)
 
         for batch in batches:
             for k1, k2, text in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("text"), strict=True):
@@ -225,7 +235,7 @@ def index_blocks(rows: DataFrame) -> DataFrame:
         held, size, name = [], 0, None
 
         def marks() -> Iterator[pa.RecordBatch]:
-            if len(held) > 1:
+            if held:
                 found = RunIndex([h[3] for h in held]).spans(LENGTH)
                 out = [(k1, k2, start + a, b - a) for (k1, k2, start, _), spans in zip(held, found, strict=True) for a, b in spans]
                 if out:
@@ -261,19 +271,19 @@ def list_windows(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long, k1 long, k2 long, start int")
 
 
-def with_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text, k1, k2): null texts as empty, and a 128-bit key of id and text. Rows equal in both share it, and their marks."""
-    rows = keyed(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
+def with_key(docs: DataFrame, id_col: str, text_col: str, extra: list[Column] | None = None) -> DataFrame:
+    """(doc_id, text, k1, k2) and the columns ``extra``: null texts as empty, and a 128-bit key of id and text. Rows equal in both share it, and their marks."""
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), *(extra or []))
     return rows.withColumn("k1", F.xxhash64("doc_id", "text")).withColumn("k2", F.xxhash64(F.lit(1), "text", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
 
 
 def marked(keyed_docs: DataFrame) -> DataFrame:
     """(k1, k2, start, bytes): spans whose union is all that repeats. See the module's description for the steps."""
     listed = stored(list_segments(keyed_docs.select("k1", "k2", "text")), "segments")
-    contents = stored(listed.groupBy("name", "content", "bytes").agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2", "start")).alias("first")), "contents")
+    contents = stored(listed.groupBy("name", "content", "bytes").agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2", "start")).alias("first"), F.max("again").alias("again")), "contents")
     repeated = listed.join(contents.where("copies > 1").select("name", "content", "bytes"), ["name", "content", "bytes"], "left_semi").select("k1", "k2", "start", "bytes")
 
-    per_name = contents.groupBy("name").agg(F.count("*").alias("kinds"), F.sum("bytes").alias("total")).where("kinds > 1")
+    per_name = contents.groupBy("name").agg(F.count("*").alias("kinds"), F.sum("bytes").alias("total"), F.max("again").alias("again")).where("kinds > 1 OR again").drop("again")
     asked = contents.join(per_name, "name").select("name", "first.k1", "first.k2", "first.start", "bytes", (F.col("total") > HOT_BYTES).alias("hot"))
     by_doc = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("name", "start", "bytes", "hot")).alias("asked"))
     own = keyed_docs.select("k1", "k2", F.encode("text", "UTF-8").alias("data")).join(by_doc, ["k1", "k2"])
@@ -288,39 +298,62 @@ def marked(keyed_docs: DataFrame) -> DataFrame:
     return repeated.unionByName(blocks).unionByName(single)
 
 
-def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, n_spans and kept (binary: the bytes that stay, joined).
+def cut(docs: DataFrame, id_col: str, text_col: str, keep: list[str], as_text: bool = False) -> DataFrame:
+    """Each row of ``docs`` as doc_id, n_bytes, n_removed, n_spans, kept, and the columns ``keep`` as kept_0, kept_1 and so on.
 
-    Bytes are those of UTF-8; a null text is empty. Matches never cross documents; strings are judged on the input. A
-    repeated row is another occurrence of its text. Cuts may fall within a character, so ``kept`` is binary.
+    ``kept`` is binary, or with ``as_text`` a string without the parts of characters that a cut went through.
     """
-    rows = with_key(docs, id_col, text_col)
-    marks = stored(marked(rows), "marks")
+    extra = [F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(keep)]
+    marks = stored(marked(with_key(docs, id_col, text_col)), "marks")
     by_doc = marks.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("start", "bytes"))).alias("marks"))
-    joined = rows.join(by_doc, ["k1", "k2"], "left").select("doc_id", "text", F.col("marks.start").alias("starts"), F.col("marks.bytes").alias("sizes"))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
+    rows = with_key(docs, id_col, text_col, extra)
+    names = [f"kept_{i}" for i in range(len(keep))]
+    joined = rows.join(by_doc, ["k1", "k2"], "left").select("doc_id", "text", F.col("marks.start").alias("starts"), F.col("marks.bytes").alias("sizes"), *names)
+    kinds = dict(joined.dtypes)
+    added = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.string() if as_text else pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, size = [], 0
-            for doc_id, text, starts, sizes in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("starts"), batch.column("sizes"), strict=True):
+            done = at = size = 0
+            out = []
+            for text, starts, sizes in zip(batch.column("text"), batch.column("starts"), batch.column("sizes"), strict=True):
                 data = text.as_buffer().to_pybytes()
-                spans = [] if not starts.is_valid else merged_spans(starts.values.to_numpy(), sizes.values.to_numpy())
-                kept, at = [], 0
-                for a, b in spans:
-                    kept.append(data[at:a])
-                    at = b
-                kept.append(data[at:])
-                left = b"".join(kept)
-                out.append((doc_id, len(data), len(data) - len(left), len(spans), left))
-                size += len(left)
-                if size >= BATCH_BYTES:
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
-                    out, size = [], 0
-            if out:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
-
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+                spans = merged_spans(starts.values.to_numpy(), sizes.values.to_numpy()) if starts.is_valid else []
+                edges = [0, *[x for span in spans for x in span], len(data)]
+                left = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+                out.append((len(data), len(data) - len(left), len(spans), left.decode("utf-8", "ignore") if as_text else left))
+                size, at = size + len(left), at + 1
+                if size >= BATCH_BYTES or at == batch.num_rows:
+                    columns = [pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), added, strict=True)]
+                    same = [batch.column(c).slice(done, at - done) for c in ("doc_id", *names)]
+                    yield pa.record_batch([*same, *columns], names=["doc_id", *names, *[n for n, _ in added]])
+                    done, size, out = at, 0, []
+
+    ddl = ", ".join(f"{c} {kinds[c]}" for c in ("doc_id", *names))
+    return joined.mapInArrow(run, f"{ddl}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
+
+
+def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_bytes, n_removed, n_spans and kept (binary: the bytes that stay, joined).
+
+    Bytes are those of UTF-8; a null text is empty. Matches never cross documents; strings are judged on the input. A
+    repeated row is another occurrence of its text. Cuts may fall within a character, so ``kept`` is binary. Empty tables
+    give no rows; texts below ``LENGTH`` bytes stay whole.
+    """
+    return cut(docs, id_col, text_col, [])
+
+
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+    """All rows of ``docs`` with what ``removed`` keeps as their text (characters that a cut went through go whole), and its length in ``chars_col``.
+
+    A text of which nothing stays is empty; null texts become empty.
+    """
+    keep = [c for c in docs.columns if c not in (id_col, text_col, chars_col)]
+    rows = cut(docs, id_col, text_col, keep, as_text=True)
+    values = {id_col: F.col("doc_id"), text_col: F.col("kept")} | {c: F.col(f"kept_{i}") for i, c in enumerate(keep)}
+    if chars_col in docs.columns:
+        values[chars_col] = F.length("kept").cast(docs.schema[chars_col].dataType)
+    return rows.select(*[values[c].alias(c) for c in docs.columns])
 
 
 def merged_spans(starts: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
