@@ -78,15 +78,15 @@ def schedule(sources: DataFrame) -> DataFrame:
     The cumulative shares are one row, a number per source; the points are made on the executors.
     """
     shares = sources.agg(F.array_sort(F.collect_list(F.struct("up_to", "place_no"))).alias("shares"), F.coalesce(F.max("up_to"), F.lit(0)).alias("points"))
-    chunks = shares.select("shares", "points", F.explode(F.expr(f"sequence(0L, points div {CHUNK})")).alias("chunk")).where("points > 0")
-    chunks = chunks.repartition("chunk")
-    points = chunks.select("shares", "points", "chunk", F.explode(F.expr(f"sequence(chunk * {CHUNK}, least(points, (chunk + 1) * {CHUNK}) - 1)")).alias("slot")).where("slot < points")
+    points = shares.select("points").first()[0]
+    slots = sources.sparkSession.range(0, points, 1, max(1, -(-points // CHUNK))).withColumnRenamed("id", "slot")
+    slots = slots.crossJoin(F.broadcast(shares))  # one row
     at = ((F.col("slot") + 0.5) * GOLDEN) % 1.0 * F.col("points")
     owner = F.expr("element_at(shares, size(filter(shares, s -> s.up_to <= at)) + 1).place_no")
-    drawn = points.withColumn("at", at).select("chunk", "slot", owner.alias("place_no"))
+    drawn = slots.withColumn("at", at).select(F.expr(f"slot div {CHUNK}").alias("chunk"), "slot", owner.alias("place_no"))
     tally = drawn.groupBy("place_no", "chunk").agg(F.count("*").alias("n"))
     before = tally.withColumn("before", F.sum("n").over(Window.partitionBy("place_no").orderBy("chunk")) - F.col("n")).select("place_no", "chunk", "before")
-    ranked = drawn.withColumn("k", F.row_number().over(Window.partitionBy("place_no", "chunk").orderBy("slot")) - 1).join(before, ["place_no", "chunk"])
+    ranked = drawn.withColumn("k", F.row_number().over(Window.partitionBy("place_no", "chunk").orderBy("slot")) - 1).join(before.hint("merge"), ["place_no", "chunk"])
     ranked = ranked.select("place_no", (F.col("before") + F.col("k")).alias("rank"), "slot")
     given = tally.groupBy("place_no").agg(F.sum("n").alias("given"))
     short = sources.join(given, "place_no", "left").withColumn("given", F.coalesce("given", F.lit(0))).where("given < slots")
@@ -108,7 +108,7 @@ def positioned(rows: DataFrame, sources: DataFrame) -> DataFrame:
     sums = named.groupBy("place_no", "bucket").agg(F.sum("size").alias("n"))
     sums = sums.withColumn("offset", F.sum("n").over(Window.partitionBy("place_no").orderBy("bucket")) - F.col("n")).select("place_no", "bucket", "offset")
     within = Window.partitionBy("place_no", "bucket").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    ran = named.withColumn("ran", F.sum("size").over(within)).withColumn("row_no", F.count("*").over(within)).join(sums, ["place_no", "bucket"])
+    ran = named.withColumn("ran", F.sum("size").over(within)).withColumn("row_no", F.count("*").over(within)).join(sums.hint("merge"), ["place_no", "bucket"])
     return ran.withColumn("start", F.col("offset") + F.col("ran") - F.col("size")).drop("offset", "ran")
 
 
@@ -116,7 +116,8 @@ def takes(rows: DataFrame, sources: DataFrame, slots: DataFrame) -> DataFrame:
     """Each row of ``positioned`` for each turn (pass) that takes any of its words, with ``words``; else once with turn null."""
     blocks = F.when(F.col("size") > 0, F.expr(f"sequence(start div {BLOCK}, (start + size - 1) div {BLOCK})"))
     pieces = positioned(rows, sources).withColumn("block", F.explode_outer(blocks))
-    met = pieces.join(slots.select("place_no", "block", "turn", "lo", "hi"), ["place_no", "block"], "left")
+    uses = slots.select("place_no", "block", "turn", "lo", "hi").hint("merge")  # it grows with the table: never broadcast
+    met = pieces.join(uses, ["place_no", "block"], "left")
     shared = F.greatest(F.lit(0), F.least("hi", F.col("start") + F.col("size")) - F.greatest("lo", "start"))
     met = met.withColumn("words", F.coalesce(F.when(F.col("hi").isNotNull(), shared), F.lit(0)))
     return met.groupBy("doc_id", "source", "size", "place", "source_size", "target", "place_no", "bucket", "row_no", "turn").agg(F.sum("words").alias("words"))
