@@ -38,7 +38,7 @@ def clause_segments(spark, sf_dir):
 
 CLAUSE_SQL = rf"""
 WITH t AS (SELECT doc_id, {CLAUSED.replace('as string', 'AS VARCHAR')} AS x FROM documents),
-m AS (SELECT doc_id, regexp_replace(regexp_replace(x, '{fixed.CLAUSE_START}', chr(1) || '\1\2', 'g'), '{fixed.CLAUSE_START}', chr(1) || '\1\2', 'g') AS x FROM t),
+m AS (SELECT doc_id, regexp_replace(regexp_replace(x, '{fixed.CLAUSE_START}', '\1' || chr(1) || '\2', 'g'), '{fixed.CLAUSE_START}', '\1' || chr(1) || '\2', 'g') AS x FROM t),
 s AS (SELECT doc_id, list_filter(list_transform(string_split(x, chr(1)), lambda p: trim(p, ' ')), lambda p: p <> '') AS s FROM m)
 SELECT doc_id, len(s)::BIGINT AS n, md5(array_to_string(s, '|')) AS digest FROM s
 """

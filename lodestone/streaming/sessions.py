@@ -47,7 +47,7 @@ def expired_sessions(events: DataFrame, key: str = "user_id", config: EngineConf
     ttl = config.workspace_ttl_seconds
 
     def row(session: int, created: float, touched: float, n: int) -> pd.DataFrame:
-        return pd.DataFrame({"session_id": [session], "created_at": [pd.Timestamp(created, unit="s")], "touched_at": [pd.Timestamp(touched, unit="s")], "touches": [n]})
+        return pd.DataFrame({"session_id": [session], "created_at": [pd.Timestamp(round(created * 1e6), unit="us")], "touched_at": [pd.Timestamp(round(touched * 1e6), unit="us")], "touches": [n]})
 
     def update(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
