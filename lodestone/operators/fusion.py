@@ -49,6 +49,6 @@ def fusion_stats(questions: DataFrame, fused: DataFrame) -> DataFrame:
 def ladder(trail: DataFrame) -> DataFrame:
     """The score trail as one line: ``D·rank S·rank → RRF score → CE score``, with dashes for gaps."""
     mark = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("—"))
-    rrf = F.coalesce(F.regexp_replace(F.format_string("%.4f", F.col("rrf_score")), "^0", ""), F.lit("—"))
-    ce = F.when(F.col("rerank_score").isNotNull(), F.concat(F.lit(" → CE "), F.when(F.col("rerank_score") >= 0, "+").otherwise(""), F.format_string("%.2f", F.col("rerank_score")))).otherwise("")
+    rrf = F.coalesce(F.regexp_replace(F.format_string("%.4f", F.round("rrf_score", 4)), "^0", ""), F.lit("—"))
+    ce = F.when(F.col("rerank_score").isNotNull(), F.concat(F.lit(" → CE "), F.when(F.col("rerank_score") >= 0, "+").otherwise(""), F.format_string("%.2f", F.round("rerank_score", 2)))).otherwise("")
     return trail.withColumn("ladder", F.concat(F.lit("D·"), mark("dense_rank"), F.lit(" S·"), mark("sparse_rank"), F.lit(" → RRF "), rrf, ce))

@@ -387,7 +387,7 @@ QUERIES = {
     "hybrid_stats": (hybrid_stats, ALL + "SELECT item_id AS qid, count(dense_rank) AS dense_hits, count(sparse_rank) AS sparse_hits, count_if(source = 'both')::BIGINT AS overlap, max(dense_score) AS best_dense FROM benchmark LEFT JOIN fused_all ON qid = item_id GROUP BY item_id"),
     "passthrough_topk": (passthrough_topk, ALL + "SELECT qid, chunk_id, rrf_score, fused_rank AS final_rank FROM fused WHERE fused_rank <= 5"),
     "rerank_lexical_topk": (rerank_lexical_topk, RANKED + "SELECT qid, chunk_id, rerank_score, final_rank, round(1 / (1 + exp(-rerank_score)), 6) AS probability FROM reranked"),
-    "score_ladder": (score_ladder, RANKED + "SELECT qid, chunk_id, 'D·' || coalesce(dense_rank::VARCHAR, '—') || ' S·' || coalesce(sparse_rank::VARCHAR, '—') || ' → RRF ' || regexp_replace(printf('%.4f', rrf_score), '^0', '') || ' → CE ' || CASE WHEN rerank_score >= 0 THEN '+' ELSE '' END || printf('%.2f', rerank_score) AS ladder FROM reranked"),
+    "score_ladder": (score_ladder, RANKED + "SELECT qid, chunk_id, 'D·' || coalesce(dense_rank::VARCHAR, '—') || ' S·' || coalesce(sparse_rank::VARCHAR, '—') || ' → RRF ' || regexp_replace(printf('%.4f', round(rrf_score, 4)), '^0', '') || ' → CE ' || CASE WHEN rerank_score >= 0 THEN '+' ELSE '' END || printf('%.2f', round(rerank_score, 2)) AS ladder FROM reranked"),
     "refusal_gate": (refusal_gate, GATED + "SELECT qid, (signal = '')::BIGINT AS covered, signal, best_score, best_dense FROM gated"),
     "near_misses": (near_misses, GATED + "SELECT r.qid, chunk_id, final_rank, rerank_score FROM reranked r JOIN gated g ON g.qid = r.qid WHERE signal <> '' AND final_rank <= 3"),
     "gate_signal_counts": (gate_signal_counts, GATED + "SELECT signal, count(*) AS n FROM gated GROUP BY signal"),
