@@ -8,8 +8,9 @@ with a chance of 2e-5. Candidates are verified by their exact J_P over all shing
 
 Texts with equal words are one node, so copies cost no pairs. In a bucket not all pairs are formed: every member meets the
 bucket's most connected member (the likely source of a family of variants); verified links are merged into
-components; then only members of one bucket that are still in different components meet. So no link between
-different components is lost to this saving, and a family of variants costs about one pair per member.
+components; then only members of one bucket that are still in different components meet, in blocks of bounded size. A pair
+is verified only if a byte of each register agrees in at least ``SKETCH`` of them, which a pair at the threshold fails with a
+chance of 1e-4. So a family of variants costs about one verified pair per member, and no link between components is skipped.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ BANDS, ROWS = 36, 6
 REGISTERS = BANDS * ROWS
 BATCH_WORDS = 400_000
 STAR_ROUNDS = 2
+SKETCH = 0.70
+BLOCK = 1024
 EMPTY_WORD = np.int64(np.uint64(xxhash.xxh64(b"", seed=42).intdigest()).view(np.int64))  # how Spark hashes the empty string
 
 
@@ -122,8 +125,8 @@ def word_batches(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray,
 
 
 def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, k1, k2, n_words, bands) of each row; (k1, k2) is a 128-bit key of the words in order."""
-    schema = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n_words", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    """(doc_id, k1, k2, n_words, bands, sketch) of each row; (k1, k2) is a 128-bit key of the words in order, sketch a byte per register."""
+    schema = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n_words", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,12 +138,14 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                     sums = np.zeros(to - at, np.uint64)
                     np.add.at(sums, owner, mixed(words ^ mixed((place + 1).astype(np.uint64) * np.uint64(salt))))
                     keys.append(mixed(sums + sizes.astype(np.uint64)).view(np.int64))
-                bands = band_keys(signatures(*shingles(words, sizes), to - at)).view(np.int64)
+                signature = signatures(*shingles(words, sizes), to - at)
+                bands = band_keys(signature).view(np.int64)
+                sketch = pa.array([x.tobytes() for x in (mixed(signature) & np.uint64(255)).astype(np.uint8)], pa.binary())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
-                yield pa.record_batch([batch.column("doc_id").slice(at, to - at), pa.array(keys[0]), pa.array(keys[1]), pa.array(sizes), lists], schema=schema)
+                yield pa.record_batch([batch.column("doc_id").slice(at, to - at), pa.array(keys[0]), pa.array(keys[1]), pa.array(sizes), lists, sketch], schema=schema)
 
     rows = keyed(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), word_hashes(F.col("text")).alias("words"))
-    return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, n_words long, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, n_words long, bands array<long>, sketch binary")
 
 
 def shingle_table(docs: DataFrame) -> DataFrame:
@@ -197,6 +202,74 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
+def agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The share of equal bytes of sketches, row by row."""
+    return (a == b).mean(axis=1)
+
+
+def sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), REGISTERS)
+
+
+PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def star_pairs(members: DataFrame, centres: DataFrame) -> DataFrame:
+    """Distinct (a, b) of (key, node, root, sketch) members and their bucket's centre (key, other, other_root, other_sketch) that may be links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                good = agree(sketches(batch.column("sketch")), sketches(batch.column("other_sketch"))) >= SKETCH
+                x, y = (batch.column(c).to_numpy()[good] for c in ("node", "other"))
+                yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], schema=PAIR)
+
+    met = members.join(centres, "key").where("root <> other_root").select("node", "other", "sketch", "other_sketch")
+    return met.mapInArrow(run, "a long, b long").distinct()
+
+
+def block_pairs(members: DataFrame) -> DataFrame:
+    """Distinct (a, b) of different roots in one bucket that may be links, for (key, node, root, sketch) members.
+
+    A bucket of more than ``BLOCK`` members is dealt to blocks by a hash, and a group compares two blocks, so groups are bounded.
+    """
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+    parts = F.ceil(F.col("n") / BLOCK)
+    dealt = members.join(sizes, "key").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node"), "parts"))
+    groups = dealt.withColumn("to", F.explode(F.expr("sequence(0L, parts - 1)")))
+    groups = groups.select("key", F.least("own", "to").alias("p"), F.greatest("own", "to").alias("q"), "node", "root", "sketch", "own")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held = None, []
+
+        def pairs() -> Iterator[pa.RecordBatch]:
+            node, root, own = (np.array(c) for c in list(zip(*held, strict=True))[:3])
+            lines = np.frombuffer(b"".join(h[3] for h in held), np.uint8).reshape(len(held), REGISTERS)
+            apart = name[1] != name[2]
+            out = []
+            for i in range(len(held)):
+                there = np.flatnonzero((root[i + 1 :] != root[i]) & ((own[i + 1 :] != own[i]) if apart else True)) + i + 1
+                there = there[agree(lines[there], lines[i]) >= SKETCH] if len(there) else there
+                if len(there):
+                    out.append(np.stack([np.minimum(node[there], node[i]), np.maximum(node[there], node[i])]))
+            if out:
+                a, b = np.concatenate(out, axis=1)
+                yield pa.record_batch([pa.array(a), pa.array(b)], schema=PAIR)
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "p", "q", "node", "root", "own", "sketch")), strict=True):
+                if row[:3] != name:
+                    if len(held) > 1:
+                        yield from pairs()
+                    name, held = row[:3], []
+                held.append(row[3:])
+        if len(held) > 1:
+            yield from pairs()
+
+    rows = groups.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, class_id (the least doc_id of its near-duplicate class), n_words.
 
@@ -206,55 +279,52 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     signed = stored(sign(docs, id_col, text_col), "signed")
     real = signed.where("n_words > 0 AND doc_id IS NOT NULL")
-    nodes = stored(real.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.count("*").alias("copies")), "nodes")
+    nodes = stored(real.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
     banded = nodes.select("node", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    live = banded.join(shared, "key")
-    reach = live.groupBy("node").agg(F.sum(F.col("n") - 1).alias("reach"))
-    live = stored(live.join(reach, "node").select("key", "node", "reach"), "live")
+    found = stored(banded.join(shared, "key"), "buckets")
+    reach = found.groupBy("node").agg(F.sum(F.col("n") - 1).alias("reach"))
+    live = stored(found.join(reach.join(nodes.select("node", "sketch").hint("merge"), "node"), "node").select("key", "node", "reach", "sketch"), "live")
 
-    needed = live.select("node").distinct()
+    # A shuffled join at every size: the ids of texts that share a bucket grow with the table.
+    needed = reach.select("node")
     texts = keyed(docs, node=id_col, text=text_col).select(F.col("node").cast("long"), "text").where("text IS NOT NULL")
-    table = stored(shingle_table(texts.join(needed, "node", "left_semi")), "shingles")
+    table = stored(shingle_table(texts.join(needed.hint("shuffle_hash"), "node", "left_semi")), "shingles")
 
     links = roots = tested = None
     for turn in range(STAR_ROUNDS + 1):
         if roots is None:
             open_ = live.withColumn("root", F.col("node"))
         else:
-            open_ = live.join(roots, "node", "left").select("key", "node", "reach", F.coalesce("root", "node").alias("root"))
+            open_ = live.join(roots, "node", "left").select("key", "node", "reach", "sketch", F.coalesce("root", "node").alias("root"))
             split = open_.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
             open_ = stored(open_.join(split, "key", "left_semi"), "open")
         if turn < STAR_ROUNDS:
-            centre = open_.groupBy("key").agg(F.max(F.struct("reach", -F.col("node"), "root")).alias("c")) if turn == 0 else second_centres(open_)
-            centre = centre.select("key", (-F.col("c.col2")).alias("other"), F.col("c.root").alias("other_root"))
-            met = open_.join(centre, "key")
+            centre = F.max(F.struct("reach", -F.col("node"), "root", "sketch")).alias("c")
+            centres = (open_ if turn == 0 else outside_top(open_)).groupBy("key").agg(centre)
+            met = star_pairs(open_, centres.select("key", (-F.col("c.col2")).alias("other"), F.col("c.root").alias("other_root"), F.col("c.sketch").alias("other_sketch")))
         else:
-            other = open_.select("key", F.col("node").alias("other"), F.col("root").alias("other_root"))
-            met = open_.join(other, "key").where("node < other")
-        met = met.where("root <> other_root").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+            met = block_pairs(open_.select("key", "node", "root", "sketch"))
         if tested is not None:
             met = met.join(tested, ["a", "b"], "left_anti")
         met = stored(met, "pairs")
-        found = stored(verified(met, table), "verified")
+        good = stored(verified(met, table), "verified")
         tested = met if tested is None else tested.unionByName(met)
-        links = found if links is None else links.unionByName(found)
-        if found.isEmpty() and turn == STAR_ROUNDS:
+        links = good if links is None else links.unionByName(good)
+        if turn == STAR_ROUNDS and good.isEmpty():
             break
         roots = components(links)
 
     member = nodes.select("k1", "k2", "node").join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("class_id"))
-    # Only what differs from "own class" is joined by key: copies, and nodes with links.
     out = signed.select("doc_id", "k1", "k2", "n_words").join(member, ["k1", "k2"], "left")
     real_row = (F.col("n_words") > 0) & F.col("doc_id").isNotNull()
     return out.select("doc_id", F.when(real_row, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), "n_words")
 
 
-def second_centres(open_: DataFrame) -> DataFrame:
-    """Per bucket the most connected member outside the component of the most connected one."""
+def outside_top(open_: DataFrame) -> DataFrame:
+    """Members of each bucket outside the component of its most connected member."""
     top = open_.groupBy("key").agg(F.max(F.struct("reach", -F.col("node"), "root")).alias("t")).select("key", F.col("t.root").alias("top_root"))
-    rest = open_.join(top, "key").where("root <> top_root")
-    return rest.groupBy("key").agg(F.max(F.struct("reach", -F.col("node"), "root")).alias("c"))
+    return open_.join(top, "key").where("root <> top_root").drop("top_root")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -82,8 +82,9 @@ def corpus(seed, family):
     return texts
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_classes_against_all_pairs(spark, seed):
+@pytest.mark.parametrize(("seed", "block"), [(1, 1024), (2, 5)])
+def test_classes_against_all_pairs(spark, monkeypatch, seed, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
     texts = corpus(seed, 60)
     random.Random(seed).shuffle(texts)
     rows = list(enumerate(texts)) + [(5000, None), (5001, None)]
