@@ -125,8 +125,11 @@ def word_batches(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray,
 
 
 def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, k1, k2, n_words, bands, sketch) of each row; (k1, k2) is a 128-bit key of the words in order, sketch a byte per register."""
-    schema = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n_words", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    """(doc_id, k1, k2, n_words, bands, sketch, tags) of each row.
+
+    (k1, k2) is a 128-bit key of the words in order, sketch a byte per register, tags the low four bytes per band.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n_words", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary()), ("tags", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,11 +144,12 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 signature = signatures(*shingles(words, sizes), to - at)
                 bands = band_keys(signature).view(np.int64)
                 sketch = pa.array([x.tobytes() for x in (mixed(signature) & np.uint64(255)).astype(np.uint8)], pa.binary())
+                tags = pa.array([x.tobytes() for x in bands.astype(np.uint32)], pa.binary())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
-                yield pa.record_batch([batch.column("doc_id").slice(at, to - at), pa.array(keys[0]), pa.array(keys[1]), pa.array(sizes), lists, sketch], schema=schema)
+                yield pa.record_batch([batch.column("doc_id").slice(at, to - at), pa.array(keys[0]), pa.array(keys[1]), pa.array(sizes), lists, sketch, tags], schema=schema)
 
     rows = keyed(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), word_hashes(F.col("text")).alias("words"))
-    return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, n_words long, bands array<long>, sketch binary")
+    return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, n_words long, bands array<long>, sketch binary, tags binary")
 
 
 def shingle_table(docs: DataFrame) -> DataFrame:
@@ -229,15 +233,15 @@ def star_pairs(members: DataFrame, centres: DataFrame) -> DataFrame:
 
 
 def block_pairs(members: DataFrame) -> DataFrame:
-    """Distinct (a, b) of different roots in one bucket that may be links, for (key, node, root, sketch) members.
+    """Distinct (a, b) of different roots in one bucket that may be links, for (key, node, root, sketch, tags) members.
 
-    A bucket of more than ``BLOCK`` members is dealt to blocks by a hash, and a group compares two blocks, so groups are bounded.
+    A pair that shares several buckets comes from the first of its shared bands only. A bucket of more than ``BLOCK`` members is dealt to blocks by a hash, and a group compares two blocks, so groups are bounded.
     """
     sizes = members.groupBy("key").agg(F.count("*").alias("n"))
     parts = F.ceil(F.col("n") / BLOCK)
     dealt = members.join(sizes, "key").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node"), "parts"))
     groups = dealt.withColumn("to", F.explode(F.expr("sequence(0L, parts - 1)")))
-    groups = groups.select("key", F.least("own", "to").alias("p"), F.greatest("own", "to").alias("q"), "node", "root", "sketch", "own")
+    groups = groups.select("key", F.least("own", "to").alias("p"), F.greatest("own", "to").alias("q"), "node", "root", "sketch", "tags", "own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, held = None, []
@@ -245,11 +249,14 @@ def block_pairs(members: DataFrame) -> DataFrame:
         def pairs() -> Iterator[pa.RecordBatch]:
             node, root, own = (np.array(c) for c in list(zip(*held, strict=True))[:3])
             lines = np.frombuffer(b"".join(h[3] for h in held), np.uint8).reshape(len(held), REGISTERS)
+            tags = np.frombuffer(b"".join(h[4] for h in held), np.uint32).reshape(len(held), BANDS)
+            band = int((tags[0] == np.uint32(name[0] & 0xFFFFFFFF)).argmax())
             apart = name[1] != name[2]
             out = []
             for i in range(len(held)):
                 there = np.flatnonzero((root[i + 1 :] != root[i]) & ((own[i + 1 :] != own[i]) if apart else True)) + i + 1
                 there = there[agree(lines[there], lines[i]) >= SKETCH] if len(there) else there
+                there = there[(tags[there] == tags[i]).argmax(axis=1) == band] if len(there) else there
                 if len(there):
                     out.append(np.stack([np.minimum(node[there], node[i]), np.maximum(node[there], node[i])]))
             if out:
@@ -257,7 +264,7 @@ def block_pairs(members: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array(a), pa.array(b)], schema=PAIR)
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "p", "q", "node", "root", "own", "sketch")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "p", "q", "node", "root", "own", "sketch", "tags")), strict=True):
                 if row[:3] != name:
                     if len(held) > 1:
                         yield from pairs()
@@ -279,12 +286,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     signed = stored(sign(docs, id_col, text_col), "signed")
     real = signed.where("n_words > 0 AND doc_id IS NOT NULL")
-    nodes = stored(real.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = stored(real.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("tags").alias("tags")), "nodes")
     banded = nodes.select("node", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     found = stored(banded.join(shared, "key"), "buckets")
     reach = found.groupBy("node").agg(F.sum(F.col("n") - 1).alias("reach"))
-    live = stored(found.join(reach.join(nodes.select("node", "sketch").hint("merge"), "node"), "node").select("key", "node", "reach", "sketch"), "live")
+    live = stored(found.join(reach.join(nodes.select("node", "sketch", "tags").hint("merge"), "node"), "node").select("key", "node", "reach", "sketch", "tags"), "live")
 
     # A shuffled join at every size: the ids of texts that share a bucket grow with the table.
     needed = reach.select("node")
@@ -296,7 +303,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         if roots is None:
             open_ = live.withColumn("root", F.col("node"))
         else:
-            open_ = live.join(roots, "node", "left").select("key", "node", "reach", "sketch", F.coalesce("root", "node").alias("root"))
+            open_ = live.join(roots, "node", "left").select("key", "node", "reach", "sketch", "tags", F.coalesce("root", "node").alias("root"))
             split = open_.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
             open_ = stored(open_.join(split, "key", "left_semi"), "open")
         if turn < STAR_ROUNDS:
@@ -304,7 +311,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             centres = (open_ if turn == 0 else outside_top(open_)).groupBy("key").agg(centre)
             met = star_pairs(open_, centres.select("key", (-F.col("c.col2")).alias("other"), F.col("c.root").alias("other_root"), F.col("c.sketch").alias("other_sketch")))
         else:
-            met = block_pairs(open_.select("key", "node", "root", "sketch"))
+            met = block_pairs(open_.select("key", "node", "root", "sketch", "tags"))
         if tested is not None:
             met = met.join(tested, ["a", "b"], "left_anti")
         met = stored(met, "pairs")
