@@ -244,3 +244,30 @@ def glyph_findings(glyphs: DataFrame) -> DataFrame:
     steps = rows.where("before IS NOT NULL").groupBy("char", "n").agg(F.max(F.struct((F.col("r") - F.col("before")).alias("gap"), F.col("before").alias("low"), F.col("r").alias("high"), F.col("i").alias("i"))).alias("m"))
     out = steps.select("char", (F.col("m.i") - 1).cast("long").alias("narrow_n"), "m.low", (F.col("n") - F.col("m.i") + 1).cast("long").alias("wide_n"), "m.high", "m.gap", "n")
     return out.where((F.col("n") >= fixed.GLYPH_SAMPLES) & (F.col("gap") >= fixed.GLYPH_GAP) & (F.col("narrow_n") >= fixed.GLYPH_CLUSTER) & (F.col("wide_n") >= fixed.GLYPH_CLUSTER)).drop("n")
+
+
+def parse_diagnostics(lines: DataFrame, found: DataFrame, entries: DataFrame, differences: DataFrame) -> DataFrame:
+    """Per document: lines dropped, contents pages and entries, parts, duplicate splits, inferred headings, differences, and whether the contents check passed."""
+    layout = body_layout(lines)
+    pages = contents_pages(lines, layout)
+    body = lines.join(pages, ["doc_id", "page"], "left_anti")
+    dropped = classified(reading_order(body), layout).where("kind IN ('furniture', 'noise')").groupBy("doc_id").agg(F.count("*").alias("furniture_lines_dropped"))
+    parts = found.groupBy("doc_id").agg(F.count_distinct("part_id").alias("parts_detected"), F.count_if("inferred").alias("inferred_headings"), F.count("*").alias("articles"))
+    # A part that begins with the title of the one before it was opened by a repeated number.
+    one = found.select("doc_id", "part_ordinal", "part_title").distinct()
+    before = F.lag("part_title").over(Window.partitionBy("doc_id").orderBy("part_ordinal"))
+    splits = one.withColumn("again", F.coalesce(before == F.col("part_title"), F.lit(False))).groupBy("doc_id").agg(F.count_if("again").alias("duplicate_article_splits"))
+    skipped = pages.groupBy("doc_id").agg(F.count("*").alias("contents_pages_skipped"))
+    seen = entries.groupBy("doc_id").agg(F.count_distinct("page", "article_no").alias("contents_entries_seen"))
+    wrong = differences.groupBy("doc_id").agg(F.count_if(F.col("problem") == "missing in body").alias("contents_missing_in_body"), F.count_if(F.col("problem") == "extra in body").alias("contents_extra_in_body"))
+    out = lines.select("doc_id").distinct()
+    for part in (dropped, parts, splits, skipped, seen, wrong):
+        out = out.join(part, "doc_id", "left")
+    out = out.na.fill(0)
+    return out.withColumn("contents_check_passed", (F.col("contents_missing_in_body") == 0) & (F.col("contents_extra_in_body") == 0))
+
+
+def require_articles(diagnostics: DataFrame) -> DataFrame:
+    """``diagnostics``, with a failure at run time for a document that gave no article: its layout no longer fits the rules."""
+    some = F.col("articles") > 0
+    return diagnostics.where(F.when(some, True).otherwise(F.raise_error(F.concat(F.lit("no articles were extracted from "), F.col("doc_id").cast("string"))).cast("boolean")))

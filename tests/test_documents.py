@@ -152,6 +152,11 @@ def test_articles_of_a_small_law(spark):
     titled, differences = layout.reconciled(spark.createDataFrame(found), entries)
     assert {(r["part_ordinal"], r["article_no"]): r["title"] for r in titled.collect()}[1, 1] == "Definitions of terms"
     assert [tuple(r)[1:] for r in differences.collect()] == [(1, 4, "missing in body")]
+    d = layout.require_articles(layout.parse_diagnostics(lines, spark.createDataFrame(found), entries, differences)).first()
+    assert (d["articles"], d["parts_detected"], d["inferred_headings"], d["duplicate_article_splits"], d["contents_pages_skipped"], d["contents_entries_seen"], d["contents_missing_in_body"], d["contents_check_passed"]) == (5, 3, 1, 1, 1, 4, 1, False)
+    assert d["furniture_lines_dropped"] == 3
+    with pytest.raises(Exception, match="no articles were extracted"):
+        layout.require_articles(spark.createDataFrame([("e", 0)], "doc_id string, articles long")).collect()
     carried = layout.with_sections(titled).orderBy("part_ordinal", "article_no").collect()
     assert [r["section"] for r in carried] == ["Definitions of terms", "Scope", "Scope", "", "Cabinet Resolution No. (1) of 2022"]
 
