@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
 
@@ -14,8 +16,12 @@ _own: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; where that is unset (tests), a folder made once per application."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
+    if found and "://" in found:
         return found.rstrip("/")
+    if found:  # a path without a scheme belongs to the default file system
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        return re.sub("^file:/+", "file:///", fs.makeQualified(path).toString()).rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="lodestone-")
@@ -34,6 +40,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+MAX_BROADCAST_ROWS = 50_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A hint to broadcast a table of a row per source or language, given only when its counted rows prove it small."""
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on between tasks, beside the next stage's workers."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def keyed(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under fixed names, so extra or clashing columns of the input can't interfere."""
     return df.select(*(F.col(f"`{v}`").alias(k) for k, v in columns.items()))

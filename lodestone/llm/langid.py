@@ -13,14 +13,13 @@ The models learn from a bounded sample: whole texts of the smallest id hashes, u
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import keyed
+from lodestone.llm.common import give_back, keyed, small
 
 ORDER = 5
 SAMPLE_CHARS = 600_000
@@ -29,8 +28,9 @@ CALIBRATION = 5  # every so many sampled texts go to the calibration instead of
 ROOM = 1.0
 SHORT_ROOM = 12.0
 CONFIDENT = 40  # symbols beyond which evidence no longer adds up: symbols of a text are not independent
-CACHED_RUNS = 400_000
-SYMBOLS_AT_ONCE = 1 << 20
+CACHED_RUNS = 250_000
+SYMBOLS_AT_ONCE = 1 << 17
+ROWS_AT_ONCE = 1024
 UNKNOWN = "und"
 START, END = 2, 3
 
@@ -208,12 +208,20 @@ def found(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
 
 
 def sample(docs: DataFrame) -> DataFrame:
-    """Of (doc_id, text, lang) with all three, the bounded sample per language, as (lang, n, runs)."""
+    """Of (doc_id, text, lang) with all three, the bounded sample per language, as (lang, n, runs).
+
+    Ids are chosen without their texts: a hash threshold per language leaves a few times ``SAMPLE_DOCS`` of them, a window picks the
+    smallest hashes. Only then are texts read, by a broadcast of the chosen ids: ``SAMPLE_DOCS`` per language at most.
+    """
     rows = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    rows = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_DOCS)
-    rows = rows.withColumn("before", F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.length("text"))
-    return rows.where(F.col("before") < SAMPLE_CHARS).select("lang", "n", runs_of(F.col("text")).alias("runs"))
+    ids = rows.select("doc_id", "lang", F.length("text").alias("chars"), F.xxhash64("doc_id").alias("h"))
+    totals = ids.groupBy("lang").agg(F.count("*").alias("total"))
+    near = ids.join(small(totals), "lang").where(F.pmod("h", F.lit(1 << 30)) * F.col("total") < F.lit(float(4 * SAMPLE_DOCS * (1 << 30))))
+    order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h", "doc_id")
+    near = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_DOCS)
+    near = near.withColumn("before", F.sum("chars").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("chars"))
+    chosen = near.where(F.col("before") < SAMPLE_CHARS).groupBy("lang", "doc_id").agg(F.min("n").alias("n"))
+    return rows.join(F.broadcast(chosen), ["lang", "doc_id"]).select("lang", "n", runs_of(F.col("text")).alias("runs"))
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -244,37 +252,40 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return model
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, lang_pred, score, entropy, accepted, and the columns ``keep``) of each row; only the text counts.
+FOUND = "struct<lang_pred:string,score:double,entropy:double,accepted:boolean>"
 
-    A null text, or one without letters, is ``und`` with score 0, and so is every text if nothing was learned. Ties go to the first
-    language by code point. The model is broadcast: its size is bounded by the sample.
+
+def identified(docs: DataFrame, model: Model, text_col: str, name: str) -> DataFrame:
+    """``docs`` with the struct ``name`` of lang_pred, score, entropy and accepted.
+
+    Only the runs of letters go to Python; the other columns wait in the JVM. The model is broadcast: its size is bounded by the sample.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [f"kept_{i}" for i in range(len(keep))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                names, score, entropy, accepted = own.predict(part.column("runs"))
-                found = [pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64()), pa.array(accepted)]
-                yield pa.record_batch([*[part.column(c) for c in ("doc_id", *kept)], *found], names=["doc_id", *kept, "lang_pred", "score", "entropy", "accepted"])
+    def run(runs: pa.Array) -> pa.Array:
+        parts = [sent.value.predict(runs.slice(at, ROWS_AT_ONCE)) for at in range(0, len(runs), ROWS_AT_ONCE)]
+        give_back()
+        names = pa.array([n for p in parts for n in p[0]], pa.string())
+        score, entropy, accepted = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0) for i in (1, 2, 3))
+        return pa.StructArray.from_arrays([names, pa.array(score, pa.float64()), pa.array(entropy, pa.float64()), pa.array(accepted, pa.bool_())], ["lang_pred", "score", "entropy", "accepted"])
 
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), runs_of(F.col(f"`{text_col}`")).alias("runs"), *[F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept, strict=True)])
-    kinds = dict(rows.dtypes)
-    ddl = ", ".join(f"{c} {kinds[c]}" for c in ("doc_id", *kept))
-    out = rows.mapInArrow(run, f"{ddl}, lang_pred string, score double, entropy double, accepted boolean")
-    return out.withColumnsRenamed(dict(zip(kept, keep, strict=True)))
+    predict = F.arrow_udf(run, FOUND).asNondeterministic()  # so that no filter on its result makes it run twice
+    return docs.withColumn(name, predict(runs_of(F.col(f"`{text_col}`"))))
+
+
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, lang_pred, score, entropy, accepted) of each row; only the text counts, other columns are ignored.
+
+    A null text, or one without letters, is ``und`` with score 0, and so is every text if nothing was learned. Ties go to the first
+    language by code point. Rows repeat as they do in the input.
+    """
+    return identified(keyed(docs, doc_id=id_col, text=text_col), model, "text", "found").select("doc_id", "found.*")
 
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that are not rejected, with all columns and ``lang_col`` set to the language found.
 
-    Learns from the labelled rows of ``docs`` itself. Extra columns named as those of ``identify`` are not allowed.
+    Learns from the labelled rows of ``docs`` itself.
     """
-    model = train(docs, id_col, text_col, lang_col)
-    found = identify(docs, model, id_col, text_col, keep=tuple(c for c in docs.columns if c not in (id_col, lang_col)))
-    found = found.where("accepted").withColumnsRenamed({"doc_id": id_col})
-    return found.withColumn(lang_col, F.col("lang_pred")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = identified(docs, train(docs, id_col, text_col, lang_col), text_col, "_lang_found").where("_lang_found.accepted")
+    return found.select(*[F.col("_lang_found.lang_pred").alias(c) if c == lang_col else F.col(f"`{c}`") for c in docs.columns])

@@ -15,13 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import keyed, stored
+from lodestone.llm.common import keyed, small, stored
 
 BLOCK = 1000
 GOLDEN = 0.6180339887498949
 CHUNK = 65_536
 MAX_REPEAT = 3
-MAX_BROADCAST_ROWS = 50_000
 WEIGHTS = (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -32,11 +31,6 @@ def place_of(doc_id: Column, source: Column, text: Column) -> Column:
     return F.md5(F.concat_ws("|", F.coalesce(doc_id.cast("string"), absent), F.coalesce(source, absent), F.md5(F.coalesce(text, F.lit("")))))
 
 
-def small(df: DataFrame) -> DataFrame:
-    """A hint to broadcast a table of a row per source, given only when its counted rows prove it small."""
-    return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
-
-
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, source, size, place): the words of each text (null: 0) and its place in its source's random order."""
     rows = keyed(docs, doc_id=id_col, text=text_col, source=source_col)

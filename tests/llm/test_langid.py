@@ -80,6 +80,8 @@ def test_nulls_blanks_and_rejection(spark):
     want = [(1, "en", True), (1, "en", True), (2, "de", True), (3, "und", False), (4, "und", False), (5, "und", False), (7, "en", True), (None, "en", True)]
     assert [x for x in got if x[0] != 6] == sorted(want, key=repr) and [x[2] for x in got if x[0] == 6] == [False]
     assert all(0 <= r["score"] <= 1 and (r["lang_pred"] == "und") == (r["score"] == 0) for r in langid.identify(asked, model).collect())
+    kept = langid.accepted(train)  # which has columns named score and runs
+    assert kept.columns == train.columns and {r["score"] for r in kept.collect()} == {0.5} and {r["lang"] for r in kept.collect()} == {"de", "en"}
     nothing = langid.train(train.limit(0))
     assert {r["lang_pred"] for r in langid.identify(asked, nothing).collect()} == {"und"}
     assert langid.identify(asked.limit(0), model).count() == 0
