@@ -40,9 +40,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens and the digests of the ids and of the bytes they decode to."""
-    path = public_tokenizers.path(TOKENIZER)
-    decoded = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
-    return bpe.digests(decoded, ids=True)
+    return bpe.digests(bpe.round_trip(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN), ids=True)
 
 
 STAGES = [

@@ -22,14 +22,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import keyed
+from lodestone.llm.common import give_back, keyed
 
 NONE = np.int32(2**31 - 1)
 LONG = 1024
 BUCKETS = (4, 6, 8, 12, 16, 24, 32, 64, 128, 256, 512, LONG)
-MATRIX_CELLS = 1 << 21
-PIECES_AT_ONCE = 300_000
-CACHED_PIECES = 400_000
+MATRIX_CELLS = 1 << 20
+PIECES_AT_ONCE = 120_000
+CACHED_PIECES = 300_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -94,9 +94,9 @@ class Tokenizer:
 
     # Merging
 
-    def merge_matrix(self, ids: np.ndarray) -> list[np.ndarray]:
-        """Merge rows of byte ids, padded with -1 on the right, to the end."""
-        out: list = [None] * len(ids)
+    def merge_matrix(self, ids: np.ndarray) -> np.ndarray:
+        """Merge rows of byte ids, padded with -1 on the right, to the end; the result is padded alike."""
+        out = np.full(ids.shape, -1, np.int32)
         rows = np.arange(len(ids))
         ranks = self.pairs.lookup(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(ids), -1)
         while len(rows):
@@ -104,8 +104,7 @@ class Tokenizer:
             least = ranks[np.arange(len(rows)), at] if ranks.shape[1] else np.full(len(rows), NONE)
             done = least == NONE
             if done.any():
-                for i, row in zip(rows[done], ids[done], strict=True):
-                    out[i] = row[row >= 0]
+                out[rows[done], : ids.shape[1]] = ids[done]
                 on = ~done
                 rows, ids, ranks, at, least = rows[on], ids[on], ranks[on], at[on], least[on]
                 if not len(rows):
@@ -143,29 +142,33 @@ class Tokenizer:
                 heapq.heappush(heap, (x, before[i]))
         return np.array([x for x in ids if x >= 0], np.int32)
 
-    def merge(self, pieces: list[bytes]) -> list[np.ndarray]:
-        out: list = [None] * len(pieces)
+    def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all pieces, start and number of each piece's ids among them); a piece that is a token stays whole."""
         lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        whole = [self.ranks.get(p) for p in pieces]
-        for i, r in enumerate(whole):
-            if r is not None:
-                out[i] = np.array([r], np.int32)
-            elif lens[i] > LONG:
-                out[i] = self.merge_long(pieces[i])
-        left = np.array([r is None for r in whole], bool) & (lens <= LONG)
+        whole = np.fromiter((self.ranks.get(p, -1) for p in pieces), np.int64, len(pieces))
+        start, count, used = np.zeros(len(pieces), np.int64), np.ones(len(pieces), np.int64), int((whole >= 0).sum())
+        flat = [whole[whole >= 0].astype(np.int32)]
+        start[whole >= 0] = np.arange(used)
+        for i in np.flatnonzero((whole < 0) & (lens > LONG)):
+            flat.append(self.merge_long(pieces[i]))
+            start[i], count[i] = used, len(flat[-1])
+            used += len(flat[-1])
         low = 0
         for width in BUCKETS:
-            which = np.flatnonzero(left & (lens > low) & (lens <= width))
+            which = np.flatnonzero((whole < 0) & (lens > low) & (lens <= width) & (lens <= LONG))
             low = width
             for at in range(0, len(which), step := max(1, MATRIX_CELLS // width)):
                 part = which[at : at + step]
                 wide = int(lens[part].max())
-                held = b"".join(pieces[i] for i in part)
                 ids = np.full((len(part), wide), -1, np.int32)
-                ids[np.arange(wide)[None, :] < lens[part][:, None]] = self.byte_ids[np.frombuffer(held, np.uint8)]
-                for i, row in zip(part, self.merge_matrix(ids), strict=True):
-                    out[i] = row
-        return out
+                ids[np.arange(wide)[None, :] < lens[part][:, None]] = self.byte_ids[np.frombuffer(b"".join(pieces[i] for i in part), np.uint8)]
+                merged = self.merge_matrix(ids)
+                real = merged >= 0
+                flat.append(merged[real])
+                count[part] = real.sum(1)
+                start[part] = used + np.cumsum(count[part]) - count[part]
+                used += len(flat[-1])
+        return np.concatenate(flat), start, count
 
     # Pieces of texts
 
@@ -175,16 +178,15 @@ class Tokenizer:
             self.forget()
         new = [p for p in pieces if p not in self.known]
         if new:
-            rows = self.merge([p.encode("utf-8", "surrogatepass") for p in new])
-            sizes, base, n = np.fromiter(map(len, rows), np.int64, len(rows)), len(self.known), len(self.known) + len(rows)
-            total = self.used + int(sizes.sum())
+            flat, start, count = self.merge([p.encode("utf-8", "surrogatepass") for p in new])
+            base, n, total = len(self.known), len(self.known) + len(new), self.used + len(flat)
             if total > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros(max(total, 2 * len(self.flat)) - len(self.flat), np.int32)])
             if n > len(self.start):
                 more = np.zeros(max(n, 2 * len(self.start)) - len(self.start), np.int64)
                 self.start, self.length = np.concatenate([self.start, more]), np.concatenate([self.length, more])
-            self.flat[self.used : total] = np.concatenate(rows)
-            self.start[base:n], self.length[base:n] = self.used + np.cumsum(sizes) - sizes, sizes
+            self.flat[self.used : total] = flat
+            self.start[base:n], self.length[base:n] = self.used + start, count
             self.used = total
             self.known.update(zip(new, range(base, n), strict=True))
         return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
@@ -253,6 +255,28 @@ def batches_of(rows: Iterator[tuple], size_of, limit: int) -> Iterator[list[tupl
         yield held
 
 
+def id_batches(own: Tokenizer, batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(doc_ids, ids of their texts, number of ids of each text) for parts of a batch of (doc_id, text)."""
+    texts, at = (x.as_py() or "" for x in batch.column("text")), 0
+    for part in batches_of(own.encode(texts), len, 1 << 20):
+        yield batch.column("doc_id").slice(at, len(part)), np.concatenate(part), np.fromiter(map(len, part), np.int64, len(part))
+        at += len(part)
+
+
+def lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
+
+
+def decoded_bytes(own: Tokenizer, ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The bytes that each run of ``sizes`` ids stands for."""
+    ends = np.concatenate([[0], np.cumsum(own.token_len[ids])])[np.concatenate([[0], np.cumsum(sizes)])]
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(own.decode(ids).tobytes())])
+
+
+def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return keyed(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids) of each row: the ids of its text without special tokens, in order; null and empty texts have none.
 
@@ -262,19 +286,15 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path, pattern)
         for batch in batches:
-            ids, texts = batch.column("doc_id"), (x or "" for x in map(pa.StringScalar.as_py, batch.column("text")))
-            at = 0
-            for part in batches_of(own.encode(texts), len, 1 << 20):
-                flat, sizes = np.concatenate(part), np.fromiter(map(len, part), np.int64, len(part))
-                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                yield pa.record_batch([ids.slice(at, len(part)), pa.ListArray.from_arrays(offsets, pa.array(flat))], names=["doc_id", "ids"])
-                at += len(part)
+            for doc_id, ids, sizes in id_batches(own, batch):
+                yield pa.record_batch([doc_id, lists(ids, sizes)], names=["doc_id", "ids"])
+        give_back()
 
-    return keyed(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, ids, decoded): the bytes that the ids stand for. Null ids decode to nothing."""
+    """(doc_id, ids, decoded) of (doc_id, ids): the bytes that the ids stand for. Null ids decode to nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path, pattern)
@@ -282,16 +302,27 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             column = batch.column("ids")
             for at in range(0, len(column), 512):
                 part = column.slice(at, 512)
-                flat = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                sizes = np.array([0 if x is None else x for x in part.value_lengths().to_pylist()], np.int64)
-                lens = np.concatenate([[0], np.cumsum(own.token_len[flat])])[np.concatenate([[0], np.cumsum(sizes)])]
-                data = pa.py_buffer(own.decode(flat).tobytes())
-                out = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(lens.astype(np.int32).tobytes()), data])
+                sizes = np.array([x or 0 for x in part.value_lengths().to_pylist()], np.int64)
+                out = decoded_bytes(own, part.flatten().to_numpy(zero_copy_only=False).astype(np.int64), sizes)
                 yield pa.record_batch([batch.column("doc_id").slice(at, 512), part, out], names=["doc_id", "ids", "decoded"])
+        give_back()
 
     return encoded.mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids, decoded): ``encode`` and ``decode`` of the ids in one pass, so that a task needs one Python worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = tokenizer(path, pattern)
+        for batch in batches:
+            for doc_id, ids, sizes in id_batches(own, batch):
+                yield pa.record_batch([doc_id, lists(ids, sizes), decoded_bytes(own, ids.astype(np.int64), sizes)], names=["doc_id", "ids", "decoded"])
+        give_back()
+
+    return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+
+
 def digests(decoded: DataFrame, ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256, and if asked the ids, of rows of ``decode``."""
     own = F.coalesce("ids", F.array().cast("array<int>"))

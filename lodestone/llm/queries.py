@@ -78,8 +78,7 @@ def op6_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text as token ids, and these as bytes again."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    return bpe.digests(bpe.decode(ids, path, public_tokenizers.PATTERN))
+    return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN))
 
 
 def op8_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
