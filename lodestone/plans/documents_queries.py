@@ -285,7 +285,19 @@ m AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY r - b DESC, b DESC, r
 SELECT c AS char, i - 1 AS narrow_n, round(b, 6) AS low, n - i + 1 AS wide_n, round(r, 6) AS high, round(r - b, 6) AS gap FROM m WHERE k = 1 AND n >= 8 AND r - b >= 0.25 AND i - 1 >= 3 AND n - i + 1 >= 3
 """
 
+def article_segments(spark, sf_dir):
+    """Lines of documents as laid-out lines, with article headings and titles planted by position; segmented into articles."""
+    lines = table(spark, sf_dir, "documents").where("length(text) > 0").select(F.col("doc_id").cast("string").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    heading = F.col("i") % 4 == 0
+    said = F.when(heading, F.concat(F.lit("Article ("), (F.col("i") % 20 / 4 + 1).cast("int").cast("string"), F.lit(")"))).when(F.col("i") % 4 == 1, F.concat(F.lit("►Title "), F.col("i").cast("string"))).otherwise(F.col("line"))
+    laid = lines.select("doc_id", F.lit(1).alias("page"), F.lit(600.0).alias("page_width"), F.col("i").alias("block_id"), said.alias("text"), F.lit(50.0).alias("x0"), (F.col("i") * 12.0).alias("y0"), F.when(F.col("i") % 4 < 2, 200.0).otherwise(550.0).alias("x1"), F.lit(10.0).alias("size"), (F.col("i") % 4 < 2).alias("bold"))
+    titles = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("Law No. (5) of 2020").alias("doc_title"))
+    found = layout.articles(laid.where("trim(text) <> ''"), titles)
+    return longs(found.select("doc_id", "part_id", "article_no", "title", F.length("text").alias("chars")))
+
+
 QUERIES = {
+    "article_segments": (article_segments, None),
     "sentence_split_verify": sentence_split(fixed.CLAIM_MARKS),
     "sentence_split_chunk": sentence_split(fixed.CHUNK_MARKS),
     "sentence_split_extract": (sentence_split_extract, r"SELECT doc_id, len(s)::BIGINT AS n, md5(array_to_string(s, '|')) AS digest FROM (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.;])\s+([A-Z0-9(])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x, ' ') <> '') AS s FROM documents)"),

@@ -351,6 +351,21 @@ outcomes AS (
 """.replace("LEFT JOIN found USING (config, qid)", "LEFT JOIN found ON found.config = c.config AND found.qid = item_id").replace("(SELECT unnest(['with_rerank', 'no_rerank']) AS config), benchmark", "(SELECT unnest(['with_rerank', 'no_rerank']) AS config) c CROSS JOIN benchmark").replace("SELECT config, item_id AS qid, (gold", "SELECT c.config, item_id AS qid, (gold").replace("config = 'with_rerank' AND signal", "c.config = 'with_rerank' AND signal")
 
 
+def quality_gate(spark, sf_dir):
+    scored = evaluate.metrics(_outcomes(spark, sf_dir)).where("config = 'with_rerank'")
+    return longs(_rounded(evaluate.quality_gate(scored)))
+
+
+def highlight_sentences(spark, sf_dir):
+    """Each document against an answer made of its first 300 characters."""
+    pairs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("passage"), F.substring("text", 1, 300).alias("answer"))
+    return longs(answer.highlights(pairs, ["doc_id"]))
+
+
+def citation_offsets(spark, sf_dir):
+    return verify.citation_offsets(_cited(spark, sf_dir)[0], "doc_id")
+
+
 def ask_end_to_end(spark, sf_dir):
     """Every user turn asked of the documents, with the offline models."""
     turns = guard.previous_user_turn(table(spark, sf_dir, "conversations")).where("role = 'user'")
@@ -412,5 +427,11 @@ QUERIES = {
       round(avg(CASE WHEN answerable THEN (gold_rank IS NOT NULL)::INT END), 6) AS context_recall, round(avg(CASE WHEN NOT answerable THEN refused::INT END), 6) AS refusal_accuracy,
       count_if(NOT answerable AND NOT refused)::BIGINT AS missed_refusals, count_if(answerable AND refused)::BIGINT AS false_refusals FROM outcomes GROUP BY config"""),
     "calibrate_floor": (calibrate_floor, EVALUATED + "SELECT config, round(lo, 3) AS answerable_min, round(hi, 3) AS trap_max, round(lo - hi, 3) AS separation, round((lo + hi) / 2, 3) AS floor FROM (SELECT config, min(CASE WHEN answerable THEN best_score END) AS lo, max(CASE WHEN NOT answerable THEN best_score END) AS hi FROM outcomes WHERE best_score IS NOT NULL GROUP BY config) WHERE lo IS NOT NULL AND hi IS NOT NULL"),
+    "quality_gate": (quality_gate, EVALUATED + """, m AS (SELECT round(avg(CASE WHEN answerable THEN coalesce(gold_rank = 1, false)::INT END), 6) AS h1, round(avg(CASE WHEN answerable THEN coalesce(gold_rank <= 5, false)::INT END), 6) AS h5,
+      round(avg(CASE WHEN answerable THEN coalesce(1.0::DOUBLE / gold_rank, 0) END), 6) AS mrr, round(avg(CASE WHEN NOT answerable THEN refused::INT END), 6) AS ra, count_if(answerable AND refused)::DOUBLE AS fr FROM outcomes WHERE config = 'with_rerank'),
+      g AS (SELECT unnest(['hit_rate_at_1', 'hit_rate_at_5', 'mrr', 'refusal_accuracy', 'false_refusals']) AS metric, unnest([h1, h5, mrr, ra, fr]) AS value, unnest([0.70::DOUBLE, 0.90, 0.78, 0.78, 0.0]) AS floor FROM m)
+      SELECT metric, value, floor, (CASE WHEN metric = 'false_refusals' THEN coalesce(value, 0) <= floor ELSE coalesce(value >= floor, false) END)::BIGINT AS passed FROM g"""),
+    "highlight_sentences": (highlight_sentences, None),
+    "citation_offsets": (citation_offsets, None),
     "ask_end_to_end": (ask_end_to_end, None),
 }

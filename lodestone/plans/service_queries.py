@@ -7,8 +7,9 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULTS
-from lodestone.operators import answer, evaluate, workspace
+from lodestone.operators import answer, evaluate, guard, workspace
 from lodestone.plans.common import longs, table
+from lodestone.sources import manifest
 from lodestone.streaming import sessions
 
 TIGHT = replace(DEFAULTS, rate_per_minute=1, workspace_max_documents=2, workspace_max_sessions=40, workspace_ttl_seconds=2 * 86_400)
@@ -135,7 +136,49 @@ SELECT conv_id || '-' || turn AS qid, n + CASE WHEN conv_id % 3 = 0 THEN 2 ELSE
 FROM (SELECT conv_id, turn, len(regexp_extract_all(text, '\S+\s*'))::BIGINT AS n FROM conversations WHERE role = 'assistant')
 """
 
+def digest_check(spark, sf_dir):
+    """Documents as declared files: a third unpinned, a third pinned right, a third wrong; every tenth file is missing."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), F.encode("text", "UTF-8").alias("content"))
+    pin = F.when(F.col("doc_id") % 3 == 0, manifest.UNPINNED).when(F.col("doc_id") % 3 == 1, F.sha2("content", 256)).otherwise("ff")
+    declared = docs.select("filename", pin.alias("sha256"))
+    return manifest.digest_problems(docs.where("doc_id % 10 > 0").select(F.concat(F.lit("dir/"), "filename").alias("path"), "content"), declared)
+
+
+def unknown_laws(spark, sf_dir):
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.when(F.col("item_id") % 7 > 0, F.concat(F.lit("src"), (F.col("item_id") % 30).cast("string"))).alias("law_id"))
+    return guard.unknown_laws(asked, table(spark, sf_dir, "documents").select(F.col("source").alias("law_id"))).select("qid", "law_id")
+
+
+def answer_relevance(spark, sf_dir):
+    """The mean cosine of the first forty vectors with those of their label, as if generated from their answers."""
+    v = table(spark, sf_dir, "embeddings")
+    q = v.where("vec_id < 40").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"), "label")
+    return evaluate.answer_relevance(q.join(v.where("vec_id >= 40").select("label", F.col("embedding").alias("gv")), "label", "left"))
+
+
+def faithfulness(spark, sf_dir):
+    claims = table(spark, sf_dir, "labels").select((F.col("doc_id") % 50).alias("qid"), (F.col("quality") == 1).alias("supported"))
+    return evaluate.faithfulness(claims).select("qid", "claims", F.round("faithfulness", 6).alias("faithfulness"))
+
+
+def budget_log(spark, sf_dir):
+    """Build log lines planted on events; one expected stage never reports."""
+    stage = F.element_at(F.array(*map(F.lit, ["embedding", "reranker", "other", "noise"])), (F.col("event_id") % 4 + 1).cast("int"))
+    line = F.when(F.col("event_id") % 4 == 3, F.lit("nothing here")).otherwise(F.concat(F.lit("baked ["), stage, F.lit("] done — peak RSS "), (F.col("event_id") % 700).cast("string"), F.lit(" MB")))
+    return evaluate.budget_problems(table(spark, sf_dir, "events").select(line.alias("line")))
+
+
+BUDGET_SQL = """
+WITH p AS (SELECT ['embedding', 'reranker', 'other'][event_id % 4 + 1] AS stage, max(event_id % 700)::DOUBLE AS peak_mb FROM events WHERE event_id % 4 < 3 GROUP BY 1)
+SELECT * FROM (SELECT stage, peak_mb, CASE WHEN peak_mb IS NULL THEN 'missing' WHEN peak_mb > 600 THEN 'over budget' END AS problem FROM p FULL JOIN (SELECT unnest(['embedding', 'reranker', 'vectorstore']) AS stage) USING (stage)) WHERE problem IS NOT NULL
+"""
+
 QUERIES = {
+    "digest_check": (digest_check, "SELECT doc_id || '.txt' AS filename, CASE WHEN doc_id % 10 = 0 THEN 'missing' ELSE 'digest differs' END AS problem FROM documents WHERE doc_id % 10 = 0 OR doc_id % 3 = 2"),
+    "unknown_laws": (unknown_laws, "SELECT item_id AS qid, 'src' || (item_id % 30) AS law_id FROM benchmark WHERE item_id % 7 > 0 AND 'src' || (item_id % 30) NOT IN (SELECT source FROM documents)"),
+    "answer_relevance": (answer_relevance, "SELECT q.vec_id AS qid, coalesce(round(avg(list_cosine_similarity(q.embedding::DOUBLE[], g.embedding::DOUBLE[])), 6), 0.0::DOUBLE) AS relevance FROM embeddings q LEFT JOIN embeddings g ON g.label = q.label AND g.vec_id >= 40 WHERE q.vec_id < 40 GROUP BY q.vec_id"),
+    "faithfulness": (faithfulness, "SELECT doc_id % 50 AS qid, count(*) AS claims, round(avg((quality = 1)::INT), 6) AS faithfulness FROM labels GROUP BY 1"),
+    "budget_log": (budget_log, BUDGET_SQL),
     "session_purge": (session_purge, """
 WITH s AS (SELECT user_id AS session_id, min(ts) AS created_at, max(ts) AS touched_at FROM events GROUP BY user_id)
 SELECT * FROM s WHERE epoch((SELECT max(ts) FROM events)) // 1 - epoch(touched_at) // 1 <= 172800 ORDER BY touched_at DESC, session_id DESC LIMIT 40"""),
