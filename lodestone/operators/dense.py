@@ -4,15 +4,21 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULTS, EngineConfig
-from lodestone.operators.sparse import ranked, small
+from lodestone.operators.sparse import ranked
+
+
+QUESTIONS = 8192
+BLOCK = 1024
 
 
 class Embedder(Protocol):
@@ -83,16 +89,72 @@ def normalised(vectors: DataFrame) -> DataFrame:
     return vectors.withColumn("v", F.transform(v, lambda x: x / length)).drop("embedding")
 
 
+def half_up(x: np.ndarray) -> np.ndarray:
+    """Rounded to 6 places as SQL rounds: halves away from zero."""
+    return np.sign(x) * np.floor(np.abs(x) * 1e6 + 0.5) / 1e6
+
+
+def best_of(row: np.ndarray, score: np.ndarray, place: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The k best of each row by score, ties by id; ``place`` points into ids."""
+    order = np.lexsort((ids[place], -score, row))
+    row, score, place = row[order], score[order], place[order]
+    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
+    nth = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
+    keep = nth < k
+    return row[keep], score[keep], place[keep]
+
+
+def scan(vectors: DataFrame, qids: pa.Array, unit: np.ndarray, k: int) -> DataFrame:
+    """(qid, chunk_id, score): each partition's k best per question, by blocked matrix products."""
+    kinds = dict(vectors.dtypes)
+    sent = vectors.sparkSession.sparkContext.broadcast((qids.to_pylist(), unit))
+    id_type = pa.string() if kinds["chunk_id"] == "string" else pa.int64()
+    qid_type = qids.type
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, q = sent.value
+        row, score, found = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object if id_type == pa.string() else np.int64)
+        for batch in batches:
+            lists, ids = batch.column("embedding"), batch.column("chunk_id").to_numpy(zero_copy_only=False)
+            fits = np.array([n == q.shape[1] for n in lists.value_lengths().to_pylist()], bool)
+            v = lists.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, q.shape[1])
+            ids = ids[fits]
+            length = np.sqrt((v**2).sum(1, keepdims=True))
+            v /= np.where(length == 0, 1.0, length)
+            for at in range(0, len(v), BLOCK):
+                s = half_up(q @ v[at : at + BLOCK].T)
+                floor = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+                r, c = np.nonzero(s >= floor[:, None])
+                pool = np.concatenate([found, ids[at : at + BLOCK]])
+                row, score, place = best_of(np.concatenate([row, r]), np.concatenate([score, s[r, c]]), np.concatenate([np.arange(len(found)), len(found) + c]), pool, k)
+                found = pool[place]
+        for at in range(0, len(row), 50_000):
+            part = slice(at, at + 50_000)
+            yield pa.record_batch([pa.array([names[i] for i in row[part]], qid_type), pa.array(found[part], id_type), pa.array(score[part])], names=["qid", "chunk_id", "score"])
+
+    return vectors.mapInArrow(run, f"qid {'string' if pa.types.is_string(qid_type) else 'long'}, chunk_id {kinds['chunk_id']}, score double")
+
+
 def search(vectors: DataFrame, questions: DataFrame, limit: int | None = None, config: EngineConfig = DEFAULTS) -> DataFrame:
     """(qid, chunk_id, score, rank): exact cosine top-k of (qid, embedding) over (chunk_id, embedding).
 
-    Every question meets every vector: that is what exact search is. The questions, a stated set, are broadcast when a count proves
-    them few, so vectors are read once, in place; beyond that Spark pairs partitions of both sides, block by block.
+    Every question meets every vector: that is what exact search is. The questions are a stated set, taken in blocks of ``QUESTIONS``
+    by a hash; a block is broadcast and each partition of vectors, read in place, gives its k best only. Null vectors and those of another
+    length than the questions' take no part.
     """
-    q = normalised(questions).select("qid", F.col("v").alias("qv"))
-    c = normalised(vectors).select("chunk_id", "v")
-    met = c.crossJoin(small(q, 20_000))
-    return ranked(met.select("qid", "chunk_id", F.round(dot(F.col("v"), F.col("qv")), 6).alias("score")), limit or config.dense_top_k)
+    k = limit or config.dense_top_k
+    asked, rows = questions.select("qid", "embedding").where("qid IS NOT NULL AND embedding IS NOT NULL"), vectors.select("chunk_id", "embedding").where("chunk_id IS NOT NULL AND embedding IS NOT NULL")
+    blocks = max(1, -(-asked.count() // QUESTIONS))
+    parts = []
+    for block in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block).toArrow()
+        q = np.array(own["embedding"].to_pylist(), np.float64).reshape(own.num_rows, -1) if own.num_rows else np.zeros((0, 0))
+        length = np.sqrt((q**2).sum(1, keepdims=True)) if q.size else np.ones((len(q), 1))
+        if len(q):
+            parts.append(scan(rows, own["qid"].combine_chunks(), q / np.where(length == 0, 1.0, length), k))
+    if not parts:
+        return ranked(rows.join(asked.select("qid").limit(0), F.lit(False)).select("qid", "chunk_id", F.lit(0.0).alias("score")), k)
+    return ranked(reduce(DataFrame.unionByName, parts), k)
 
 
 def filtered_search(vectors: DataFrame, questions: DataFrame, key: str, limit: int | None = None, config: EngineConfig = DEFAULTS) -> DataFrame:

@@ -28,7 +28,7 @@ def retrieve(questions: DataFrame, index: Index, config: EngineConfig = DEFAULTS
     vectors = questions.select("qid", "embedding") if "embedding" in questions.columns else dense.embed_questions(questions.select("qid", "question"), embedder, config)
     by_vector = dense.search(index.vectors, vectors, config.dense_top_k, config)
     by_term = sparse.search(index.chunks.select("chunk_id", "text"), questions.select("qid", "question"), config.sparse_top_k, config)
-    fused = fusion.fuse(by_vector, by_term, config)
+    fused = fusion.fuse(by_vector, by_term, config).persist()  # at most both limits per question
     return fusion.top_fused(fused, config), fusion.fusion_stats(questions, fused)
 
 
@@ -47,7 +47,8 @@ def ask(questions: DataFrame, index: Index, config: EngineConfig = DEFAULTS, emb
     blocked = gated.where("decision = 'block'")
     asked = gated.where("decision = 'allow'").select("qid", F.col("search_query").alias("question"))
     candidates, stats = retrieve(asked, index, config, embedder)
-    ranked = rank(asked, candidates, index, config, scorer)
+    ranked = rank(asked, candidates, index, config, scorer).persist()  # a few rows per question, read by five branches
+    stats = stats.persist()
     scoped = guard.check_scope(asked) if config.source_profile == "corpus" else asked.withColumn("scope_signal", F.lit(None).cast("string"))
     verdict = refusal.refusal_gate(scoped.join(stats.select("qid", "best_dense"), "qid"), ranked, config)
     used = refusal.evidence(verdict, ranked).withColumn("citation_key", citation_key(F.col("law_id"), F.col("part_id"), F.col("article_no")))
