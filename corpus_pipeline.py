@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, langid, mixing, neardup, repeats
-from lodestone.llm.common import stored
+from lodestone.llm.common import bounded_batches, stored
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 ORACLE_SQL = None
@@ -20,26 +20,31 @@ ORACLE_SQL = None
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is accepted, with ``lang`` as found."""
+    bounded_batches(spark)
     return langid.accepted(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: that of the least doc_id."""
+    bounded_batches(spark)
     return neardup.deduplicated(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the bytes under 400-byte strings that repeat."""
+    bounded_batches(spark)
     return repeats.cleaned(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time the mix takes a document."""
+    bounded_batches(spark)
     return mixing.mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens and the digests of the ids and of the bytes they decode to."""
+    bounded_batches(spark)
     return bpe.digests(bpe.round_trip(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN), ids=True)
 
 

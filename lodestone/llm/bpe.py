@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import give_back, keyed
+from lodestone.llm.common import keyed, tidied
 
 NONE = np.int32(2**31 - 1)
 LONG = 1024
@@ -288,9 +288,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         for batch in batches:
             for doc_id, ids, sizes in id_batches(own, batch):
                 yield pa.record_batch([doc_id, lists(ids, sizes)], names=["doc_id", "ids"])
-        give_back()
 
-    return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
+    return texts_of(docs, id_col, text_col).mapInArrow(tidied(run), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -305,9 +304,8 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
                 sizes = np.array([x or 0 for x in part.value_lengths().to_pylist()], np.int64)
                 out = decoded_bytes(own, part.flatten().to_numpy(zero_copy_only=False).astype(np.int64), sizes)
                 yield pa.record_batch([batch.column("doc_id").slice(at, 512), part, out], names=["doc_id", "ids", "decoded"])
-        give_back()
 
-    return encoded.mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return encoded.mapInArrow(tidied(run), "doc_id long, ids array<int>, decoded binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -318,9 +316,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         for batch in batches:
             for doc_id, ids, sizes in id_batches(own, batch):
                 yield pa.record_batch([doc_id, lists(ids, sizes), decoded_bytes(own, ids.astype(np.int64), sizes)], names=["doc_id", "ids", "decoded"])
-        give_back()
 
-    return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return texts_of(docs, id_col, text_col).mapInArrow(tidied(run), "doc_id long, ids array<int>, decoded binary")
 
 
 def digests(decoded: DataFrame, ids: bool = False) -> DataFrame:

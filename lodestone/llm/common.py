@@ -58,6 +58,26 @@ def give_back() -> None:
         trim(0)
 
 
+def tidied(run):
+    """``run``, a function of batches for mapInArrow, that gives its memory back when its frame is gone."""
+
+    def tidy(batches):
+        yield from run(batches)
+        give_back()
+
+    return tidy
+
+
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Send whole texts to Python by at most ``BATCH_ROWS`` at once, unless the session says less."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def keyed(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under fixed names, so extra or clashing columns of the input can't interfere."""
     return df.select(*(F.col(f"`{v}`").alias(k) for k, v in columns.items()))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import keyed, stored
+from lodestone.llm.common import keyed, stored, tidied
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -149,7 +149,7 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 yield pa.record_batch([batch.column("doc_id").slice(at, to - at), pa.array(keys[0]), pa.array(keys[1]), pa.array(sizes), lists, sketch, tags], schema=schema)
 
     rows = keyed(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), word_hashes(F.col("text")).alias("words"))
-    return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, n_words long, bands array<long>, sketch binary, tags binary")
+    return rows.mapInArrow(tidied(run), "doc_id long, k1 long, k2 long, n_words long, bands array<long>, sketch binary, tags binary")
 
 
 def shingle_table(docs: DataFrame) -> DataFrame:
@@ -163,7 +163,7 @@ def shingle_table(docs: DataFrame) -> DataFrame:
                 offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=to - at))]).astype(np.int32))
                 yield pa.record_batch([batch.column("node").slice(at, to - at), pa.ListArray.from_arrays(offsets, pa.array(element.view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(weight.astype(np.int32)))], schema=schema)
 
-    return docs.select("node", word_hashes(F.col("text")).alias("words")).mapInArrow(run, "node long, shingles array<long>, weights array<int>")
+    return docs.select("node", word_hashes(F.col("text")).alias("words")).mapInArrow(tidied(run), "node long, shingles array<long>, weights array<int>")
 
 
 def verified(pairs: DataFrame, table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -183,7 +183,7 @@ def verified(pairs: DataFrame, table: DataFrame, threshold: float = THRESHOLD) -
 
     left = table.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.col("weights").alias("wa"))
     right = table.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.col("weights").alias("wb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "wa", "sb", "wb").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "wa", "sb", "wb").mapInArrow(tidied(run), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -229,7 +229,7 @@ def star_pairs(members: DataFrame, centres: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], schema=PAIR)
 
     met = members.join(centres, "key").where("root <> other_root").select("node", "other", "sketch", "other_sketch")
-    return met.mapInArrow(run, "a long, b long").distinct()
+    return met.mapInArrow(tidied(run), "a long, b long").distinct()
 
 
 def block_pairs(members: DataFrame) -> DataFrame:
@@ -274,7 +274,7 @@ def block_pairs(members: DataFrame) -> DataFrame:
             yield from pairs()
 
     rows = groups.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(tidied(run), "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import stored
+from lodestone.llm.common import stored, tidied
 
 LENGTH = 400
 K = 32
@@ -225,7 +225,7 @@ def list_segments(rows: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return rows.mapInArrow(run, LISTED)
+    return rows.mapInArrow(tidied(run), LISTED)
 
 
 def index_blocks(rows: DataFrame) -> DataFrame:
@@ -251,7 +251,7 @@ def index_blocks(rows: DataFrame) -> DataFrame:
                 size += len(row[4])
         yield from marks()
 
-    return rows.mapInArrow(run, "k1 long, k2 long, start int, bytes int")
+    return rows.mapInArrow(tidied(run), "k1 long, k2 long, start int, bytes int")
 
 
 def list_windows(rows: DataFrame) -> DataFrame:
@@ -268,7 +268,7 @@ def list_windows(rows: DataFrame) -> DataFrame:
                     both.append(mixed((sums[LENGTH - 7 :][:n] - sums[:n]) * powers(n, pow(base, -1, 1 << 64))).view(np.int64))
                 yield pa.record_batch([pa.array(both[0]), pa.array(both[1]), pa.array(np.full(n, k1)), pa.array(np.full(n, k2)), pa.array((start + np.arange(n)).astype(np.int32))], schema=schema)
 
-    return rows.mapInArrow(run, "a long, b long, k1 long, k2 long, start int")
+    return rows.mapInArrow(tidied(run), "a long, b long, k1 long, k2 long, start int")
 
 
 def with_key(docs: DataFrame, id_col: str, text_col: str, extra: list[Column] | None = None) -> DataFrame:
@@ -330,7 +330,7 @@ def cut(docs: DataFrame, id_col: str, text_col: str, keep: list[str], as_text: b
                     done, size, out = at, 0, []
 
     ddl = ", ".join(f"{c} {kinds[c]}" for c in ("doc_id", *names))
-    return joined.mapInArrow(run, f"{ddl}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
+    return joined.mapInArrow(tidied(run), f"{ddl}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
