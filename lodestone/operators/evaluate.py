@@ -90,6 +90,23 @@ def answer_relevance(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("qid").agg(F.coalesce(F.round(F.avg(cosine), 6), F.lit(0.0)).alias("relevance"))
 
 
+def group_relevance(vectors: DataFrame) -> DataFrame:
+    """(qid, relevance) of every (qid, v, group) row: the mean cosine with the other vectors of its group, by sums of unit vectors, so no pairs are formed.
+
+    Ids are unique and vectors of one length; zero vectors count 0, null ones don't count, and none other in the group gives 0.
+    """
+    from lodestone.operators.dense import dot, doubles, norm
+
+    rows = vectors.select("qid", "group", doubles(F.col("v")).alias("v"))
+    parts = rows.select("group", norm(F.col("v")).alias("length"), F.posexplode("v").alias("at", "x"))
+    part = F.when(F.col("length") == 0, 0.0).otherwise(F.col("x") / F.col("length"))
+    sums = parts.groupBy("group", "at").agg(F.sum(part).alias("total"), F.count("*").alias("n"))
+    sums = sums.groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "total"))), lambda s: s["total"]).alias("total"), F.max("n").alias("n"))
+    length = norm(F.col("v"))
+    mean = F.when(length == 0, 0.0).otherwise(dot(F.col("v"), F.col("total")) / length - 1) / F.when(F.col("n") > 1, F.col("n") - 1)
+    return rows.join(sums, "group", "left").select("qid", F.coalesce(F.round(mean, 6), F.lit(0.0)).alias("relevance"))
+
+
 def label_problems(labels: DataFrame, articles: DataFrame) -> DataFrame:
     """(qid, problem): duplicate questions, answerable labels without such an article, keywords that it lacks.
 

@@ -156,6 +156,12 @@ def answer_relevance(spark, sf_dir):
     return evaluate.answer_relevance(q.join(v.where("vec_id >= 40").select("label", F.col("embedding").alias("gv")), "label", "left"))
 
 
+def answer_relevance_all(spark, sf_dir):
+    """The mean cosine of every vector with all other vectors of its label."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("v"), F.col("label").alias("group"))
+    return evaluate.group_relevance(v)
+
+
 def faithfulness(spark, sf_dir):
     claims = table(spark, sf_dir, "labels").select((F.col("doc_id") % 50).alias("qid"), (F.col("quality") == 1).alias("supported"))
     return evaluate.faithfulness(claims).select("qid", "claims", F.round("faithfulness", 6).alias("faithfulness"))
@@ -177,6 +183,7 @@ QUERIES = {
     "digest_check": (digest_check, "SELECT doc_id || '.txt' AS filename, CASE WHEN doc_id % 10 = 0 THEN 'missing' ELSE 'digest differs' END AS problem FROM documents WHERE doc_id % 10 = 0 OR doc_id % 3 = 2"),
     "unknown_laws": (unknown_laws, "SELECT item_id AS qid, 'src' || (item_id % 30) AS law_id FROM benchmark WHERE item_id % 7 > 0 AND 'src' || (item_id % 30) NOT IN (SELECT source FROM documents)"),
     "answer_relevance": (answer_relevance, "SELECT q.vec_id AS qid, coalesce(round(avg(list_cosine_similarity(q.embedding::DOUBLE[], g.embedding::DOUBLE[])), 6), 0.0::DOUBLE) AS relevance FROM embeddings q LEFT JOIN embeddings g ON g.label = q.label AND g.vec_id >= 40 WHERE q.vec_id < 40 GROUP BY q.vec_id"),
+    "answer_relevance_all": (answer_relevance_all, "SELECT q.vec_id AS qid, coalesce(round(avg(list_cosine_similarity(q.embedding::DOUBLE[], g.embedding::DOUBLE[])), 6), 0.0::DOUBLE) AS relevance FROM embeddings q LEFT JOIN embeddings g ON g.label = q.label AND g.vec_id <> q.vec_id GROUP BY q.vec_id"),
     "faithfulness": (faithfulness, "SELECT doc_id % 50 AS qid, count(*) AS claims, round(avg((quality = 1)::INT), 6) AS faithfulness FROM labels GROUP BY 1"),
     "budget_log": (budget_log, BUDGET_SQL),
     "session_purge": (session_purge, """
