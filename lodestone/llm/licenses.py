@@ -1,6 +1,6 @@
 """Licence scan by canonical digest: whole texts that are a known licence, whatever their typography.
 
-The canonical form is lower case, without copyright lines, with punctuation and white space as single spaces and with
+The canonical form is lower case, without copyright notices, with punctuation and white space as single spaces and with
 equivalent spellings made one. Its SHA-256 is joined to the digests of the known texts, a fixed list.
 """
 
@@ -15,6 +15,13 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import keyed
 
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n©]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
+# COPYRIGHT_LINE, any line that begins like a notice, is the rule of the SQL. The canonical form drops less: notices with a sign or a year,
+# and undated ones that begin a paragraph. A line of body text wrapped before the word, or a list item (c), stays.
+START = r"[^\p{L}\p{N}\n©]*"
+MARK = r"(?:\(c\)|©|[<\[{(]?(?:\d{4}|yyyy|year)\b)"
+DATED = rf"(?:©|copyright[ \t:,]*{MARK}|\(c\)[ \t:,]*(?:copyright\b|{MARK})|all rights reserved)[^\n]*$"
+BODY = r"(?:also|and|as|disclaimer|holders?|in|interests?|is|laws?|licen[cs]es?|notices?|of|or|owners?|protection|rights?|statements?|to|treat(?:y|ies))\b"
+UNDATED = rf"(?:copyright[ \t:]+(?!{BODY})[^\n]*|\(c\)[^\n]{{1,60}}(?=\n\n|\n?(?![\s\S])))(?:\n|$)"
 OTHER = r"[^\p{L}\p{N}]+"
 
 # Spellings that count as equal (left becomes right).
@@ -89,10 +96,29 @@ KNOWN = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 ]
 
+# Digests of whole texts that are too long to stand here, as in /usr/share/common-licenses; the second of a name ends before the appendix.
+FULL = [
+    ("ef9aa6097e8b8724e8bedf9a9a264cbc3142b55ef97f3c3f079b7aa1aeac425c", "Apache-2.0"),
+    ("ed44d69699f98d45c0c3e52ef4574fb05d6045eb6e2cd0e5e3810f6177e87f84", "Apache-2.0"),
+    ("331b500eb3c5ee796906547305df82fff4a35b3aa03c1d3ea84d32078292b2e6", "GPL-2.0"),
+    ("1551b61aa183f987ecceedd8966ec1e9b2da3848f8862c2adedc0d82f41904ca", "GPL-2.0"),
+    ("a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68", "GPL-3.0"),
+    ("ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636", "GPL-3.0"),
+    ("4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891", "LGPL-2.1"),
+    ("48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4", "LGPL-2.1"),
+    ("aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be", "LGPL-3.0"),
+    ("26ba73e836ecb04fe87d5eca80ca27cff1afa2d7683455be1517bd23b8d27986", "MPL-1.1"),
+    ("9eab7902f21bef0326dee4ed0cae1402c781cbf1f8e3dbeed6fbe176d641bb13", "MPL-2.0"),
+    ("96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f", "CC0-1.0"),
+]
+
 
 def canonical_text(text: str) -> str:
     """The canonical form of a known text: the same steps as ``canonical``, for the driver's fixed list."""
-    kept = re.sub(r"(?m)^[^\w\n©]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$", "", text.lower())
+    start = r"(?:[^\w\n©]|_)*"
+    spaced = re.sub(r"\n(?:[^\w\n]|_)+(?=\n)", "\n", text.lower())
+    kept = re.sub(rf"(?m)^{start}{DATED}", "", spaced)
+    kept = re.sub(rf"(?:\A|(?<=\n\n))(?:{start}{UNDATED.replace('|$)', '|(?![^\n]))')})+", "", kept)
     words = re.sub(r"[\W_]+", " ", kept).strip().split(" ")
     return " ".join(SPELLINGS.get(w, w) for w in words)
 
@@ -107,7 +133,9 @@ def digest_list(known: list[tuple[str, str]]) -> list[tuple[str, str]]:
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text column, in JVM functions."""
-    kept = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
+    spaced = F.regexp_replace(F.lower(text), r"\n[^\p{L}\p{N}\n]+(?=\n)", "\n")
+    kept = F.regexp_replace(spaced, f"(?md)^{START}{DATED}", "")
+    kept = F.regexp_replace(kept, rf"(?md)^(?:\A|(?<=\n\n)|\G){START}{UNDATED}", "")
     words = F.split(F.trim(F.regexp_replace(kept, OTHER, " ")), " ")
     pairs = F.create_map(*[F.lit(x) for kv in SPELLINGS.items() for x in kv])
     return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(pairs, w), w)), " ")
@@ -119,7 +147,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known:
     A null text has null digest and licence; an empty one has the digest of the empty string. Rows repeat as they do in the input.
     The digests are a fixed list, so broadcasting them is bounded. Other columns are ignored.
     """
-    digests = docs.sparkSession.createDataFrame(digest_list(KNOWN if known is None else known), "canonical_sha256 string, license string")
+    digests = docs.sparkSession.createDataFrame(digest_list(KNOWN) + FULL if known is None else digest_list(known), "canonical_sha256 string, license string")
     rows = keyed(docs, doc_id=id_col, text=text_col)
     rows = rows.select("doc_id", F.sha2(F.encode(canonical(F.col("text")), "UTF-8"), 256).alias("canonical_sha256"))
     return rows.join(F.broadcast(digests), "canonical_sha256", "left").select("doc_id", "canonical_sha256", "license")
