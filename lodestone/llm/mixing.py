@@ -107,14 +107,14 @@ def positioned(rows: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def takes(rows: DataFrame, sources: DataFrame, slots: DataFrame) -> DataFrame:
-    """Each row of ``positioned`` for each turn (pass) that takes any of its words, with ``words``; else once with turn null."""
+    """Each row of ``positioned`` for each turn (pass) that takes any of its words, with ``words`` and the first ``slot`` that does; else once with turn null."""
     blocks = F.when(F.col("size") > 0, F.expr(f"sequence(start div {BLOCK}, (start + size - 1) div {BLOCK})"))
     pieces = positioned(rows, sources).withColumn("block", F.explode_outer(blocks))
-    uses = slots.select("place_no", "block", "turn", "lo", "hi").hint("merge")  # it grows with the table: never broadcast
+    uses = slots.select("place_no", "block", "turn", "lo", "hi", "slot").hint("merge")  # it grows with the table: never broadcast
     met = pieces.join(uses, ["place_no", "block"], "left")
     shared = F.greatest(F.lit(0), F.least("hi", F.col("start") + F.col("size")) - F.greatest("lo", "start"))
     met = met.withColumn("words", F.coalesce(F.when(F.col("hi").isNotNull(), shared), F.lit(0)))
-    return met.groupBy("doc_id", "source", "size", "place", "source_size", "target", "place_no", "bucket", "row_no", "turn").agg(F.sum("words").alias("words"))
+    return met.groupBy("doc_id", "source", "size", "place", "source_size", "target", "place_no", "bucket", "row_no", "turn").agg(F.sum("words").alias("words"), F.min(F.when(F.col("words") > 0, F.col("slot"))).alias("slot"))
 
 
 def planned(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -134,18 +134,17 @@ def mixed_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself, with the columns of ``docs``: a row for each turn that takes a document.
+    """The mix itself, with the columns of ``docs``: a row for each turn that takes a document, in the order of the first slot that does.
 
     A document taken whole keeps its text; one that a turn takes in part (at most one per source, the last) keeps its first
     words, joined by single spaces. Rows equal in id, source and text are taken together.
     """
     found = takes(*planned(docs, id_col, text_col, source_col)).where("words > 0")
-    found = found.groupBy("place", "size").agg(F.sum("words").alias("words"))
+    found = found.select(F.col("place").alias("_mix_place"), F.col("size").alias("_mix_size"), F.col("words").alias("_mix_take"), F.col("slot").alias("_mix_slot"))
     place = place_of(F.col(f"`{id_col}`"), F.col(f"`{source_col}`"), F.col(f"`{text_col}`"))
     one = docs.withColumn("_mix_place", place).dropDuplicates(["_mix_place"])
-    met = one.join(found.select(F.col("place").alias("_mix_place"), F.col("size").alias("_mix_size"), F.col("words").alias("_mix_words")), "_mix_place")
-    turns = F.expr("transform(sequence(1L, (_mix_words + _mix_size - 1) div _mix_size), i -> least(_mix_size, _mix_words - (i - 1) * _mix_size))")
-    met = met.withColumn("_mix_take", F.explode(turns))
+    met = one.join(found, "_mix_place")
     cut = F.array_join(F.slice(F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(WORD), 0), 1, F.col("_mix_take").cast("int")), " ")
     met = met.withColumn(text_col, F.when(F.col("_mix_take") == F.col("_mix_size"), F.col(f"`{text_col}`")).otherwise(cut))
+    met = met.orderBy(F.col("_mix_slot").asc_nulls_last(), "_mix_place", F.col("_mix_take").desc())
     return met.select(*[F.col(f"`{c}`") for c in docs.columns])
