@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.config import EngineConfig
 from lodestone.functions import fixed
-from lodestone.operators import chunking, layout, sections
+from lodestone.operators import chunking, layout, packing, sections
 from lodestone.plans.index import build_index
 from lodestone.sources import files, manifest, tables
 
@@ -83,9 +83,9 @@ def test_packing_keeps_every_word_and_the_budget():
     rng = random.Random(1)
     for _ in range(100):
         paragraphs = [" ".join("w" * rng.randint(1, 5) for _ in range(rng.randint(1, 40))) for _ in range(rng.randint(0, 8))]
-        out = sections.packed(paragraphs, 12, sections.offline_count)
+        out = packing.paragraph_chunks(paragraphs, 12)
         assert Counter(" ".join(out).split()) == Counter(" ".join(paragraphs).split())
-        assert all(sections.offline_count(p) <= 12 for p in out)
+        assert all(packing.cost(p) <= 12 for p in out)
 
 
 def test_document_chunks_cover_their_text(spark):
