@@ -75,8 +75,8 @@ def nfkc(text: pd.Series) -> pd.Series:
 
 
 def folded(text: Column) -> Column:
-    """``nfkc`` of the texts that it can change; ASCII texts, which it can't, never leave the JVM."""
-    return F.when(text.rlike(r"[^\x00-\x7F]"), nfkc(text)).otherwise(text)
+    """``nfkc`` of the texts that it can change. ASCII texts, which it can't, go to Python as nulls: a UDF runs on every row, whatever CASE surrounds it."""
+    return F.coalesce(nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def corpus_normalised(text: Column) -> Column:

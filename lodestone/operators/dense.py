@@ -104,27 +104,33 @@ def best_of(row: np.ndarray, score: np.ndarray, place: np.ndarray, ids: np.ndarr
     return row[keep], score[keep], place[keep]
 
 
-def scan(vectors: DataFrame, qids: pa.Array, unit: np.ndarray, k: int) -> DataFrame:
-    """(qid, chunk_id, score): each partition's k best per question, by blocked matrix products."""
+def scan(vectors: DataFrame, qids: pa.Array, unit: np.ndarray, k: int, keys: list | None = None) -> DataFrame:
+    """(qid, chunk_id, score): each partition's k best per question, by blocked matrix products.
+
+    With ``keys``, one per question, a vector counts only for questions of its own ``key``.
+    """
     kinds = dict(vectors.dtypes)
-    sent = vectors.sparkSession.sparkContext.broadcast((qids.to_pylist(), unit))
+    sent = vectors.sparkSession.sparkContext.broadcast((qids.to_pylist(), unit, None if keys is None else np.array(keys, object)))
     id_type = pa.string() if kinds["chunk_id"] == "string" else pa.int64()
     qid_type = qids.type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, q = sent.value
+        names, q, wanted = sent.value
         row, score, found = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object if id_type == pa.string() else np.int64)
         for batch in batches:
             lists, ids = batch.column("embedding"), batch.column("chunk_id").to_numpy(zero_copy_only=False)
             fits = np.array([n == q.shape[1] for n in lists.value_lengths().to_pylist()], bool)
             v = lists.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, q.shape[1])
             ids = ids[fits]
+            held = None if wanted is None else np.array(batch.column("key").to_pylist(), object)[fits]
             length = np.sqrt((v**2).sum(1, keepdims=True))
             v /= np.where(length == 0, 1.0, length)
             for at in range(0, len(v), BLOCK):
                 s = half_up(q @ v[at : at + BLOCK].T)
+                if held is not None:
+                    s[wanted[:, None] != held[None, at : at + BLOCK]] = -np.inf
                 floor = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
-                r, c = np.nonzero(s >= floor[:, None])
+                r, c = np.nonzero((s >= floor[:, None]) & (s > -np.inf))
                 pool = np.concatenate([found, ids[at : at + BLOCK]])
                 row, score, place = best_of(np.concatenate([row, r]), np.concatenate([score, s[r, c]]), np.concatenate([np.arange(len(found)), len(found) + c]), pool, k)
                 found = pool[place]
@@ -135,15 +141,17 @@ def scan(vectors: DataFrame, qids: pa.Array, unit: np.ndarray, k: int) -> DataFr
     return vectors.mapInArrow(run, f"qid {'string' if pa.types.is_string(qid_type) else 'long'}, chunk_id {kinds['chunk_id']}, score double")
 
 
-def search(vectors: DataFrame, questions: DataFrame, limit: int | None = None, config: EngineConfig = DEFAULTS) -> DataFrame:
+def search(vectors: DataFrame, questions: DataFrame, limit: int | None = None, config: EngineConfig = DEFAULTS, key: str | None = None) -> DataFrame:
     """(qid, chunk_id, score, rank): exact cosine top-k of (qid, embedding) over (chunk_id, embedding).
 
     Every question meets every vector: that is what exact search is. The questions are a stated set, taken in blocks of ``QUESTIONS``
     by a hash; a block is broadcast and each partition of vectors, read in place, gives its k best only. Null vectors and those of another
-    length than the questions' take no part.
+    length than the questions' take no part. With ``key``, a column of both, only vectors of a question's own key count, before the limit; no join
+    is made, so a key that holds most vectors is no hot spot. Null keys match nothing.
     """
-    k = limit or config.dense_top_k
-    asked, rows = questions.select("qid", "embedding").where("qid IS NOT NULL AND embedding IS NOT NULL"), vectors.select("chunk_id", "embedding").where("chunk_id IS NOT NULL AND embedding IS NOT NULL")
+    k, also = limit or config.dense_top_k, [] if key is None else [F.col(key).alias("key")]
+    known = " AND ".join(["embedding IS NOT NULL", *["key IS NOT NULL" for _ in also]])
+    asked, rows = questions.select("qid", "embedding", *also).where(f"qid IS NOT NULL AND {known}"), vectors.select("chunk_id", "embedding", *also).where(f"chunk_id IS NOT NULL AND {known}")
     blocks = max(1, -(-asked.count() // QUESTIONS))
     parts = []
     for block in range(blocks):
@@ -151,19 +159,12 @@ def search(vectors: DataFrame, questions: DataFrame, limit: int | None = None, c
         q = np.array(own["embedding"].to_pylist(), np.float64).reshape(own.num_rows, -1) if own.num_rows else np.zeros((0, 0))
         length = np.sqrt((q**2).sum(1, keepdims=True)) if q.size else np.ones((len(q), 1))
         if len(q):
-            parts.append(scan(rows, own["qid"].combine_chunks(), q / np.where(length == 0, 1.0, length), k))
+            parts.append(scan(rows, own["qid"].combine_chunks(), q / np.where(length == 0, 1.0, length), k, own["key"].to_pylist() if also else None))
     if not parts:
         return ranked(rows.join(asked.select("qid").limit(0), F.lit(False)).select("qid", "chunk_id", F.lit(0.0).alias("score")), k)
     return ranked(reduce(DataFrame.unionByName, parts), k)
 
 
-def filtered_search(vectors: DataFrame, questions: DataFrame, key: str, limit: int | None = None, config: EngineConfig = DEFAULTS) -> DataFrame:
-    """The same within equal ``key``: the filter comes before the limit and is an equi-join."""
-    q = normalised(questions).select("qid", key, F.col("v").alias("qv"))
-    met = normalised(vectors).select("chunk_id", key, "v").join(q, key)
-    return ranked(met.select("qid", "chunk_id", F.round(dot(F.col("v"), F.col("qv")), 6).alias("score")), limit or config.dense_top_k)
-
-
 PAYLOAD = ["chunk_id", "law_id", "law_label", "law_title", "part_id", "part_title", "article_no", "article_title", "section", "seq", "seq_total", "page_start", "page_end", "text", "token_count"]
 
 

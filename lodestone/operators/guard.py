@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULTS, EngineConfig
 from lodestone.functions import fixed
-from lodestone.functions.text import stripped, without_hidden, words
+from lodestone.functions.text import json_object, stripped, without_hidden, words
 
 
 def signals(text: Column) -> Column:
@@ -67,6 +70,40 @@ def with_model(gated: DataFrame, verdicts: DataFrame, config: EngineConfig = DEF
     )
 
 
+class GateModel(Protocol):
+    def reply(self, transcript: str, question: str) -> str: ...
+
+
+VERDICT = "decision string, query string, reason string"
+
+
+def transcripts(turns: DataFrame, config: EngineConfig = DEFAULTS) -> DataFrame:
+    """(conv_id, transcript): the last turns of each conversation as ``role: text`` lines, oldest first; a few rows per group."""
+    line = F.concat("role", F.lit(": "), "text")
+    kept = trimmed_history(turns, config).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("lines"))
+    return kept.select("conv_id", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("transcript"))
+
+
+def model_verdicts(asked: DataFrame, model: GateModel) -> DataFrame:
+    """(qid, decision, query, reason) of (qid, transcript, question): the model's parsed replies; a failed call or a bad reply gives no decision."""
+
+    @F.pandas_udf("string")
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for transcript, question in parts:
+            out = []
+            for t, q in zip(transcript, question, strict=True):
+                try:
+                    out.append(model.reply(t or "", q))
+                except Exception:  # the model is foreign code; without it the deterministic result stands
+                    out.append(None)
+            yield pd.Series(out, dtype=object)
+
+    reply = json_object(run.asNondeterministic()("transcript", "question"), VERDICT)
+    rows = asked.select("qid", reply.alias("r")).select("qid", "r.*")
+    good = F.col("decision").isin("allow", "block")
+    return rows.select("qid", *[F.when(good, F.col(c)).alias(c) for c in ("decision", "query", "reason")])
+
+
 def trimmed_history(turns: DataFrame, config: EngineConfig = DEFAULTS) -> DataFrame:
     """The last ``max_history_turns`` turns of each conversation, with ``age`` from 1, the newest."""
     newest = Window.partitionBy("conv_id").orderBy(F.desc("turn"))

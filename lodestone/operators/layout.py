@@ -75,6 +75,14 @@ def contents_pages(lines: DataFrame, layout: DataFrame) -> DataFrame:
     return lines.join(layout, "doc_id").where(F.col("text").rlike(fixed.CONTENTS_HEADING) & (F.col("size") >= F.col("body_size"))).select("doc_id", "page").distinct()
 
 
+def with_sides(lines: DataFrame) -> DataFrame:
+    """Contents lines with ``side``: 1 for those right of the middle on a page where no line crosses the gutter and both sides have whole lines."""
+    mid, margin, page = F.col("page_width") / 2, F.col("page_width") * fixed.GUTTER_RATIO, Window.partitionBy("doc_id", "page")
+    crossing = F.max((F.col("x0") < mid - margin) & (F.col("x1") > mid + margin)).over(page)
+    both = F.max(F.col("x1") <= mid).over(page) & F.max(F.col("x0") >= mid).over(page)
+    return lines.withColumn("side", F.when(~crossing & both & ((F.col("x0") + F.col("x1")) / 2 >= mid), 1).otherwise(0))
+
+
 def grouped_rows(lines: DataFrame) -> DataFrame:
     """Lines with ``row_no``: a line joins a row if its top is within 3 points of the row's first line.
 

@@ -40,7 +40,38 @@ def removed(documents: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def vectors_for(vectors: DataFrame, documents: DataFrame) -> DataFrame:
-    return vectors.join(documents.select("session_id", "doc_id"), ["session_id", "doc_id"], "left_semi")
+    """The vectors of the (session_id, doc_id, position) documents with ``row_no``: in the order asked for, then by chunk."""
+    order = Window.partitionBy("session_id").orderBy("position", "seq")
+    met = vectors.join(documents.select("session_id", "doc_id", "position"), ["session_id", "doc_id"])
+    return met.withColumn("row_no", F.row_number().over(order)).drop("position")
+
+
+def touched(sessions: DataFrame, requests: DataFrame, now: Column, config: EngineConfig = DEFAULTS) -> DataFrame:
+    """Sessions (session_id, created_at, touched_at) after (session_id, creates) requests at ``now``, with ``found``.
+
+    Idle ones go first. A request touches its session; one that may create opens an empty session under the id it brings, or a new
+    random one if it brings none. ``found`` is true for sessions that a request met; those beyond the cap go, oldest touch first.
+    """
+    alive = sessions.where(F.unix_timestamp(now) - F.unix_timestamp("touched_at") <= config.workspace_ttl_seconds)
+    named = requests.where("session_id IS NOT NULL").groupBy("session_id").agg(F.max("creates").alias("creates"))
+    fresh = requests.where("session_id IS NULL AND creates").select(F.sha2(F.concat(F.uuid(), F.uuid()), 256).alias("session_id"), F.lit(True).alias("creates"))
+    met = alive.join(named.unionByName(fresh), "session_id", "full_outer").where("touched_at IS NOT NULL OR creates")
+    asked = F.col("creates").isNotNull()
+    out = met.select("session_id", F.coalesce("created_at", now).alias("created_at"), F.when(asked, now).otherwise(F.col("touched_at")).alias("touched_at"), (asked & F.col("touched_at").isNotNull()).alias("found"))
+    return out.orderBy(F.desc("touched_at"), F.desc("session_id")).limit(config.workspace_max_sessions)
+
+
+def scope_problems(asked: DataFrame, documents: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Questions (qid, scope, session_id) with ``status``: 200; 409 for a workspace without documents; 500 if its chunks and vectors differ in number.
+
+    Documents are (session_id, doc_id, chunks), vectors (session_id, doc_id, ...). A workspace is asked with ``EngineConfig.for_workspace`` and without the scope check.
+    """
+    held = documents.groupBy("session_id").agg(F.sum("chunks").alias("_chunks"))
+    there = vectors.join(documents.select("session_id", "doc_id"), ["session_id", "doc_id"], "left_semi").groupBy("session_id").agg(F.count("*").alias("_vectors"))
+    rows = asked.join(held, "session_id", "left").join(there, "session_id", "left")
+    own = F.col("scope") == "workspace"
+    status = F.when(own & F.col("_chunks").isNull(), 409).when(own & (F.col("_chunks") != F.coalesce("_vectors", F.lit(0))), 500).otherwise(200)
+    return rows.withColumn("status", status).drop("_chunks", "_vectors")
 
 
 def over_rate(requests: DataFrame, config: EngineConfig = DEFAULTS) -> DataFrame:
@@ -72,6 +103,21 @@ def size_problem(size: Column, config: EngineConfig = DEFAULTS) -> Column:
     return F.when(size == 0, "empty").when(size > config.workspace_max_bytes, "too large")
 
 
+BODY_BYTES = 64 * 1024
+
+
+def body_problems(requests: DataFrame, config: EngineConfig = DEFAULTS) -> DataFrame:
+    """Requests (path, declared, received) with ``status``: 413 if the declared or the received size is over the path's limit, 411 without either, else 200."""
+    limit = F.when(F.col("path").startswith("/workspace"), config.workspace_max_bytes).otherwise(BODY_BYTES)
+    size = F.greatest("declared", "received")
+    return requests.withColumn("status", F.when(size.isNull(), 411).when(size > limit, 413).otherwise(200))
+
+
+def chunk_lookup(chunks: DataFrame, ids: DataFrame) -> DataFrame:
+    """(chunk_id) rows with their chunk and ``found``; unknown ids stay, without one."""
+    return ids.select("chunk_id").join(chunks.withColumn("found", F.lit(True)), "chunk_id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
 def coverage_warning(truncated: Column, coverage: Column) -> Column:
     lost = F.round((1 - coverage) * 100).cast("int").cast("string")
     return F.when(truncated, "Only the first part of this document was read — it is longer than the page limit.").when(coverage < 0.999, F.concat(F.lit("About "), lost, F.lit("% of this document could not be read.")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.config import DEFAULTS
 from lodestone.functions import fixed, text
 from lodestone.operators import chunking, layout, sections
 from lodestone.plans.common import longs, table, text_sql
@@ -102,6 +103,35 @@ def section_split(spark, sf_dir):
     return longs(found.select("doc_id", "section_no", "title", "number", "resolved", "page_start", "page_end", F.md5("text").alias("text_md5")))
 
 
+def heading_columns(b: str) -> tuple[str, str, str]:
+    """SQL of (is a heading, title, printed number) of a stripped line."""
+    m, n, u, c = (f"regexp_matches({b}, {text_sql(p)})" for p in (fixed.HEADING_MARKDOWN, fixed.HEADING_NUMBERED, fixed.HEADING_UNIT, fixed.HEADING_CAPITALS))
+    cut = lambda p, i: rf"regexp_replace(regexp_extract({b}, {text_sql(p)}, {i}), '^[ \-—:.]+|[ \-—:.]+$', '', 'g')"
+    title = f"CASE WHEN {m} THEN {cut(fixed.HEADING_MARKDOWN, 1)} WHEN {n} THEN {cut(fixed.HEADING_NUMBERED, 2)} WHEN {u} THEN {cut(fixed.HEADING_UNIT, 2)} WHEN {c} THEN {cut(fixed.HEADING_CAPITALS, 1)} END"
+    number = f"CASE WHEN {m} THEN '' WHEN {n} THEN regexp_extract({b}, {text_sql(fixed.HEADING_NUMBERED)}, 1) WHEN {u} THEN regexp_extract({b}, {text_sql(fixed.HEADING_UNIT)}, 1) ELSE '' END"
+    return f"length({b}) BETWEEN 1 AND {fixed.MAX_HEADING_CHARS} AND ({m} OR {n} OR {u} OR {c})", title, number
+
+
+def sections_sql() -> str:
+    """Sections of the planted pages: runs of lines from heading to heading, short runs joined to the one before."""
+    b = f"trim(line, {ENDS})"
+    is_heading, title, number = heading_columns(b)
+    return rf"""
+l AS (SELECT doc_id, source, unnest(range(len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS raw FROM documents WHERE length(text) > 0),
+p AS (SELECT doc_id, source, i, CASE WHEN i < 5 THEN 1 ELSE 2 END AS page, {planted_line('(doc_id + i) % 40').replace('ELSE line', 'ELSE raw')} AS line FROM l),
+f AS (SELECT *, {is_heading} AS h, {title} AS title, {number} AS num, {b} AS bare FROM p),
+g AS (SELECT *, CASE WHEN h THEN CASE WHEN num <> '' AND title <> '' THEN num || ' ' || title WHEN title <> '' THEN title WHEN num <> '' THEN 'Clause ' || num ELSE bare END END AS label,
+  CASE WHEN h AND regexp_matches(num, '^\d+$') THEN num::BIGINT END AS number, sum(h::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run, min(page) OVER (PARTITION BY doc_id) AS first_page FROM f),
+r AS (SELECT doc_id, run, trim(string_agg(CASE WHEN h THEN bare ELSE line END, chr(10) ORDER BY i), {ENDS}) AS body, max(label) AS title, max(number) AS number, coalesce(min(CASE WHEN h THEN page END), min(first_page)) AS page_start, max(page) AS page_end FROM g GROUP BY doc_id, run),
+e AS (SELECT *, greatest(page_end, lead(page_start) OVER (PARTITION BY doc_id ORDER BY run)) AS last_page FROM r),
+o AS (SELECT *, length(body) >= {fixed.MIN_SECTION_CHARS} OR row_number() OVER (PARTITION BY doc_id ORDER BY run) = 1 AS opens FROM e WHERE body <> ''),
+n AS (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY run) AS section_no FROM o),
+s AS (SELECT doc_id, section_no, coalesce(first(title ORDER BY run), '') AS title, string_agg(body, chr(10) ORDER BY run) AS text, first(page_start ORDER BY run) AS page_start, max(last_page) AS page_end, first(number ORDER BY run) AS number FROM n GROUP BY doc_id, section_no),
+own AS (SELECT *, number IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, number) = 1 AS own FROM s),
+sections AS (SELECT * EXCLUDE own, CASE WHEN own THEN number ELSE coalesce(max(CASE WHEN own THEN number END) OVER (PARTITION BY doc_id), 0) + (sum((NOT own)::INT) OVER (PARTITION BY doc_id ORDER BY section_no ROWS UNBOUNDED PRECEDING))::BIGINT END AS resolved FROM own)
+"""
+
+
 def assign_numbers(spark, sf_dir):
     """Printed numbers planted on events: users play documents, events their sections."""
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("section_no"), F.when(F.col("event_id") % 3 > 0, (F.col("event_id") * 7 % 41).cast("int")).alias("number"))
@@ -140,6 +170,99 @@ def chunk_pack_overlap(spark, sf_dir):
     return longs(found.select("chunk_id", "law_id", "article_no", "seq", "seq_total", "token_count"))
 
 
+def ranges_sql(name: str, items: str, room: str, overlap: str = "0") -> str:
+    """CTEs ``<name>`` (g, lo, hi): greedy ranges of the items (g, k from 1, cost, ``room`` and ``overlap`` per group), by pointers from every start, then a walk."""
+    return f"""
+{name}_t AS (SELECT g, k, (sum(cost) OVER (PARTITION BY g ORDER BY k))::BIGINT AS total, {room} AS room, {overlap} AS overlap FROM {items} UNION ALL SELECT DISTINCT g, 0, 0, {room}, {overlap} FROM {items}),
+{name}_last AS (SELECT g, total, max(k) AS k FROM {name}_t GROUP BY g, total),
+{name}_first AS (SELECT g, total, min(k) AS k FROM {name}_t GROUP BY g, total),
+{name}_reach AS MATERIALIZED (SELECT a.g, a.k AS lo, b.k AS far FROM (SELECT *, total + room AS bound FROM {name}_t) a ASOF JOIN {name}_last b ON a.g = b.g AND a.bound >= b.total),
+{name}_back AS MATERIALIZED (SELECT a.g, a.k AS hi, CASE WHEN a.overlap > 0 THEN b.k ELSE a.k END AS near FROM (SELECT *, total - overlap AS bound FROM {name}_t) a ASOF JOIN {name}_first b ON a.g = b.g AND a.bound <= b.total),
+{name}_n AS MATERIALIZED (SELECT g, max(k) AS n FROM {name}_t GROUP BY g),
+{name} AS (
+  SELECT g, lo, greatest(1, far) AS hi FROM {name}_reach JOIN {name}_n USING (g) WHERE lo = 0 AND n > 0
+  UNION ALL
+  SELECT w.g, greatest(w.lo + 1, y.near), greatest(w.hi + 1, x.far) FROM {name} w JOIN {name}_n USING (g) JOIN {name}_back y ON y.g = w.g AND y.hi = w.hi JOIN {name}_reach x ON x.g = w.g AND x.lo = greatest(w.lo + 1, y.near) WHERE w.hi < n)
+"""
+
+
+COST = r"len(regexp_extract_all(lower({0}), '[a-z0-9]+|[^\sa-z0-9]'))"
+
+
+def pack_sql(target: int, overlap: int) -> str:
+    """Article chunks: clauses, those over the room in sentences, or in words if a sentence is over it too; packed with overlap."""
+    pieces = rf"list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '{fixed.CLAUSE_START}', '\1' || chr(1) || '\2', 'g'), '{fixed.CLAUSE_START}', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda p: trim(p, {ENDS})), lambda p: p <> '')"
+    sentences = r"list_filter(string_split(regexp_replace(piece, '([.;:])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ') <> '')"
+    words = r"list_filter(regexp_split_to_array(piece, '\s+'), lambda w: w <> '')"
+    return rf"""
+WITH RECURSIVE a AS (SELECT doc_id, source, {CLAUSED.replace('as string', 'AS VARCHAR')} AS text, source || ' - Article ' || doc_id || CASE WHEN coalesce(lang, '') <> '' THEN ': ' || lang ELSE '' END AS header FROM documents),
+h AS (SELECT *, greatest({target} - {COST.format('header')} - 1, 16) AS room FROM a),
+c AS (SELECT doc_id, room, unnest({pieces}) AS piece, generate_subscripts({pieces}, 1) AS no FROM h),
+big AS (SELECT *, doc_id || '/' || no AS g FROM c WHERE {COST.format('piece')} > room),
+si AS (SELECT g, room AS r, k, s, {COST.format('s')} AS cost FROM (SELECT g, room, unnest({sentences}) AS s, generate_subscripts({sentences}, 1) AS k FROM big)),
+{ranges_sql('sr', 'si', 'r')},
+sp AS (SELECT sr.g, lo, string_agg(s, ' ' ORDER BY k) AS part, sum(cost) AS cost, any_value(r) AS r FROM sr JOIN si ON si.g = sr.g AND k > lo AND k <= hi GROUP BY sr.g, lo),
+over AS (SELECT DISTINCT g FROM sp WHERE cost > r),
+wi AS (SELECT g, room AS r, k, s, {COST.format('s')} AS cost FROM (SELECT g, room, unnest({words}) AS s, generate_subscripts({words}, 1) AS k FROM big WHERE g IN (SELECT g FROM over))),
+{ranges_sql('wr', 'wi', 'r')},
+wp AS (SELECT wr.g, lo, string_agg(s, ' ' ORDER BY k) AS part FROM wr JOIN wi ON wi.g = wr.g AND k > lo AND k <= hi GROUP BY wr.g, lo),
+parts AS (
+  SELECT doc_id, no, 0 AS lo, piece AS part FROM c WHERE {COST.format('piece')} <= room
+  UNION ALL SELECT doc_id, no, lo, part FROM sp JOIN big USING (g) WHERE g NOT IN (SELECT g FROM over)
+  UNION ALL SELECT doc_id, no, lo, part FROM wp JOIN big USING (g)),
+pi AS (SELECT doc_id AS g, row_number() OVER (PARTITION BY doc_id ORDER BY no, lo) AS k, part, {COST.format('part')} AS cost, room AS r FROM parts JOIN h USING (doc_id)),
+{ranges_sql('pr', 'pi', 'r', str(overlap))},
+body AS (SELECT pr.g AS doc_id, lo, string_agg(part, ' ' ORDER BY k) AS body FROM pr JOIN pi ON pi.g = pr.g AND k > lo AND k <= hi GROUP BY pr.g, lo, hi),
+out AS (SELECT h.doc_id, source, row_number() OVER (PARTITION BY h.doc_id ORDER BY lo) - 1 AS seq, count(*) OVER (PARTITION BY h.doc_id) AS seq_total, CASE WHEN body IS NULL THEN header ELSE header || chr(10) || body END AS text FROM h LEFT JOIN body USING (doc_id))
+SELECT source || ':p:a' || doc_id || ':' || seq || ':' || substr(sha256(text), 1, 10) AS chunk_id, source AS law_id, doc_id::BIGINT AS article_no, seq, seq_total, {COST.format('text')}::BIGINT AS token_count FROM out
+"""
+
+
+def size_sql() -> str:
+    """Chunk statistics of every target, capped to the window and not."""
+    arms = []
+    for target in (300, 600, 1000):
+        for capped in (1, 0):
+            goal = min(target, DEFAULTS.embedding_max_tokens) if capped else target
+            arms.append(f"""
+SELECT sum(n)::BIGINT AS chunks, count(*) AS articles, sum(t)::BIGINT AS tokens_total, max(m)::BIGINT AS tokens_max, round(sum(t)::DOUBLE / sum(n)::DOUBLE, 1) AS tokens_mean, count_if(n > 1)::BIGINT AS articles_split, sum(o)::BIGINT AS over_window, {target}::BIGINT AS target, {capped}::BIGINT AS capped
+FROM (SELECT law_id, article_no, count(*) AS n, sum(token_count) AS t, max(token_count) AS m, count_if(token_count > {DEFAULTS.embedding_max_tokens}) AS o FROM ({pack_sql(goal, min(DEFAULTS.chunk_overlap_tokens, goal - 1))}) GROUP BY law_id, article_no)""")
+    return " UNION ALL ".join(f"({arm})" for arm in arms)
+
+
+def paragraphs_sql(room: int) -> str:
+    """Chunks of the planted pages' sections: whole paragraphs packed, a longer one cut into full runs of words, its rest left open."""
+    strip = lambda x: f"trim({x}, {ENDS})"
+    words = r"list_filter(regexp_split_to_array(p, '\s+'), lambda w: w <> '')"
+    return rf"""
+WITH RECURSIVE {sections_sql()},
+lists AS (SELECT *, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: {strip('x')}), lambda x: x <> '') AS ps FROM sections),
+para AS (SELECT doc_id, section_no, unnest(ps) AS p, generate_subscripts(ps, 1) AS no FROM lists),
+sizes AS (SELECT *, {COST.format('p')} AS cost, doc_id || '/' || section_no || '/' || no AS g FROM para),
+wi AS (SELECT g, k, s, {COST.format('s')} AS cost FROM (SELECT g, unnest({words}) AS s, generate_subscripts({words}, 1) AS k FROM sizes WHERE cost > {room})),
+wt AS (SELECT g, k, (sum(cost) OVER (PARTITION BY g ORDER BY k))::BIGINT AS total FROM wi UNION ALL SELECT DISTINCT g, 0, 0 FROM wi),
+wfirst AS (SELECT g, total, min(k) AS k FROM wt GROUP BY g, total),
+wnext AS MATERIALIZED (SELECT a.g, a.k AS lo, b.k AS hi FROM (SELECT *, total + {room} AS bound FROM wt) a ASOF JOIN wfirst b ON a.g = b.g AND a.bound <= b.total),
+wn AS MATERIALIZED (SELECT g, max(k) AS n FROM wt GROUP BY g),
+walk AS (SELECT g, lo, hi FROM wnext WHERE lo = 0 UNION ALL SELECT x.g, x.lo, x.hi FROM walk JOIN wnext x ON x.g = walk.g AND x.lo = walk.hi),
+cuts AS (SELECT g, lo, hi, true AS is_full FROM walk UNION ALL SELECT g, max(hi), any_value(n), false FROM walk JOIN wn USING (g) GROUP BY g HAVING max(hi) < any_value(n)),
+pieces AS (
+  SELECT doc_id, section_no, no, 0 AS lo, p AS piece, false AS is_full FROM sizes WHERE cost <= {room}
+  UNION ALL SELECT doc_id, section_no, no, lo, piece, is_full FROM (SELECT cuts.g, lo, is_full, string_agg(s, ' ' ORDER BY k) AS piece FROM cuts JOIN wi ON wi.g = cuts.g AND k > lo AND k <= hi GROUP BY cuts.g, lo, is_full) JOIN sizes USING (g)),
+runs AS (SELECT *, sum(is_full::INT) OVER (PARTITION BY doc_id, section_no ORDER BY no, lo) AS past FROM pieces),
+pi AS (SELECT doc_id || '/' || section_no || '/' || past AS g, doc_id, section_no, no, lo, row_number() OVER (PARTITION BY doc_id, section_no, past ORDER BY no, lo) AS k, piece, {COST.format('piece')} AS cost, {room} AS r FROM runs WHERE NOT is_full),
+{ranges_sql('pr', 'pi', 'r')},
+packed AS (
+  SELECT doc_id, section_no, no, lo, piece FROM pieces WHERE is_full
+  UNION ALL SELECT any_value(doc_id), any_value(section_no), first(no ORDER BY k), first(pi.lo ORDER BY k), string_agg(piece, chr(10) || chr(10) ORDER BY k) FROM pr JOIN pi ON pi.g = pr.g AND k > pr.lo AND k <= pr.hi GROUP BY pr.g, pr.lo),
+seqs AS (SELECT *, row_number() OVER (PARTITION BY doc_id, section_no ORDER BY no, lo) - 1 AS seq, count(*) OVER (PARTITION BY doc_id, section_no) AS seq_total FROM packed),
+titled AS (SELECT doc_id, CASE WHEN bool_or(title <> '') THEN 'Section' ELSE 'Page' END AS unit_label FROM sections GROUP BY doc_id),
+out AS (SELECT q.*, title, resolved, page_start, page_end, unit_label, 'file ' || doc_id || ' — ' || CASE WHEN title <> '' THEN title ELSE unit_label || ' ' || resolved END || chr(10) || piece AS body FROM seqs q JOIN sections USING (doc_id, section_no) JOIN titled USING (doc_id))
+SELECT doc_id || ':doc:a' || resolved || ':' || seq || ':' || substr(sha256(piece), 1, 10) AS chunk_id, doc_id::VARCHAR AS law_id, resolved AS article_no, title AS article_title, seq, seq_total, page_start::BIGINT AS page_start, page_end::BIGINT AS page_end, {COST.format('body')}::BIGINT AS token_count, unit_label
+FROM out WHERE {COST.format('piece')} >= 1
+"""
+
+
 def chunk_stats(spark, sf_dir):
     """Statistics of chunks given: documents as single chunks."""
     rows = table(spark, sf_dir, "documents").select(F.col("source").alias("law_id"), F.col("lang").alias("part_id"), (F.col("doc_id") % 7).alias("article_no"), text.token_count(F.col("text")).alias("token_count"))
@@ -252,6 +375,17 @@ def row_groups(spark, sf_dir):
     return longs(layout.grouped_rows(lines).groupBy("doc_id", "page").agg(F.max("row_no").alias("rows"), F.count("*").alias("lines")))
 
 
+ROWS_SQL = f"""
+WITH RECURSIVE {LINES_SQL},
+o AS (SELECT doc_id, page, y0, row_number() OVER (PARTITION BY doc_id, page ORDER BY y0, x0, text) AS k FROM lines),
+r AS (
+  SELECT doc_id, page, k, y0 AS anchor, 1 AS row FROM o WHERE k = 1
+  UNION ALL
+  SELECT o.doc_id, o.page, o.k, CASE WHEN abs(anchor - y0) <= 3 THEN anchor ELSE y0 END, row + CASE WHEN abs(anchor - y0) <= 3 THEN 0 ELSE 1 END FROM r JOIN o ON o.doc_id = r.doc_id AND o.page = r.page AND o.k = r.k + 1)
+SELECT doc_id, page::BIGINT AS page, max(row)::BIGINT AS rows, count(*) AS lines FROM r GROUP BY doc_id, page
+"""
+
+
 def contents_reconcile(spark, sf_dir):
     """Suppliers as parts, parts as articles: the contents list those of a quantity above 10, the body has those of orders that 4 doesn't divide."""
     li = table(spark, sf_dir, "lineitem").select(F.lit("d").alias("doc_id"), (F.col("l_suppkey") % 10 + 1).cast("int").alias("part"), F.col("l_partkey").cast("int").alias("article_no"), "l_quantity", "l_orderkey")
@@ -296,7 +430,48 @@ def article_segments(spark, sf_dir):
     return longs(found.select("doc_id", "part_id", "article_no", "title", F.length("text").alias("chars")))
 
 
+def ligature_repair(spark, sf_dir):
+    """Words of documents as glyphs of one width, but for a wide T in every second document: there it was a ligature."""
+    chars = F.filter(F.split(F.concat(F.lit("Te"), "source", F.lit("T")), ""), lambda c: c != "")
+    wide = F.when(F.col("doc_id") % 2 == 0, 9.0).otherwise(6.0)
+    glyphs = F.transform(chars, lambda c: F.struct(c.alias("c"), F.lit(0.0).alias("x0"), F.when(c == "T", wide).otherwise(9.0).alias("x1")))
+    return table(spark, sf_dir, "documents").select("doc_id", layout.repaired_text(glyphs, F.lit(10.0)).alias("repaired"))
+
+
+def gate_replies(spark, sf_dir):
+    """A gate model's replies with prose or fences around the object, and broken ones, planted on turns."""
+    body = F.concat(F.lit('{"decision": "allow", "query": "q'), F.col("turn").cast("string"), F.lit('"}'))
+    raw = F.when(F.col("turn") % 4 == 0, body).when(F.col("turn") % 4 == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(F.col("turn") % 4 == 2, F.concat(F.lit("Sure: "), body, F.lit(" done"))).otherwise(F.lit("no object"))
+    reply = text.json_object(raw, "decision string, query string")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", reply["decision"].alias("decision"), reply["query"].alias("query"))
+
+
+def instrument_keys(spark, sf_dir):
+    said = F.concat(F.lit("as told in "), F.element_at(F.array(*map(F.lit, ["Federal Decree-Law", "Cabinet Resolution", "law", "Bylaw"])), (F.col("doc_id") % 4 + 1).cast("int")), F.lit(" No. ("), (F.col("doc_id") % 97).cast("string"), F.lit(") of 20"), F.lpad((F.col("doc_id") % 30).cast("string"), 2, "0"))
+    key = text.instrument_key(said)
+    return longs(table(spark, sf_dir, "documents").select("doc_id", key["kind"].alias("kind"), key["number"].alias("number"), key["year"].alias("year")))
+
+
+def contents_entries(spark, sf_dir):
+    """Contents rows planted on events: a label, some of them spans, a title and a page number on one line each, in two orders."""
+    base = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("doc_id"), F.lit(1).alias("page"), F.lit(600.0).alias("page_width"), F.col("event_id").alias("e"), (F.col("event_id") * 10.0).alias("y0"))
+    label = F.when(F.col("e") % 5 == 0, F.concat(F.lit("Article ("), (F.col("e") % 90 + 1).cast("string"), F.lit("-"), (F.col("e") % 90 + 3).cast("string"), F.lit(")"))).otherwise(F.concat(F.lit("Article ("), (F.col("e") % 90 + 1).cast("string"), F.lit(")")))
+    cells = F.array(F.struct(label.alias("t"), F.lit(50.0).alias("x")), F.struct(F.concat(F.lit("►Title of "), F.col("e").cast("string"), F.when(F.col("e") % 3 == 0, " 12-13").otherwise("")).alias("t"), F.lit(330.0).alias("x")), F.struct((F.col("e") % 200).cast("string").alias("t"), F.lit(560.0).alias("x")))
+    lines = base.withColumn("c", F.explode(cells)).select("doc_id", "page", "page_width", "y0", F.col("c.x").alias("x0"), (F.col("c.x") + 30).alias("x1"), F.col("c.t").alias("text"))
+    crossing = base.groupBy("doc_id").agg(F.min("y0").alias("m")).select("doc_id", F.lit(1).alias("page"), F.lit(600.0).alias("page_width"), (F.col("m") - 50).alias("y0"), F.lit(40.0).alias("x0"), F.lit(580.0).alias("x1"), F.lit("Contents of this law").alias("text"))
+    return longs(layout.contents_entries(layout.grouped_rows(layout.with_sides(lines.unionByName(crossing)))).drop("page"))
+
+
+CONTENTS_SQL = """
+SELECT user_id::VARCHAR AS doc_id, (event_id % 90 + 1 + unnest(range(CASE WHEN event_id % 5 = 0 THEN 3 ELSE 1 END)))::BIGINT AS article_no, CASE WHEN event_id % 3 = 0 THEN 'Title of ' || event_id ELSE 'Title of' END AS title FROM events
+"""
+
+
 QUERIES = {
+    "ligature_repair": (ligature_repair, "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'The' || source || 'Th' ELSE 'Te' || source || 'T' END AS repaired FROM documents"),
+    "gate_replies": (gate_replies, "SELECT conv_id, turn, CASE WHEN turn % 4 < 3 THEN 'allow' END AS decision, CASE WHEN turn % 4 < 3 THEN 'q' || turn END AS query FROM conversations"),
+    "instrument_keys": (instrument_keys, "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'federaldecreelaw' WHEN 1 THEN 'cabinetresolution' ELSE 'law' END AS kind, doc_id % 97 AS number, 2000 + doc_id % 30 AS year FROM documents"),
+    "contents_entries": (contents_entries, CONTENTS_SQL),
     "article_segments": (article_segments, None),
     "sentence_split_verify": sentence_split(fixed.CLAIM_MARKS),
     "sentence_split_chunk": sentence_split(fixed.CHUNK_MARKS),
@@ -305,23 +480,23 @@ QUERIES = {
     "article_headers": (article_headers, "SELECT doc_id, source || ' - Article ' || doc_id || CASE WHEN doc_id % 3 = 0 THEN ': ' || upper(lang) WHEN doc_id % 2 = 0 THEN ' (Duties)' ELSE '' END AS header, source || '-the-' || lang AS slug FROM documents"),
     "chunk_ids": (chunk_ids, "SELECT doc_id, chunk_id, source || '#' || lang || '#art' || doc_id AS citation_key, source || ' — Article ' || doc_id || ': ' || lang || CASE WHEN doc_id % 3 > 0 THEN ' (1/' || (doc_id % 3 + 1) || ')' ELSE '' END AS heading, (('0x' || substr(sha256(chunk_id), 1, 16))::UBIGINT >> 1)::BIGINT AS point_id FROM (SELECT *, source || ':' || lang || ':a' || doc_id || ':0:' || substr(sha256(text), 1, 10) AS chunk_id FROM documents)"),
     "heading_detect": (heading_detect, heading_sql()),
-    "section_split": (section_split, None),
+    "section_split": (section_split, f"WITH {sections_sql()} SELECT doc_id, section_no::BIGINT AS section_no, title, number, resolved, page_start::BIGINT AS page_start, page_end::BIGINT AS page_end, md5(text) AS text_md5 FROM sections"),
     "assign_numbers": (assign_numbers, """
 WITH s AS (SELECT user_id AS doc_id, event_id AS section_no, CASE WHEN event_id % 3 > 0 THEN event_id * 7 % 41 END AS number FROM events),
 o AS (SELECT *, number IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, number) = 1 AS own FROM s)
 SELECT doc_id, section_no, number, CASE WHEN own THEN number ELSE coalesce(max(CASE WHEN own THEN number END) OVER (PARTITION BY doc_id), 0) + (sum((NOT own)::INT) OVER (PARTITION BY doc_id ORDER BY section_no ROWS UNBOUNDED PRECEDING))::BIGINT END AS resolved FROM o"""),
-    "chunk_documents": (chunk_documents, None),
+    "chunk_documents": (chunk_documents, paragraphs_sql(DEFAULTS.effective_chunk_tokens)),
     "coverage": (coverage, COVERAGE_SQL),
-    "chunk_pack_overlap": (chunk_pack_overlap, None),
+    "chunk_pack_overlap": (chunk_pack_overlap, pack_sql(DEFAULTS.effective_chunk_tokens, DEFAULTS.chunk_overlap_tokens)),
     "chunk_stats": (chunk_stats, STATS_SQL),
-    "chunk_size_experiment": (chunk_size_experiment, None),
+    "chunk_size_experiment": (chunk_size_experiment, size_sql()),
     "html_to_text": (html_to_text, html_sql()),
     "html_parser": (html_parser, html_sql()),
     "normalise_text": (normalise_text, f"SELECT doc_id, md5({tidy_sql(NORMAL)}) AS text_md5, md5({CORPUS_NORMAL_SQL}) AS corpus_md5 FROM documents"),
     "kind_dispatch": (kind_dispatch, KIND_SQL),
     "reading_order": (reading_order, ORDER_SQL),
     "body_layout": (body_layout, BODY_SQL),
-    "row_groups": (row_groups, None),
+    "row_groups": (row_groups, ROWS_SQL),
     "contents_reconcile": (contents_reconcile, RECONCILE_SQL),
     "section_carry": (section_carry, "SELECT user_id::VARCHAR AS part_id, event_id AS article_no, coalesce(last_value(CASE WHEN event_id % 7 = 0 THEN 'T' || event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), '') AS section FROM events"),
     "glyph_gaps": (glyph_gaps, GLYPH_SQL),

@@ -1,10 +1,14 @@
-"""Queries of the retrieval operators: sparse, dense, fusion, reranking, refusal, guard, scope, evaluation."""
+"""Queries of the retrieval operators: sparse, dense, fusion, reranking, refusal, guard, scope, evaluation.
+
+Searches read the stored index of the documents (``plans.index.index_of``), which the first query builds. Within a query the
+fused and the reranked candidates of the batch of questions are computed once.
+"""
 
 from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULTS
@@ -12,7 +16,9 @@ from lodestone.functions import fixed
 from lodestone.functions.text import probability, tokens
 from lodestone.operators import answer, dense, evaluate, fusion, guard, refusal, rerank, sparse, verify
 from lodestone.plans import ask as asking
+from lodestone.plans.index import index_of
 from lodestone.plans.common import DENSE_SQL, FUSED_SQL, RERANK_SQL, RETRIEVAL_SQL, SPARSE_SQL, asked, keywords_sql, longs, passages, question_vectors, table, text_sql, tokens_sql, vectors
+from lodestone.sources.scratch import stored
 
 # The lexical scorer's scale is its own, so its floor is too: midway between answerable and trap questions on the test tables.
 FLOOR = 0.0
@@ -38,8 +44,20 @@ def bm25_idf(spark, sf_dir):
     return found.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
+def _index(spark, sf_dir, embedder=None):
+    return index_of(passages(spark, sf_dir), f"{sf_dir}/documents.parquet", embedder)
+
+
 def _sparse(spark, sf_dir):
-    return sparse.search(passages(spark, sf_dir), asked(spark, sf_dir))
+    return sparse.search(_index(spark, sf_dir).sparse, asked(spark, sf_dir))
+
+
+def index_report(spark, sf_dir):
+    """What the stored index holds: passages, terms, postings, tokens, and the sum of its weights."""
+    index = _index(spark, sf_dir).sparse
+    posted = index.postings.agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens"))
+    weights = index.weights.agg(F.count("*").alias("terms"), F.round(F.sum(F.round("idf", 6)), 3).alias("idf_sum"))
+    return posted.crossJoin(weights).select(F.lit(index.n).cast("long").alias("passages"), "postings", "tokens", "terms", "idf_sum")  # one row each
 
 
 def bm25_topk(spark, sf_dir):
@@ -52,12 +70,6 @@ def bm25_topk_filtered(spark, sf_dir):
     return longs(sparse.restricted(_sparse(spark, sf_dir), passages(spark, sf_dir), law, 20))
 
 
-def bm25_single_doc(spark, sf_dir):
-    """A corpus of one passage: every idf is negative, so nothing is found."""
-    one = passages(spark, sf_dir).where("chunk_id = 0")
-    return longs(sparse.search(one, one.select(F.lit(1).cast("long").alias("qid"), F.col("text").alias("question"))).select("qid", "chunk_id", "score", "rank"))
-
-
 def _dense(spark, sf_dir):
     return dense.search(vectors(spark, sf_dir).drop("label"), question_vectors(spark, sf_dir).drop("label"))
 
@@ -67,7 +79,7 @@ def dense_topk(spark, sf_dir):
 
 
 def dense_topk_filtered(spark, sf_dir):
-    return longs(dense.filtered_search(vectors(spark, sf_dir), question_vectors(spark, sf_dir), "label").select("qid", "chunk_id", "score", "rank"))
+    return longs(dense.search(vectors(spark, sf_dir), question_vectors(spark, sf_dir), key="label").select("qid", "chunk_id", "score", "rank"))
 
 
 def dense_normalised(spark, sf_dir):
@@ -76,7 +88,7 @@ def dense_normalised(spark, sf_dir):
 
 
 def _fused(spark, sf_dir):
-    return fusion.fuse(_dense(spark, sf_dir), _sparse(spark, sf_dir))
+    return stored(fusion.fuse(_dense(spark, sf_dir), _sparse(spark, sf_dir)), "fused")
 
 
 def rrf_fuse(spark, sf_dir):
@@ -95,9 +107,9 @@ def hybrid_stats(spark, sf_dir):
     return longs(fusion.fusion_stats(asked(spark, sf_dir), _fused(spark, sf_dir)))
 
 
-def _ranked(spark, sf_dir):
-    rows = fusion.top_fused(_fused(spark, sf_dir)).join(passages(spark, sf_dir), "chunk_id").join(asked(spark, sf_dir), "qid")
-    return rerank.rerank(rows)
+def _ranked(spark, sf_dir, fused=None):
+    rows = fusion.top_fused(_fused(spark, sf_dir) if fused is None else fused).join(passages(spark, sf_dir), "chunk_id").join(asked(spark, sf_dir), "qid")
+    return stored(rerank.rerank(rows), "ranked")
 
 
 def passthrough_topk(spark, sf_dir):
@@ -112,9 +124,10 @@ def score_ladder(spark, sf_dir):
     return fusion.ladder(_ranked(spark, sf_dir)).select("qid", "chunk_id", "ladder")
 
 
-def _gated(spark, sf_dir):
-    ranked = _ranked(spark, sf_dir)
-    stats = fusion.fusion_stats(asked(spark, sf_dir), _fused(spark, sf_dir))
+def _gated(spark, sf_dir, fused=None):
+    fused = _fused(spark, sf_dir) if fused is None else fused
+    ranked = _ranked(spark, sf_dir, fused)
+    stats = fusion.fusion_stats(asked(spark, sf_dir), fused)
     questions = guard.check_scope(asked(spark, sf_dir)).join(stats.select("qid", "best_dense"), "qid")
     return refusal.refusal_gate(questions, ranked, LEXICAL), ranked
 
@@ -287,7 +300,8 @@ def refusal_detect(spark, sf_dir):
 
 def answer_segments(spark, sf_dir):
     rows = _cited(spark, sf_dir)[0]
-    return longs(verify.segments(rows, ["doc_id"]).groupBy("doc_id").agg(F.count_if(F.col("kind") == "citation").alias("citations"), F.sum(F.length("value")).alias("chars")))
+    order = Window.partitionBy("doc_id").orderBy("seq")
+    return longs(verify.segments(rows, ["doc_id"]).select("doc_id", F.row_number().over(order).alias("seq"), "kind", "value"))
 
 
 CITED_SQL = rf"""
@@ -308,11 +322,31 @@ claims AS (
 
 
 # Evaluation: a question is answerable if its text occurs in a document; those documents are its gold.
+def _gold(spark, sf_dir):
+    """(qid) of the questions whose text occurs in a document.
+
+    A text that holds the question holds every token of it that neither end may cut, so the rarest of these names the documents to look at. The few
+    questions without such a token meet every document.
+    """
+    labels = asked(spark, sf_dir)
+    inner = tokens(F.regexp_replace("question", r"(?i)^[^a-z0-9]*[a-z0-9]+|[a-z0-9]+[^a-z0-9]*$", ""))
+    terms = labels.select("qid", F.explode(inner).alias("term")).distinct()
+    index = _index(spark, sf_dir).sparse
+    rarest = sparse.small(terms).join(index.weights, "term").groupBy("qid").agg(F.min_by("term", F.struct("df", "term")).alias("term"), F.count("*").alias("held"))
+    whole = terms.groupBy("qid").agg(F.count("*").alias("wanted")).join(rarest, "qid").where("held = wanted")  # a token that no document holds ends the matter
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    met = index.postings.select("term", "chunk_id").join(sparse.small(whole.select("qid", "term")), "term").join(texts, "chunk_id").join(labels, "qid").where(F.col("text").contains(F.col("question")))
+    bare = labels.join(terms, "qid", "left_anti")
+    rest = texts.join(sparse.small(bare), F.col("text").contains(F.col("question")))
+    return met.select("qid").unionByName(rest.select("qid")).distinct()
+
+
 def _outcomes(spark, sf_dir):
-    gated, ranked = _gated(spark, sf_dir)
+    fused = _fused(spark, sf_dir)
+    gated, ranked = _gated(spark, sf_dir, fused)
     labels = asked(spark, sf_dir).select("qid", F.col("question").alias("must_contain"))
-    gold = table(spark, sf_dir, "documents").select("text").join(F.broadcast(labels), F.col("text").contains(F.col("must_contain"))).select("qid").distinct().withColumn("answerable", F.lit(True))
-    arms = [("with_rerank", ranked.withColumn("rank", F.col("final_rank")), True), ("no_rerank", rerank.passthrough(fusion.top_fused(_fused(spark, sf_dir))).join(passages(spark, sf_dir), "chunk_id").withColumn("rank", F.col("final_rank")), False)]
+    gold = _gold(spark, sf_dir).withColumn("answerable", F.lit(True))
+    arms = [("with_rerank", ranked.withColumn("rank", F.col("final_rank")), True), ("no_rerank", rerank.passthrough(fusion.top_fused(fused)).join(passages(spark, sf_dir), "chunk_id").withColumn("rank", F.col("final_rank")), False)]
     out = None
     for name, rows, refuses in arms:
         found = evaluate.phrase_ranks(labels, rows)
@@ -357,25 +391,58 @@ def quality_gate(spark, sf_dir):
 
 
 def highlight_sentences(spark, sf_dir):
-    """Each document against an answer made of its first 300 characters."""
-    pairs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("passage"), F.substring("text", 1, 300).alias("answer"))
+    """Each document against an answer made of every third of its sentences."""
+    sentences = F.filter(F.regexp_extract_all("text", F.lit("[^.;:]+[.;:]?"), 0), lambda s, i: i % 3 == 0)
+    pairs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("passage"), F.array_join(sentences, " ").alias("answer"))
     return longs(answer.highlights(pairs, ["doc_id"]))
 
 
+HIGHLIGHT_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(text, '[^.;:]+[.;:]?|[.;:]') AS parts, list_filter(regexp_extract_all(text, '[^.;:]+[.;:]?'), lambda s, i: (i - 1) % 3 = 0) AS used FROM documents),
+k AS (SELECT doc_id, parts, list_distinct(regexp_extract_all(lower(array_to_string(used, ' ')), '[a-z0-9]{4,}')) AS known FROM t),
+p AS (SELECT doc_id, known, unnest(parts) AS part, generate_subscripts(parts, 1) AS seq FROM k),
+q AS (SELECT *, (sum(length(part)) OVER (PARTITION BY doc_id ORDER BY seq))::BIGINT AS upto, regexp_extract_all(lower(part), '[a-z0-9]{4,}') AS words FROM p),
+w AS (SELECT doc_id, upto - length(part) AS a, upto AS b FROM q WHERE len(words) >= 4 AND len(list_filter(words, lambda x: list_contains(known, x)))::DOUBLE / len(words) >= 0.6),
+i AS (SELECT *, CASE WHEN a - lag(b) OVER (PARTITION BY doc_id ORDER BY a) <= 2 THEN 0 ELSE 1 END AS new FROM w),
+j AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY a) AS island FROM i)
+SELECT doc_id, min(a) AS start, max(b) AS "end" FROM j GROUP BY doc_id, island
+"""
+
+
 def citation_offsets(spark, sf_dir):
     return verify.citation_offsets(_cited(spark, sf_dir)[0], "doc_id")
 
 
+SMALL = dense.HashingEmbedder(64)
+
+
+def _chunks(spark, sf_dir):
+    docs, text = table(spark, sf_dir, "documents"), F.lit
+    return docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("law_id"), F.initcap("source").alias("law_label"), text("doc").alias("part_id"), (F.col("doc_id") % 9000 + 1).alias("article_no"), text("").alias("article_title"), text("").alias("section"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), "text", text("Article").alias("unit_label"))
+
+
 def ask_end_to_end(spark, sf_dir):
     """Every user turn asked of the documents, with the offline models."""
     turns = guard.previous_user_turn(table(spark, sf_dir, "conversations")).where("role = 'user'")
     questions = turns.select(F.concat_ws("-", "conv_id", "turn").alias("qid"), F.col("text").alias("question"), "previous")
-    docs = table(spark, sf_dir, "documents")
-    text = lambda c: F.lit(c)
-    chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("law_id"), F.initcap("source").alias("law_label"), text("doc").alias("part_id"), (F.col("doc_id") % 9000 + 1).alias("article_no"), text("").alias("article_title"), text("").alias("section"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), "text", text("Article").alias("unit_label"))
-    small = dense.HashingEmbedder(64)
-    index = asking.Index(chunks, dense.embed(chunks, F.col("text"), small).select("chunk_id", "embedding"))
-    return longs(asking.ask(questions, index, replace(LEXICAL, source_profile="workspace"), small).select("qid", "kind", "signal", "cited", "unsupported_count", F.md5("answer").alias("answer_md5")))
+    index = index_of(_chunks(spark, sf_dir), f"{sf_dir}/documents.parquet", SMALL)
+    return longs(asking.ask(questions, index, replace(LEXICAL, source_profile="workspace"), SMALL).select("qid", "kind", "signal", "cited", "unsupported_count", F.md5("answer").alias("answer_md5")))
+
+
+def hybrid_retrieve_law(spark, sf_dir):
+    """Hybrid retrieval within a law for every second question: source ``src<qid mod 20>``."""
+    questions = question_vectors(spark, sf_dir).drop("label").join(asked(spark, sf_dir), "qid").withColumn("law_id", F.when(F.col("qid") % 2 == 0, F.concat(F.lit("src"), (F.col("qid") % 20).cast("string"))))
+    index = _index(spark, sf_dir)
+    owned = vectors(spark, sf_dir).drop("label").join(index.chunks.select("chunk_id", "law_id"), "chunk_id")
+    fused = asking.fused_candidates(questions, replace(index, vectors=owned))
+    return longs(fusion.top_fused(fused).select(*TRAIL))
+
+
+LAW_SQL = """
+asked AS (SELECT item_id AS qid, CASE WHEN item_id % 2 = 0 THEN 'src' || (item_id % 20) END AS law FROM benchmark),
+dense AS (SELECT qid, chunk_id, score, rank FROM (SELECT a.qid, chunk_id, score, row_number() OVER (PARTITION BY a.qid ORDER BY score DESC, chunk_id) AS rank FROM dense_all x JOIN asked a ON a.qid = x.qid JOIN documents d ON d.doc_id = chunk_id WHERE law IS NULL OR d.source = law) WHERE rank <= 20),
+sparse_law AS (SELECT s.qid, s.chunk_id, score, row_number() OVER (PARTITION BY s.qid ORDER BY score DESC, s.chunk_id) AS rank FROM sparse s JOIN asked a ON a.qid = s.qid JOIN documents d ON d.doc_id = s.chunk_id WHERE law IS NULL OR d.source = law)
+"""
 
 
 WITH = f"WITH {SPARSE_SQL} "
@@ -393,7 +460,7 @@ QUERIES = {
     "bm25_idf": (bm25_idf, WITH + "SELECT term, df, round(idf, 6) AS idf FROM idf"),
     "bm25_topk": (bm25_topk, WITH + "SELECT qid, chunk_id, score, rank FROM sparse"),
     "bm25_topk_filtered": (bm25_topk_filtered, WITH + "SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM sparse JOIN tok USING (chunk_id) WHERE law_id = 'src' || (qid % 20)"),
-    "bm25_single_doc": (bm25_single_doc, "SELECT 1::BIGINT AS qid, doc_id AS chunk_id, 0.0::DOUBLE AS score, 1::BIGINT AS rank FROM documents WHERE false"),
+    "index_report": (index_report, WITH + "SELECT (SELECT n FROM stats) AS passages, (SELECT count(*) FROM posted) AS postings, (SELECT sum(tf)::BIGINT FROM posted) AS tokens, count(*) AS terms, round(sum(round(idf, 6)), 3) AS idf_sum FROM idf"),
     "dense_topk": (dense_topk, f"WITH {DENSE_SQL} SELECT qid, chunk_id, score, rank FROM dense"),
     "dense_topk_filtered": (dense_topk_filtered, f"WITH {DENSE_SQL} SELECT * FROM (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM dense_all WHERE label = qlabel) WHERE rank <= 20"),
     "dense_normalised": (dense_normalised, "SELECT vec_id AS chunk_id, len(embedding)::BIGINT AS dim, 1.0::DOUBLE AS norm, round(embedding[1]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS first FROM embeddings"),
@@ -419,7 +486,10 @@ QUERIES = {
     "verify_citations": (verify_citations, JUDGED + "SELECT doc_id, pos, label, number, status, chunk_id, citation_key FROM checked"),
     "verification_report": (verification_report, JUDGED + "SELECT doc_id, cited, cited - wrong::BIGINT AS verified_count, wrong::BIGINT AS unsupported_count, uncited, (wrong = 0)::BIGINT AS passed FROM per JOIN claims USING (doc_id)"),
     "refusal_detect": (refusal_detect, JUDGED + f"SELECT doc_id, (cited = wrong AND regexp_matches(substr(trim(answer), 1, 600), {text_sql(fixed.REFUSAL_MARKER)}))::BIGINT AS refusal FROM rows JOIN per USING (doc_id)"),
-    "answer_segments": (answer_segments, JUDGED + "SELECT doc_id, cited AS citations, length(answer)::BIGINT AS chars FROM rows JOIN per USING (doc_id)"),
+    "answer_segments": (answer_segments, JUDGED + rf"""
+      , cuts AS (SELECT doc_id, string_split(regexp_replace(answer, {text_sql('(' + fixed.CITATION.removeprefix('(?i)') + ')')}, chr(1) || '\1' || chr(1), 'gi'), chr(1)) AS parts FROM rows),
+      seg AS (SELECT doc_id, unnest(list_filter(parts, lambda p: p <> '')) AS value, generate_subscripts(list_filter(parts, lambda p: p <> ''), 1) AS seq FROM cuts)
+      SELECT doc_id, seq, CASE WHEN regexp_matches(value, {text_sql(fixed.CITATION)}) THEN 'citation' ELSE 'text' END AS kind, value FROM seg"""),
     "eval_outcomes": (eval_outcomes, EVALUATED + "SELECT config, qid, answerable::BIGINT AS answerable, gold_rank, retrieved, refused::BIGINT AS refused, best_score FROM outcomes"),
     "eval_metrics": (eval_metrics, EVALUATED + """SELECT config, count_if(answerable)::BIGINT AS answerable, count_if(NOT answerable)::BIGINT AS traps,
       round(avg(CASE WHEN answerable THEN coalesce(gold_rank = 1, false)::INT END), 6) AS hit_rate_at_1, round(avg(CASE WHEN answerable THEN coalesce(gold_rank <= 5, false)::INT END), 6) AS hit_rate_at_5,
@@ -431,7 +501,12 @@ QUERIES = {
       round(avg(CASE WHEN answerable THEN coalesce(1.0::DOUBLE / gold_rank, 0) END), 6) AS mrr, round(avg(CASE WHEN NOT answerable THEN refused::INT END), 6) AS ra, count_if(answerable AND refused)::DOUBLE AS fr FROM outcomes WHERE config = 'with_rerank'),
       g AS (SELECT unnest(['hit_rate_at_1', 'hit_rate_at_5', 'mrr', 'refusal_accuracy', 'false_refusals']) AS metric, unnest([h1, h5, mrr, ra, fr]) AS value, unnest([0.70::DOUBLE, 0.90, 0.78, 0.78, 0.0]) AS floor FROM m)
       SELECT metric, value, floor, (CASE WHEN metric = 'false_refusals' THEN coalesce(value, 0) <= floor ELSE coalesce(value >= floor, false) END)::BIGINT AS passed FROM g"""),
-    "highlight_sentences": (highlight_sentences, None),
-    "citation_offsets": (citation_offsets, None),
+    "hybrid_retrieve_law": (hybrid_retrieve_law, f"WITH {SPARSE_SQL}, {DENSE_SQL.replace('dense AS (SELECT * FROM (SELECT', 'dense_any AS (SELECT * FROM (SELECT')}, {LAW_SQL}, {FUSED_SQL.replace('JOIN sparse s', 'JOIN sparse_law s')} SELECT {', '.join(TRAIL)} FROM fused"),
+    "highlight_sentences": (highlight_sentences, HIGHLIGHT_SQL),
+    "citation_offsets": (citation_offsets, JUDGED + rf"""
+      , cuts AS (SELECT doc_id, list_filter(string_split(regexp_replace(answer, {text_sql('(' + fixed.CITATION.removeprefix('(?i)') + ')')}, chr(1) || '\1' || chr(1), 'gi'), chr(1)), lambda p: p <> '') AS parts FROM rows),
+      seg AS (SELECT doc_id, unnest(parts) AS value, generate_subscripts(parts, 1) AS seq FROM cuts),
+      placed AS (SELECT *, (sum(length(value)) OVER (PARTITION BY doc_id ORDER BY seq))::BIGINT AS upto FROM seg)
+      SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS pos, upto - length(value) AS start, upto AS "end" FROM placed WHERE regexp_matches(value, {text_sql(fixed.CITATION)})"""),
     "ask_end_to_end": (ask_end_to_end, None),
 }

@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULTS
-from lodestone.operators import answer, evaluate, guard, workspace
+from lodestone.operators import answer, dense, evaluate, guard, workspace
 from lodestone.plans.common import longs, table
 from lodestone.sources import manifest
 from lodestone.streaming import sessions
@@ -149,13 +149,6 @@ def unknown_laws(spark, sf_dir):
     return guard.unknown_laws(asked, table(spark, sf_dir, "documents").select(F.col("source").alias("law_id"))).select("qid", "law_id")
 
 
-def answer_relevance(spark, sf_dir):
-    """The mean cosine of the first forty vectors with those of their label, as if generated from their answers."""
-    v = table(spark, sf_dir, "embeddings")
-    q = v.where("vec_id < 40").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"), "label")
-    return evaluate.answer_relevance(q.join(v.where("vec_id >= 40").select("label", F.col("embedding").alias("gv")), "label", "left"))
-
-
 def answer_relevance_all(spark, sf_dir):
     """The mean cosine of every vector with all other vectors of its label."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("v"), F.col("label").alias("group"))
@@ -179,10 +172,61 @@ WITH p AS (SELECT ['embedding', 'reranker', 'other'][event_id % 4 + 1] AS stage,
 SELECT * FROM (SELECT stage, peak_mb, CASE WHEN peak_mb IS NULL THEN 'missing' WHEN peak_mb > 600 THEN 'over budget' END AS problem FROM p FULL JOIN (SELECT unnest(['embedding', 'reranker', 'vectorstore']) AS stage) USING (stage)) WHERE problem IS NOT NULL
 """
 
+def workspace_removal(spark, sf_dir):
+    """Documents of sessions (users) without every fifth one, and without whole sessions of users that 11 divides."""
+    docs = table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("doc_id"))
+    one = docs.where("doc_id % 5 = 0")
+    whole = docs.where("session_id % 11 = 0").select("session_id", F.lit(None).cast("long").alias("doc_id")).distinct()
+    return workspace.removed(docs, one.unionByName(whole)).select("session_id", "doc_id")
+
+
+def workspace_vectors(spark, sf_dir):
+    """Two chunks of each document, in the order in which a session asks for its documents: the latest first."""
+    docs = table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("doc_id"), (-F.col("event_id")).alias("position"))
+    held = docs.select("session_id", "doc_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("seq"))
+    return longs(workspace.vectors_for(held, docs.where("doc_id % 3 > 0")))
+
+
+def scope_states(spark, sf_dir):
+    """Questions of sessions: some without documents, some whose chunks and vectors differ in number."""
+    events = table(spark, sf_dir, "events")
+    docs = events.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("doc_id"), F.when(F.col("user_id") % 4 == 0, 2).otherwise(1).alias("chunks")).where("session_id % 3 > 0")
+    asked = events.select(F.col("event_id").alias("qid"), F.when(F.col("event_id") % 7 == 0, "corpus").otherwise("workspace").alias("scope"), F.col("user_id").alias("session_id"))
+    return longs(workspace.scope_problems(asked, docs, docs.select("session_id", "doc_id")).select("qid", "status"))
+
+
+def gold_ranks(spark, sf_dir):
+    """Labels (customers' nations as laws) against ranked rows (suppliers): the first with the law, the number and, where a label names one, the part."""
+    labels = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("qid"), F.col("c_nationkey").cast("string").alias("law_id"), (F.col("c_custkey") % 3).cast("int").alias("article_no"), F.when(F.col("c_custkey") % 4 == 0, "decree-law").when(F.col("c_custkey") % 4 == 1, "cabinet-resolution").alias("part"))
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("law_id"), (F.col("s_suppkey") % 3).cast("int").alias("article_no"), F.when(F.col("s_suppkey") % 2 == 0, "cabinet-resolution-1").otherwise("law-1").alias("part_id"), F.col("s_suppkey").alias("rank"))
+    ranked = labels.select("qid", "law_id").join(suppliers, "law_id")
+    return longs(evaluate.gold_ranks(labels, ranked))
+
+
+def payload_columns(spark, sf_dir):
+    """What is stored beside a vector, read back: all fields but the unit label."""
+    d, lit = F.col, F.lit
+    chunks = table(spark, sf_dir, "documents").select(
+        d("doc_id").alias("chunk_id"), d("source").alias("law_id"), d("source").alias("law_label"), lit("t").alias("law_title"), lit("p").alias("part_id"), lit("P").alias("part_title"), d("doc_id").alias("article_no"), d("lang").alias("article_title"),
+        lit("").alias("section"), lit(0).alias("seq"), lit(1).alias("seq_total"), lit(1).alias("page_start"), lit(2).alias("page_end"), "text", d("n_chars").alias("token_count"), lit("Section").alias("unit_label"))
+    return longs(dense.payload(chunks))
+
+
+def chunk_lookup(spark, sf_dir):
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("law_id"))
+    return longs(workspace.chunk_lookup(chunks, table(spark, sf_dir, "events").select((F.col("event_id") * 3).alias("chunk_id")).distinct()))
+
+
 QUERIES = {
+    "workspace_removal": (workspace_removal, "SELECT user_id AS session_id, event_id AS doc_id FROM events WHERE event_id % 5 > 0 AND user_id % 11 > 0"),
+    "workspace_vectors": (workspace_vectors, "SELECT user_id AS session_id, event_id AS doc_id, s AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC, s) AS row_no FROM events, (SELECT unnest([0::BIGINT, 1]) AS s) WHERE event_id % 3 > 0"),
+    "scope_states": (scope_states, "SELECT event_id AS qid, CASE WHEN event_id % 7 = 0 THEN 200 WHEN user_id % 3 = 0 THEN 409 WHEN user_id % 4 = 0 THEN 500 ELSE 200 END::BIGINT AS status FROM events"),
+    "gold_ranks": (gold_ranks, """SELECT c_custkey AS qid, min(s_suppkey) AS gold_rank FROM customer LEFT JOIN supplier ON s_nationkey = c_nationkey AND s_suppkey % 3 = c_custkey % 3
+      AND (c_custkey % 4 > 1 OR (c_custkey % 4 = 0 AND s_suppkey % 2 = 1) OR (c_custkey % 4 = 1 AND s_suppkey % 2 = 0)) GROUP BY c_custkey"""),
+    "payload_columns": (payload_columns, "SELECT doc_id AS chunk_id, source AS law_id, source AS law_label, 't' AS law_title, 'p' AS part_id, 'P' AS part_title, doc_id AS article_no, lang AS article_title, '' AS section, 0::BIGINT AS seq, 1::BIGINT AS seq_total, 1::BIGINT AS page_start, 2::BIGINT AS page_end, text, n_chars AS token_count FROM documents"),
+    "chunk_lookup": (chunk_lookup, "SELECT e.id AS chunk_id, source AS law_id, (doc_id IS NOT NULL)::BIGINT AS found FROM (SELECT DISTINCT event_id * 3 AS id FROM events) e LEFT JOIN documents ON doc_id = e.id"),
     "digest_check": (digest_check, "SELECT doc_id || '.txt' AS filename, CASE WHEN doc_id % 10 = 0 THEN 'missing' ELSE 'digest differs' END AS problem FROM documents WHERE doc_id % 10 = 0 OR doc_id % 3 = 2"),
     "unknown_laws": (unknown_laws, "SELECT item_id AS qid, 'src' || (item_id % 30) AS law_id FROM benchmark WHERE item_id % 7 > 0 AND 'src' || (item_id % 30) NOT IN (SELECT source FROM documents)"),
-    "answer_relevance": (answer_relevance, "SELECT q.vec_id AS qid, coalesce(round(avg(list_cosine_similarity(q.embedding::DOUBLE[], g.embedding::DOUBLE[])), 6), 0.0::DOUBLE) AS relevance FROM embeddings q LEFT JOIN embeddings g ON g.label = q.label AND g.vec_id >= 40 WHERE q.vec_id < 40 GROUP BY q.vec_id"),
     "answer_relevance_all": (answer_relevance_all, "SELECT q.vec_id AS qid, coalesce(round(avg(list_cosine_similarity(q.embedding::DOUBLE[], g.embedding::DOUBLE[])), 6), 0.0::DOUBLE) AS relevance FROM embeddings q LEFT JOIN embeddings g ON g.label = q.label AND g.vec_id <> q.vec_id GROUP BY q.vec_id"),
     "faithfulness": (faithfulness, "SELECT doc_id % 50 AS qid, count(*) AS claims, round(avg((quality = 1)::INT), 6) AS faithfulness FROM labels GROUP BY 1"),
     "budget_log": (budget_log, BUDGET_SQL),

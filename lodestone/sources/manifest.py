@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +32,37 @@ def fetch_problem(url: Column, content: Column) -> Column:
     return F.when(~url.startswith("https://"), "not https").when(F.substring(content, 1, 5) != F.encode(F.lit("%PDF-"), "UTF-8"), "not a PDF").when(F.octet_length(content) < MIN_PDF_BYTES, "too small")
 
 
+def download(urls: list[str], get: Callable[[str], bytes]) -> tuple[str | None, bytes | None, str | None]:
+    """(retrieved_from, content, problem) of the first of the URLs that serves a whole PDF; the problems of all if none does."""
+    problems = []
+    for url in filter(None, urls):
+        if not url.startswith("https://"):
+            problems.append(f"{url}: not https")
+            continue
+        try:
+            content = get(url)
+        except (OSError, ValueError) as e:
+            problems.append(f"{url}: {e}")
+            continue
+        if content.startswith(b"%PDF-") and len(content) >= MIN_PDF_BYTES:
+            return url, content, None
+        problems.append(f"{url}: " + ("too small" if content.startswith(b"%PDF-") else "not a PDF"))
+    return None, None, "; ".join(problems) or "no URL is declared"
+
+
+def downloaded(manifest: DataFrame, get: Callable[[str], bytes]) -> DataFrame:
+    """(filename, retrieved_from, content, problem) of declared sources: the official address, then the mirror. ``get`` is the network."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, official, mirror in zip(*(batch.column(c).to_pylist() for c in ("filename", "official_url", "mirror_url")), strict=True):
+                url, content, problem = download([official, mirror], get)
+                row = [pa.array([name], pa.string()), pa.array([url], pa.string()), pa.array([content], pa.binary()), pa.array([problem], pa.string())]
+                yield pa.record_batch(row, names=["filename", "retrieved_from", "content", "problem"])
+
+    return manifest.select("filename", "official_url", "mirror_url").mapInArrow(run, "filename string, retrieved_from string, content binary, problem string")
+
+
 def digest_problems(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """(filename, problem): declared files that are missing or differ from their pin; a pin of zeros passes.
 
