@@ -416,6 +416,11 @@ def citation_offsets(spark, sf_dir):
 SMALL = dense.HashingEmbedder(64)
 
 
+def build_index(spark, sf_dir):
+    """Build the stored index of the documents, with the vectors of the offline embedder, if it isn't there: searches before it would."""
+    index_of(_chunks(spark, sf_dir), f"{sf_dir}/documents.parquet", SMALL)
+
+
 def _chunks(spark, sf_dir):
     docs, text = table(spark, sf_dir, "documents"), F.lit
     return docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("law_id"), F.initcap("source").alias("law_label"), text("doc").alias("part_id"), (F.col("doc_id") % 9000 + 1).alias("article_no"), text("").alias("article_title"), text("").alias("section"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), "text", text("Article").alias("unit_label"))

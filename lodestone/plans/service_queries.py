@@ -50,6 +50,22 @@ def stream_sessions_batch(spark, sf_dir):
     return sessions.sessions(table(spark, sf_dir, "events"), "user_id", TIGHT)
 
 
+def _event_stream(spark, sf_dir):
+    path = f"{sf_dir}/[e]vents.parquet"  # a pattern, which may match one file as well as a folder of them; a plain path must be a folder
+    return sessions.event_stream(spark, path, table(spark, sf_dir, "events").schema)
+
+
+def stream_rate_run(spark, sf_dir):
+    """Rate limits by a stream over the event files, run to the end of its input."""
+    return sessions.finished(sessions.rate_counts(_event_stream(spark, sf_dir)), "stream-rate").select(F.col("client").alias("user_id"), F.col("minute").cast("timestamp_ntz").alias("minute"), "requests")
+
+
+def stream_sessions_run(spark, sf_dir):
+    """Session runs by a stream over the event files, run to the end of its input."""
+    found = sessions.finished(sessions.sessions(_event_stream(spark, sf_dir), "user_id", TIGHT), "stream-sessions")
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started", "ended")})
+
+
 def usage_cost(spark, sf_dir):
     calls = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("model"), F.length("props").cast("long").alias("input_tokens"), (F.col("event_id") % 700).alias("output_tokens"))
     prices = spark.createDataFrame([("click", 1.0, 5.0), ("view", 2.0, 4.0)], "model string, price_in double, price_out double")
@@ -244,6 +260,11 @@ SELECT user_id AS session_id, session_no, min(ts) AS started, max(ts) AS ended,
 WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 172800 SECOND THEN 0 ELSE 1 END AS n FROM events),
 r AS (SELECT user_id, ts, sum(n) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM g)
 SELECT user_id, min(ts) AS started, max(ts) AS ended, count(*) AS events FROM r GROUP BY user_id, k"""),
+    "stream_sessions_run": (stream_sessions_run, """
+WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 172800 SECOND THEN 0 ELSE 1 END AS n FROM events),
+r AS (SELECT user_id, ts, sum(n) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS started, max(ts) AS ended, count(*) AS events FROM r GROUP BY user_id, k"""),
+    "stream_rate_run": (stream_rate_run, "SELECT user_id, date_trunc('minute', ts) AS minute, count(*) AS requests FROM events GROUP BY ALL"),
     "usage_cost": (usage_cost, "SELECT event_id, round((length(props) * CASE event_type WHEN 'click' THEN 1.0::DOUBLE WHEN 'view' THEN 2.0 ELSE 3.0 END + (event_id % 700) * CASE event_type WHEN 'click' THEN 5.0::DOUBLE WHEN 'view' THEN 4.0 ELSE 15.0 END) / 1000000, 6) AS usd FROM events"),
     "latency_summary": (latency_summary, "SELECT event_type, round(median(value), 1) AS p50_ms, round(list_sort(list(value))[least(count(*) - 1, floor(count(*) * 0.95))::INT + 1], 1) AS p95_ms, round(max(value), 1) AS max_ms FROM events WHERE value IS NOT NULL GROUP BY event_type"),
     "upper_median": (upper_median, "SELECT event_type, list_sort(list(value))[count(*) // 2 + 1] AS p50_ms FROM events WHERE value IS NOT NULL GROUP BY event_type"),

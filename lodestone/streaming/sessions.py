@@ -11,13 +11,30 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestone.config import DEFAULTS, EngineConfig
 from lodestone.operators.answer import answer_deltas
+from lodestone.sources import scratch
 
 WATERMARK = "10 minutes"
 
 
 def event_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
-    """A file stream of Parquet events with a watermark on ``ts``; later rows are dropped and counted by the engine."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path).withWatermark("ts", WATERMARK)
+    """A file stream of Parquet events with a watermark on ``ts``, as a timestamp of the session's zone; later rows are dropped and counted by the engine."""
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", WATERMARK)
+
+
+def finished(stream: DataFrame, name: str) -> DataFrame:
+    """The result table of an aggregating stream once all input that is there now has been read.
+
+    Each batch replaces the table by the complete result of the moment; state and progress lie in the shared folder, so a lost executor or a restart loses none.
+    """
+    spark = stream.sparkSession
+    out = scratch.scratch(spark, name)
+    query = (
+        stream.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{out}-progress")
+        .foreachBatch(lambda rows, batch: rows.write.mode("overwrite").parquet(out)).start()
+    )
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
 
 
 def rate_counts(events: DataFrame, client: str = "user_id") -> DataFrame:

@@ -18,6 +18,11 @@ def test_bm25_worked_example(spark):
     assert ask("aa") == [] and ask("the of") == [] and ask("zz") == []
 
 
+def test_a_corpus_of_one_passage_finds_nothing(spark):
+    one = spark.createDataFrame([("d", "aa bb bb cc")], "chunk_id string, text string")
+    assert sparse.search(one, spark.createDataFrame([(1, "aa bb")], "qid long, question string")).collect() == []
+
+
 def test_rrf(spark):
     dense_hits, sparse_hits = hits(spark, [(1, "both", 0.9, 1), (1, "d", 0.8, 2)]), hits(spark, [(1, "both", 5.0, 1), (1, "s", 4.0, 2)])
     got = {r["chunk_id"]: r["rrf_score"] for r in fusion.reciprocal_rank_fusion([dense_hits, sparse_hits]).collect()}
