@@ -1,43 +1,22 @@
-"""Shared storage for tables that cut lineage."""
+"""What several operators use: tables that cut lineage, hashes, bounded batches."""
 
 from __future__ import annotations
 
 import ctypes
-import re
-import tempfile
-import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
+from lodestone.sources.scratch import discard, scratch, shared_dir, stored
 
+__all__ = ["bounded_batches", "discard", "give_back", "keyed", "mixed", "scratch", "shared_dir", "small", "stored", "tidied"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests), a folder made once per application."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found and "://" in found:
-        return found.rstrip("/")
-    if found:  # a path without a scheme belongs to the default file system
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
-        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        return re.sub("^file:/+", "file:///", fs.makeQualified(path).toString()).rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-    return _own[app]
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; any executor reads what another wrote there."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lost executors cost no recomputation."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser over an array of unsigned 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 MAX_BROADCAST_ROWS = 50_000

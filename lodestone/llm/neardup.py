@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import keyed, stored, tidied
+from lodestone.llm.common import discard, keyed, mixed, stored, tidied
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -36,12 +36,6 @@ BLOCK = 1024
 EMPTY_WORD = np.int64(np.uint64(xxhash.xxh64(b"", seed=42).intdigest()).view(np.int64))  # how Spark hashes the empty string
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def word_hashes(text):
     """The hashes of a text's words: lower case, split at white space; empty ends are told by ``EMPTY_WORD``."""
     return F.transform(F.split(F.lower(text), r"\s+"), lambda w: F.xxhash64(w))
@@ -199,7 +193,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         heads = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(heads, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(heads.select("u", F.col("m").alias("v")))
-        links = stored(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+        before, links = links, stored(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+        discard(before)
         now = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if now == state:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -299,6 +294,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     table = stored(shingle_table(texts.join(needed.hint("shuffle_hash"), "node", "left_semi")), "shingles")
 
     links = roots = tested = None
+    spent = [found, live, table]  # tables that nothing reads once the components are known
     for turn in range(STAR_ROUNDS + 1):
         if roots is None:
             open_ = live.withColumn("root", F.col("node"))
@@ -306,6 +302,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             open_ = live.join(roots, "node", "left").select("key", "node", "reach", "sketch", "tags", F.coalesce("root", "node").alias("root"))
             split = open_.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
             open_ = stored(open_.join(split, "key", "left_semi"), "open")
+            spent.append(open_)
         if turn < STAR_ROUNDS:
             centre = F.max(F.struct("reach", -F.col("node"), "root", "sketch")).alias("c")
             centres = (open_ if turn == 0 else outside_top(open_)).groupBy("key").agg(centre)
@@ -316,11 +313,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             met = met.join(tested, ["a", "b"], "left_anti")
         met = stored(met, "pairs")
         good = stored(verified(met, table), "verified")
+        spent += [met, good]
         tested = met if tested is None else tested.unionByName(met)
         links = good if links is None else links.unionByName(good)
         if turn == STAR_ROUNDS and good.isEmpty():
             break
         roots = components(links)
+    discard(*spent)
 
     member = nodes.select("k1", "k2", "node").join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("class_id"))
     out = signed.select("doc_id", "k1", "k2", "n_words").join(member, ["k1", "k2"], "left")

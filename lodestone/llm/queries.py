@@ -72,7 +72,7 @@ def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of every text without the 400-byte strings that repeat."""
     rows = repeats.removed(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.octet_length("kept").cast("long").alias("n_kept"))
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,14 +87,22 @@ def op8_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def license_sql() -> str:
+    """The canonical form line by line: DuckDB's patterns can't look around, so paragraphs and their leading notices are lists."""
     spellings = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in licenses.SPELLINGS.items())
-    known = ", ".join(f"('{d}', '{n}')" for d, n in licenses.digest_list(licenses.KNOWN))
+    known = ", ".join(f"('{d}', '{n}')" for d, n in licenses.digest_list(licenses.KNOWN) + licenses.FULL)
+    notice = rf"regexp_matches(x, '^{licenses.START}copyright[ \t:]+') AND NOT regexp_matches(x, '^{licenses.START}copyright[ \t:]{licenses.BODY}')"
+    closing = rf"i = len(lines) AND regexp_matches(x, '^{licenses.START}\(c\).{{1,60}}$')"
     return rf"""
-WITH words AS (
-  SELECT doc_id, string_split(trim(regexp_replace(regexp_replace(lower(text), '{licenses.COPYRIGHT_LINE}', '', 'g'), '{licenses.OTHER}', ' ', 'g')), ' ') AS w FROM documents
-), digests AS (
-  SELECT doc_id, sha256(array_to_string(list_transform(w, lambda x: CASE x {spellings} ELSE x END), ' ')) AS canonical_sha256 FROM words
-)
+WITH l AS (SELECT doc_id, string_split(lower(text), chr(10)) AS lines FROM documents),
+blank AS (SELECT doc_id, list_transform(lines, lambda x, i: CASE WHEN i > 1 AND i < len(lines) AND NOT regexp_matches(x, '[\p{{L}}\p{{N}}]') THEN '' ELSE x END) AS lines FROM l),
+dated AS (SELECT doc_id, list_transform(lines, lambda x: regexp_replace(x, '(?s)^{licenses.START}{licenses.DATED}', '')) AS lines FROM blank),
+paragraphs AS (SELECT doc_id, regexp_split_to_array(regexp_replace(array_to_string(lines, chr(10)), '\n$', ''), '\n{{2,}}') AS ps FROM dated),
+each AS (SELECT doc_id, ps, unnest(ps) AS p, generate_subscripts(ps, 1) AS no FROM paragraphs),
+flagged AS (SELECT doc_id, no, string_split(p, chr(10)) AS lines FROM each),
+led AS (SELECT doc_id, no, lines, list_position(list_transform(lines, lambda x, i: ({notice}) OR ({closing})), false) AS stop FROM flagged),
+kept AS (SELECT doc_id, string_agg(CASE WHEN coalesce(stop, 0) = 0 THEN '' ELSE array_to_string(lines[stop:], chr(10)) END, chr(10) ORDER BY no) AS body FROM led GROUP BY doc_id),
+words AS (SELECT documents.doc_id, CASE WHEN text IS NOT NULL THEN string_split(trim(regexp_replace(coalesce(body, ''), '{licenses.OTHER}', ' ', 'g')), ' ') END AS w FROM documents LEFT JOIN kept USING (doc_id)),
+digests AS (SELECT doc_id, sha256(array_to_string(list_transform(w, lambda x: CASE x {spellings} ELSE x END), ' ')) AS canonical_sha256 FROM words)
 SELECT doc_id, canonical_sha256, license FROM digests LEFT JOIN (VALUES {known}) known(digest, license) ON canonical_sha256 = digest
 """
 

@@ -1,18 +1,20 @@
 """Removal of passages that repeat: run-length index over suffixes, matching statistics, long matches marked.
 
-A byte goes if a string of ``LENGTH`` bytes that covers it also starts anywhere else in the table, in the same document
-or another. The work is split exactly by minimizers: the least hash of the ``K``-byte strings in a window of ``LENGTH`` bytes
-names the bucket of that window, so equal windows meet. Neighbouring windows of one name form a segment.
-
-1. Segments are listed as names, content hashes and places, without their bytes; equal ones are counted.
-   Where a segment's content occurs twice, all its bytes repeat.
-2. Names under which different contents met, or that occur twice in a segment, go on with one copy of each content. Blocks of whole names are indexed: a run-length
-   Burrows-Wheeler transform with the suffix positions at the run ends. The longest match of any suffix with its neighbour follows
-   from the samples, since within a run it shrinks by one byte per step (the irreducible values at run heads determine all), so
-   the matching statistics stream from the run heads and the bytes under matches of ``LENGTH`` or more are marked.
-3. Names with more different bytes than a block holds don't form a block: their windows are counted one by one by a 128-bit hash.
-
-Nothing is gathered on the driver, and a task holds one block at a time.
+A byte goes if a string of ``length`` bytes that covers it also starts anywhere else in the table, in the same document
+or another (``first=False``), or starts in an earlier document (``first=True``: the copy in the document of the least id stays). The work is
+split exactly by minimizers: the least hash of the ``K``-byte strings in a window of ``length`` bytes
+names the bucket of that window, so equal windows meet. Neighbouring windows of one name form a segment. Texts are read in pieces of
+``PIECE`` bytes that overlap by a window less a byte, so a very long text costs no more memory than a piece.
+
+1. Segments are listed as names, content hashes and places, without their bytes; those whose name occurs once are left out, equal ones are
+   counted. Where a segment's content occurs twice, all its bytes repeat.
+2. Names under which different contents met, or that occur twice in a segment, go on with one copy of each content. Blocks of whole names are
+   indexed: a run-length Burrows-Wheeler transform with the suffix positions at the run ends. The matching statistics, the longest match of
+   each suffix with the one before it in the order, stream from the samples, since within a run a match shrinks by one byte per step. Neighbours
+   in the order with matches of ``length`` or more are one string, and the bytes under its occurrences are marked.
+3. Names with more different bytes than ``HOT_BYTES`` don't form a block: their windows are counted one by one by a 128-bit hash.
+
+Nothing is gathered on the driver, and a task holds one block at a time. Neighbouring marks are merged as they stream by, sorted.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import stored, tidied
+from lodestone.llm.common import discard, mixed, stored, tidied
 
 LENGTH = 400
 K = 32
@@ -32,15 +34,10 @@ BLOCK_BYTES = 2 << 20
 HOT_BYTES = 4 << 20
 LONGEST_SEGMENT = 4096  # windows; longer runs of one name (periodic text) are cut, with the overlap that keeps every window
 BATCH_BYTES = 4 << 20
+PIECE = 1 << 20  # bytes of a text that are read at once
 SEPARATOR = 0xFF  # no byte of UTF-8
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def window_hashes(data: np.ndarray, k: int = K) -> np.ndarray:
     """A 64-bit hash of the ``k`` bytes (a multiple of 8) from each position that has so many."""
     n = len(data) - k + 1
@@ -69,12 +66,12 @@ def powers(n: int, base: int) -> np.ndarray:
     return np.multiply.accumulate(out) if n else out
 
 
-def segments(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(name, content hash, start, bytes, again) of the segments of one text of at least ``LENGTH`` bytes.
+def segments(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(name, content hash, start, bytes, again) of the segments of one text of at least ``length`` bytes.
 
     ``again`` tells that the string behind the name occurs more than once in the segment, so a window may repeat within it.
     """
-    h, width = window_hashes(data), LENGTH - K + 1
+    h, width = window_hashes(data), length - K + 1
     names = least_in_windows(h, width)
     starts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
     ends = np.append(starts[1:], len(names))
@@ -85,7 +82,7 @@ def segments(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     # Prefix sums of hashed strings times powers: equal contents give equal differences after the shift is divided out.
     sums = np.concatenate([[np.uint64(0)], np.cumsum(h * powers(len(h), POWER))])
     back = powers(len(h) + 1, pow(POWER, -1, 1 << 64))
-    content = mixed((sums[ends + LENGTH - K] - sums[starts]) * back[starts])
+    content = mixed((sums[ends + length - K] - sums[starts]) * back[starts])
     own, views = names[starts], np.lib.stride_tricks.sliding_window_view(h, width)
     again = ends - starts > width
     for at in range(0, len(starts), 4096):
@@ -93,7 +90,27 @@ def segments(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
         fresh = np.arange(width)[None, :] >= np.maximum(0, starts[part] + width - ends[part] + 1)[:, None]
         count = (views[starts[part]] == own[part, None]).sum(1) + ((views[ends[part] - 1] == own[part, None]) & fresh).sum(1)
         again[part] |= count > 1
-    return own, content, starts, ends - starts + LENGTH - 1, again
+    return own, content, starts, ends - starts + length - 1, again
+
+
+def text_segments(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(name, content hash, bytes, again, start, more) of one text, piece by piece; ``more`` lists the further starts of equal segments."""
+    parts = []
+    for at in range(0, len(data) - length + 1, PIECE):
+        name, content, start, size, again = segments(data[at : at + PIECE + length - 1], length)
+        parts.append((name, content, size, again, start + at))
+    name, content, size, again, start = (np.concatenate(c) for c in zip(*parts, strict=True))
+    if len(np.unique(content)) == len(content):
+        return name, content, size, again, start, [None] * len(name)
+    order = np.lexsort((start, size, content, name))
+    name, content, size, again, start = (c[order] for c in (name, content, size, again, start))
+    new = np.concatenate([[True], (name[1:] != name[:-1]) | (content[1:] != content[:-1]) | (size[1:] != size[:-1])])
+    first = np.flatnonzero(new)
+    more = [None] * len(first)
+    counts = np.diff(np.append(first, len(new)))
+    for k in np.flatnonzero(counts > 1).tolist():
+        more[k] = start[first[k] + 1 : first[k] + counts[k]].tolist()
+    return name[first], content[first], size[first], again[first], start[first], more
 
 
 # The index of a block
@@ -146,8 +163,8 @@ def common(data: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) ->
 class RunIndex:
     """A run-length Burrows-Wheeler transform of separated segments, with sampled run ends.
 
-    ``runs`` are (symbol, length). For each run head, ``head`` is its text position, ``above`` that of the suffix before it in the
-    order (the end of the run above) and ``match`` the length of their common prefix.
+    ``runs`` are (symbol, length). For each run head, ``head`` is its text position and ``match`` the length of the common prefix with
+    the suffix before it in the order (the end of the run above). ``order`` lists the suffixes.
     """
 
     def __init__(self, parts: list[bytes]):
@@ -163,46 +180,56 @@ class RunIndex:
         new = np.concatenate([[True], (before[1:] != before[:-1]) | (before[1:] == SEPARATOR)])
         heads = np.flatnonzero(new)
         self.runs = before[heads], np.diff(np.append(heads, len(order)))
+        self.order = order
         inner = heads[1:]
-        self.head, self.above = order[inner], order[inner - 1]
-        self.match = common(data, self.head, self.above, np.minimum(room[self.head], room[self.above]))
+        self.head, above = order[inner], order[inner - 1]
+        self.match = common(data, self.head, above, np.minimum(room[self.head], room[above]))
 
     def statistics(self) -> np.ndarray:
         """For each position the longest match with the suffix before it in the order, streamed from the samples."""
         out, at = np.zeros(self.size, np.int64), np.argsort(self.head)
         head, match = self.head[at], self.match[at]
-        place = np.searchsorted(head, np.arange(self.size), side="right") - 1
-        fits = place >= 0
-        out[fits] = np.maximum(0, match[place[fits]] - (np.arange(self.size)[fits] - head[place[fits]]))
+        if len(head):  # each head's value holds until the next head
+            ends = np.repeat(head + match, np.diff(np.append(head, self.size)))
+            out[head[0] :] = np.maximum(0, ends - np.arange(head[0], self.size))
         return out
 
-    def spans(self, length: int) -> list[list[tuple[int, int]]]:
+    def spans(self, length: int, rank: np.ndarray | None = None) -> list[list[tuple[int, int]]]:
         """For each segment the (start, end) of its bytes under strings of ``length`` bytes that start twice in the block.
 
-        A match of m bytes at a run head covers m bytes there and at the suffix above it; what follows down the run lies within.
+        With ``rank``, the place of each segment's document: under strings that start in an earlier document. Suffixes that begin with one
+        string are neighbours in the order, joined by matches of ``length`` or more.
         """
-        long = self.match >= length
-        lo = np.concatenate([self.head[long], self.above[long]])
-        hi = lo + np.tile(self.match[long], 2)
-        owner, out = np.searchsorted(self.ends, lo), [[] for _ in self.ends]
-        for k in np.lexsort((lo, owner)).tolist():
-            mine, a, b = out[owner[k]], int(lo[k] - self.starts[owner[k]]), int(hi[k] - self.starts[owner[k]])
-            if mine and a <= mine[-1][1]:
-                mine[-1] = (mine[-1][0], max(b, mine[-1][1]))
-            else:
-                mine.append((a, b))
+        joins = self.statistics()[self.order] >= length
+        met = np.flatnonzero(joins | np.append(joins[1:], False))
+        places, opens = self.order[met], np.flatnonzero(~joins[met])
+        owner = np.searchsorted(self.ends, places)
+        if rank is not None and len(met):
+            own = rank[owner]
+            later = own > np.repeat(np.minimum.reduceat(own, opens), np.diff(np.append(opens, len(met))))
+            places, owner = places[later], owner[later]
+        by_place = np.argsort(places)
+        places, owner = places[by_place], owner[by_place]
+        out: list[list[tuple[int, int]]] = [[] for _ in self.ends]
+        if len(places):
+            apart = np.concatenate([[True], (owner[1:] != owner[:-1]) | (places[1:] > places[:-1] + length)])
+            first = np.flatnonzero(apart)
+            last = np.append(first[1:], len(places)) - 1
+            base = self.starts[owner[first]]
+            for k, a, b in zip(owner[first].tolist(), (places[first] - base).tolist(), (places[last] + length - base).tolist(), strict=True):
+                out[k].append((a, b))
         return out
 
 
 # The steps over tables
 
-LISTED = "k1 long, k2 long, name long, content long, start int, bytes int, again boolean"
+LISTED = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("name", pa.int64()), ("content", pa.int64()), ("bytes", pa.int32()), ("again", pa.bool_()), ("start", pa.int32()), ("more", pa.list_(pa.int32()))])
 MARKS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int32()), ("bytes", pa.int32())])
+MARK = "k1 long, k2 long, start int, bytes int"
 
 
-def list_segments(rows: DataFrame) -> DataFrame:
-    """The segments of (k1, k2, text) rows: name, content hash and place, without bytes."""
-    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("name", pa.int64()), ("content", pa.int64()), ("start", pa.int32()), ("bytes", pa.int32()), ("again", pa.bool_())])
+def list_segments(rows: DataFrame, length: int) -> DataFrame:
+    """The different segments of each of the (k1, k2, text) rows: name, content hash and places, without bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -210,14 +237,16 @@ def list_segments(rows: DataFrame) -> DataFrame:
         def flush() -> pa.RecordBatch:
             k1, k2, parts = zip(*held, strict=True)
             sizes = [len(p[0]) for p in parts]
-            name, content, start, length, again = (np.concatenate(c) for c in zip(*parts, strict=True))
-            return pa.record_batch([pa.array(np.repeat(np.array(k1, np.int64), sizes)), pa.array(np.repeat(np.array(k2, np.int64), sizes)), pa.array(name.view(np.int64)), pa.array(content.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(again)], schema=schema)
+            name, content, bytes_, again, start = (np.concatenate(c) for c in list(zip(*parts, strict=True))[:5])
+            keys = [pa.array(np.repeat(np.array(k, np.int64), sizes)) for k in (k1, k2)]
+            more = pa.array([m for p in parts for m in p[5]], pa.list_(pa.int32()))
+            return pa.record_batch([*keys, pa.array(name.view(np.int64)), pa.array(content.view(np.int64)), pa.array(bytes_.astype(np.int32)), pa.array(again), pa.array(start.astype(np.int32)), more], schema=LISTED)
 
         for batch in batches:
             for k1, k2, text in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("text"), strict=True):
                 data = np.frombuffer(text.as_buffer(), np.uint8)
-                if len(data) >= LENGTH:
-                    held.append((k1, k2, segments(data)))
+                if len(data) >= length:
+                    held.append((k1, k2, text_segments(data, length)))
                     size += len(held[-1][2][0])
                     if size >= 100_000:
                         yield flush()
@@ -225,87 +254,158 @@ def list_segments(rows: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return rows.mapInArrow(tidied(run), LISTED)
+    return rows.mapInArrow(tidied(run), "k1 long, k2 long, name long, content long, bytes int, again boolean, start int, more array<int>")
 
 
-def index_blocks(rows: DataFrame) -> DataFrame:
-    """Marks of (name, k1, k2, start, seg) rows, which come with all segments of a name together and in order."""
+def index_blocks(rows: DataFrame, length: int, first: bool) -> DataFrame:
+    """Marks of (name, k1, k2, start, more, seg) rows, which come with all segments of a name together and in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, name = [], 0, None
 
         def marks() -> Iterator[pa.RecordBatch]:
             if held:
-                found = RunIndex([h[3] for h in held]).spans(LENGTH)
-                out = [(k1, k2, start + a, b - a) for (k1, k2, start, _), spans in zip(held, found, strict=True) for a, b in spans]
+                keys = [h[:2] for h in held]
+                places = {k: i for i, k in enumerate(sorted(set(keys)))}
+                found = RunIndex([h[4] for h in held]).spans(length, np.array([places[k] for k in keys]) if first else None)
+                out = [(k1, k2, at + a, b - a) for (k1, k2, start, more, _), spans in zip(held, found, strict=True) for a, b in spans for at in (start, *(more or ()))]
                 if out:
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), MARKS.types, strict=True)], schema=MARKS)
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("name", "k1", "k2", "start", "seg")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("name", "k1", "k2", "start", "more", "seg")), strict=True):
                 if row[0] != name and size >= BLOCK_BYTES:
                     yield from marks()
                     held, size = [], 0
                 name = row[0]
                 held.append(row[1:])
-                size += len(row[4])
+                size += len(row[5])
         yield from marks()
 
-    return rows.mapInArrow(tidied(run), "k1 long, k2 long, start int, bytes int")
+    return rows.mapInArrow(tidied(run), MARK)
 
 
-def list_windows(rows: DataFrame) -> DataFrame:
-    """Every window of (k1, k2, start, seg) rows with a 128-bit hash of its bytes."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int32())])
+def list_windows(rows: DataFrame, length: int) -> DataFrame:
+    """Every window of (k1, k2, start, more, seg) rows with a 128-bit hash of its bytes and its place in the segment."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int32()), ("more", pa.list_(pa.int32())), ("offset", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k1, k2, start, seg in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "start", "seg")), strict=True):
+            for k1, k2, start, more, seg in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "start", "more", "seg")), strict=True):
                 h = window_hashes(np.frombuffer(seg, np.uint8), 8)
-                n, both = len(seg) - LENGTH + 1, []
+                n, both = len(seg) - length + 1, []
                 for base in (POWER, 0xD6E8FEB86659FD93):
                     sums = np.concatenate([[np.uint64(0)], np.cumsum(h * powers(len(h), base))])
-                    both.append(mixed((sums[LENGTH - 7 :][:n] - sums[:n]) * powers(n, pow(base, -1, 1 << 64))).view(np.int64))
-                yield pa.record_batch([pa.array(both[0]), pa.array(both[1]), pa.array(np.full(n, k1)), pa.array(np.full(n, k2)), pa.array((start + np.arange(n)).astype(np.int32))], schema=schema)
-
-    return rows.mapInArrow(tidied(run), "a long, b long, k1 long, k2 long, start int")
+                    both.append(mixed((sums[length - 7 :][:n] - sums[:n]) * powers(n, pow(base, -1, 1 << 64))).view(np.int64))
+                same = [pa.array(np.full(n, k1)), pa.array(np.full(n, k2)), pa.array(np.full(n, start, np.int32)), pa.array([more] * n, pa.list_(pa.int32()))]
+                yield pa.record_batch([pa.array(both[0]), pa.array(both[1]), *same, pa.array(np.arange(n, dtype=np.int32))], schema=schema)
 
+    return rows.mapInArrow(tidied(run), "a long, b long, k1 long, k2 long, start int, more array<int>, offset int")
 
-def with_key(docs: DataFrame, id_col: str, text_col: str, extra: list[Column] | None = None) -> DataFrame:
-    """(doc_id, text, k1, k2) and the columns ``extra``: null texts as empty, and a 128-bit key of id and text. Rows equal in both share it, and their marks."""
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), *(extra or []))
-    return rows.withColumn("k1", F.xxhash64("doc_id", "text")).withColumn("k2", F.xxhash64(F.lit(1), "text", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
 
+def merged_marks(marks: DataFrame) -> DataFrame:
+    """Marks as maximal spans of each (k1, k2), in order; a task reads its sorted rows as a stream."""
 
-def marked(keyed_docs: DataFrame) -> DataFrame:
-    """(k1, k2, start, bytes): spans whose union is all that repeats. See the module's description for the steps."""
-    listed = stored(list_segments(keyed_docs.select("k1", "k2", "text")), "segments")
-    contents = stored(listed.groupBy("name", "content", "bytes").agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2", "start")).alias("first"), F.max("again").alias("again")), "contents")
-    repeated = listed.join(contents.where("copies > 1").select("name", "content", "bytes"), ["name", "content", "bytes"], "left_semi").select("k1", "k2", "start", "bytes")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: tuple[int, int, int, int] | None = None  # key, start, end of the span that may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k1, k2, start, size = (batch.column(c).to_numpy().astype(np.int64) for c in ("k1", "k2", "start", "bytes"))
+            end = start + size
+            if open_ is not None:
+                k1, k2, start, end = (np.concatenate([[o], c]) for o, c in zip(open_, (k1, k2, start, end), strict=True))
+            group = np.concatenate([[0], np.cumsum((k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]))]).astype(np.int64) << 33
+            reach = np.maximum.accumulate(group + end)
+            first = np.flatnonzero(np.concatenate([[True], (group + start)[1:] > reach[:-1]]))
+            upto = (reach - group)[np.append(first[1:], len(group)) - 1]
+            open_ = (int(k1[first[-1]]), int(k2[first[-1]]), int(start[first[-1]]), int(upto[-1]))
+            done = first[:-1]
+            yield pa.record_batch([pa.array(k1[done]), pa.array(k2[done]), pa.array(start[done].astype(np.int32)), pa.array((upto[:-1] - start[done]).astype(np.int32))], schema=MARKS)
+        if open_ is not None:
+            yield pa.record_batch([pa.array([x], t) for x, t in zip((*open_[:3], open_[3] - open_[2]), MARKS.types, strict=True)], schema=MARKS)
+
+    return marks.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "start").mapInArrow(tidied(run), MARK)
 
-    per_name = contents.groupBy("name").agg(F.count("*").alias("kinds"), F.sum("bytes").alias("total"), F.max("again").alias("again")).where("kinds > 1 OR again").drop("again")
-    asked = contents.join(per_name, "name").select("name", "first.k1", "first.k2", "first.start", "bytes", (F.col("total") > HOT_BYTES).alias("hot"))
-    by_doc = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("name", "start", "bytes", "hot")).alias("asked"))
-    own = keyed_docs.select("k1", "k2", F.encode("text", "UTF-8").alias("data")).join(by_doc, ["k1", "k2"])
-    parts = own.select("k1", "k2", "data", F.explode("asked").alias("s")).select("k1", "k2", "s.name", "s.start", "s.hot", F.expr("substring(data, s.start + 1, s.bytes)").alias("seg"))
-    parts = stored(parts, "segment-bytes")
 
-    blocks = parts.where("NOT hot").select("name", "k1", "k2", "start", "seg")
-    blocks = index_blocks(blocks.repartition("name").sortWithinPartitions("name"))
-    windows = list_windows(parts.where("hot").select("k1", "k2", "start", "seg"))
-    twice = windows.groupBy("a", "b").agg(F.count("*").alias("copies")).where("copies > 1").select("a", "b")
-    single = windows.join(twice, ["a", "b"], "left_semi").select("k1", "k2", "start", F.lit(LENGTH).alias("bytes"))
-    return repeated.unionByName(blocks).unionByName(single)
+def with_key(docs: DataFrame, id_col: str, text_col: str, extra: list[Column] | None = None) -> DataFrame:
+    """(doc_id, text, k1, k2) and the columns ``extra``: null texts as empty, and a key that orders by id (null ids by a hash) and tells texts apart.
 
+    Rows equal in id and text share it, and their marks.
+    """
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), *(extra or []))
+    return rows.withColumn("k1", F.coalesce("doc_id", F.xxhash64(F.lit(1), "text"))).withColumn("k2", F.xxhash64("text", F.col("doc_id").isNull()))
+
+
+def starts() -> Column:
+    """All places of a segment in its document, one per row."""
+    return F.explode(F.concat(F.array("start"), F.coalesce("more", F.array().cast("array<int>"))))
+
+
+def marked(keyed_docs: DataFrame, length: int = LENGTH, first: bool = False) -> DataFrame:
+    """(k1, k2, start, bytes): the spans that repeat, merged. See the module's description for the steps."""
+    listed = stored(list_segments(keyed_docs.select("k1", "k2", "text"), length), "segments")
+    places = F.lit(1) + F.coalesce(F.array_size("more"), F.lit(0))
+    names = listed.groupBy("name").agg(F.sum(places).alias("n"), F.max("again").alias("again")).where("n > 1 OR again").select("name")
+    met = stored(listed.join(names, "name", "left_semi"), "met")
+    discard(listed)
+    listed = met
+    key = ["name", "content", "bytes"]
+    contents = listed.groupBy(*key).agg(
+        F.sum(places).alias("copies"), F.min(F.struct("k1", "k2", "start", "more")).alias("first"), F.max(F.struct("k1", "k2")).alias("last"), F.max("again").alias("again")
+    )
+    contents = stored(contents, "contents")
+    lead = F.struct("first.k1", "first.k2")
+    if first:
+        copied = contents.where(lead < F.col("last")).select(*key, lead.alias("kept"))
+        repeated = listed.join(copied, key).where(F.struct("k1", "k2") > F.col("kept"))
+        wanted = F.min("lead") < F.max("lead")
+    else:
+        repeated = listed.join(contents.where("copies > 1").select(*key), key, "left_semi")
+        wanted = (F.count("*") > 1) | F.max("again")
+    repeated = repeated.select("k1", "k2", starts().alias("start"), "bytes")
+
+    per_name = contents.withColumn("lead", lead).groupBy("name").agg(F.sum("bytes").alias("total"), wanted.alias("wanted")).where("wanted").drop("wanted")
+    asked = contents.join(per_name, "name").select("name", "first.*", "bytes", (F.col("total") > HOT_BYTES).alias("hot"))
+    by_doc = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("name", "start", "more", "bytes", "hot")).alias("asked"))
+    own = keyed_docs.select("k1", "k2", F.encode("text", "UTF-8").alias("data"))
+    # Segments are cut out before they become rows, so no row carries the whole text beside one of them.
+    cuts = F.expr("transform(asked, s -> struct(s.name, s.start, s.more, s.hot, substring(data, s.start + 1, s.bytes) AS seg))")
+    parts = own.join(by_doc, ["k1", "k2"]).select("k1", "k2", cuts.alias("cuts")).select("k1", "k2", F.explode("cuts").alias("s")).select("k1", "k2", "s.*")
+    parts = stored(parts, "segment-bytes")
 
-def cut(docs: DataFrame, id_col: str, text_col: str, keep: list[str], as_text: bool = False) -> DataFrame:
+    blocks = parts.where("NOT hot").select("name", "k1", "k2", "start", "more", "seg")
+    blocks = index_blocks(blocks.repartition("name").sortWithinPartitions("name"), length, first)
+    windows = list_windows(parts.where("hot").select("k1", "k2", "start", "more", "seg"), length)
+    if first:
+        twice = windows.groupBy("a", "b").agg(F.min(F.struct("k1", "k2")).alias("kept"), F.max(F.struct("k1", "k2")).alias("last")).where("kept < last").drop("last")
+        single = windows.join(twice, ["a", "b"]).where(F.struct("k1", "k2") > F.col("kept"))
+    else:
+        twice = windows.groupBy("a", "b").agg(F.count("*").alias("copies")).where("copies > 1").select("a", "b")
+        single = windows.join(twice, ["a", "b"], "left_semi")
+    single = single.select("k1", "k2", starts().alias("at"), "offset").select("k1", "k2", (F.col("at") + F.col("offset")).alias("start"), F.lit(length).alias("bytes"))
+    out = stored(merged_marks(repeated.unionByName(blocks).unionByName(single)), "marks")
+    discard(listed, contents, parts)
+    return out
+
+
+def whole_words(data: bytes, a: int, b: int) -> int:
+    """The words between white space that lie in data[a:b] as a whole."""
+    n = len(data[a:b].split())
+    cut_ahead = a > 0 and not data[a - 1 : a].isspace() and not data[a : a + 1].isspace()
+    cut_behind = b < len(data) and not data[b : b + 1].isspace() and not data[b - 1 : b].isspace()
+    return max(0, n - cut_ahead - cut_behind)
+
+
+def cut(docs: DataFrame, id_col: str, text_col: str, keep: list[str], as_text: bool = False, length: int = LENGTH, first: bool = False, words: int = 0) -> DataFrame:
     """Each row of ``docs`` as doc_id, n_bytes, n_removed, n_spans, kept, and the columns ``keep`` as kept_0, kept_1 and so on.
 
-    ``kept`` is binary, or with ``as_text`` a string without the parts of characters that a cut went through.
+    ``kept`` is binary, or with ``as_text`` a string without the parts of characters that a cut went through. Marked runs of fewer than
+    ``words`` whole words stay.
     """
     extra = [F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(keep)]
-    marks = stored(marked(with_key(docs, id_col, text_col)), "marks")
-    by_doc = marks.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("start", "bytes"))).alias("marks"))
+    marks = marked(with_key(docs, id_col, text_col), length, first)
+    by_doc = marks.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("start", "bytes"))).alias("marks"))
     rows = with_key(docs, id_col, text_col, extra)
     names = [f"kept_{i}" for i in range(len(keep))]
     joined = rows.join(by_doc, ["k1", "k2"], "left").select("doc_id", "text", F.col("marks.start").alias("starts"), F.col("marks.bytes").alias("sizes"), *names)
@@ -316,9 +416,10 @@ def cut(docs: DataFrame, id_col: str, text_col: str, keep: list[str], as_text: b
         for batch in batches:
             done = at = size = 0
             out = []
-            for text, starts, sizes in zip(batch.column("text"), batch.column("starts"), batch.column("sizes"), strict=True):
+            for text, begins, sizes in zip(batch.column("text"), batch.column("starts"), batch.column("sizes"), strict=True):
                 data = text.as_buffer().to_pybytes()
-                spans = merged_spans(starts.values.to_numpy(), sizes.values.to_numpy()) if starts.is_valid else []
+                spans = [(a, a + n) for a, n in zip(begins.as_py(), sizes.as_py(), strict=True)] if begins.is_valid else []
+                spans = [(a, b) for a, b in spans if not words or whole_words(data, a, b) >= words]
                 edges = [0, *[x for span in spans for x in span], len(data)]
                 left = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                 out.append((len(data), len(data) - len(left), len(spans), left.decode("utf-8", "ignore") if as_text else left))
@@ -333,32 +434,27 @@ def cut(docs: DataFrame, id_col: str, text_col: str, keep: list[str], as_text: b
     return joined.mapInArrow(tidied(run), f"{ddl}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
 
 
-def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans and kept (binary: the bytes that stay, joined).
 
     Bytes are those of UTF-8; a null text is empty. Matches never cross documents; strings are judged on the input. A
     repeated row is another occurrence of its text. Cuts may fall within a character, so ``kept`` is binary. Empty tables
-    give no rows; texts below ``LENGTH`` bytes stay whole.
+    give no rows; texts below ``length`` bytes stay whole. Other columns are not read, so their names can't clash.
     """
-    return cut(docs, id_col, text_col, [])
+    return cut(docs, id_col, text_col, [], length=length)
 
 
-def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
-    """All rows of ``docs`` with what ``removed`` keeps as their text (characters that a cut went through go whole), and its length in ``chars_col``.
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", length: int = LENGTH, words: int = 0) -> DataFrame:
+    """All rows of ``docs`` with their texts less what an earlier document holds, and the new length in ``chars_col``.
 
-    A text of which nothing stays is empty; null texts become empty.
+    A run of bytes goes if strings of ``length`` bytes that cover it all start in a document of a smaller id too, and it has ``words`` whole words
+    at least. So of a passage that documents share, the copy under the least id stays, and what repeats within one document only stays
+    too. Rows that repeat id and text count as one document. Characters that a cut went through go whole. Null texts become empty.
+    Extra columns are carried along under any name.
     """
     keep = [c for c in docs.columns if c not in (id_col, text_col, chars_col)]
-    rows = cut(docs, id_col, text_col, keep, as_text=True)
+    rows = cut(docs, id_col, text_col, keep, as_text=True, length=length, first=True, words=words)
     values = {id_col: F.col("doc_id"), text_col: F.col("kept")} | {c: F.col(f"kept_{i}") for i, c in enumerate(keep)}
     if chars_col in docs.columns:
         values[chars_col] = F.length("kept").cast(docs.schema[chars_col].dataType)
     return rows.select(*[values[c].alias(c) for c in docs.columns])
-
-
-def merged_spans(starts: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
-    """The union of spans sorted by start, as maximal (start, end) runs."""
-    ends = np.maximum.accumulate(starts.astype(np.int64) + sizes)
-    new = np.concatenate([[True], starts[1:] > ends[:-1]])
-    first = np.flatnonzero(new)
-    return list(zip(starts[first].tolist(), ends[np.append(first[1:], len(starts)) - 1].tolist(), strict=True))

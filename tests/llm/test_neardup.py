@@ -119,3 +119,16 @@ def test_query_on_a_table(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").collect()]
     got = {r["doc_id"]: r["class_id"] for r in queries.op3_probminhash(spark, f"{DATA}/sf0.001").collect()}
     assert got == brute(rows)
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(200_000)]
+    near = list(words)
+    for i in range(0, len(near), 300):
+        near[i] = "changed"
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(words[::-1])), (4, "tiny"), (5, "")]
+    df = spark.createDataFrame([(i, t, 0, 1, "x", b"s") for i, t in rows], "doc_id long, text string, key long, k1 long, bands string, sketch binary")
+    assert {r["doc_id"]: r["class_id"] for r in neardup.classes(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+    kept = neardup.deduplicated(df)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4, 5]

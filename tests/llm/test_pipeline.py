@@ -11,7 +11,7 @@ import corpus_pipeline
 from lodestone.llm import bpe, common
 from test_mixing import by_hand
 from test_neardup import brute as classes
-from test_repeats import brute as covered
+from test_repeats import earlier, runs, whole
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -51,8 +51,11 @@ def test_stages_against_brute_force(spark):
 
     before, after = out["suffix-array dedup"]
     source = rows_of(before)
-    cover = covered([t.encode() for _, t, _ in source], 400)
-    want = {i: bytes(b for b, m in zip(t.encode(), c, strict=True) if not m).decode("utf-8", "ignore") for (i, t, _), c in zip(source, cover, strict=True)}
+    data = [(i, t.encode()) for i, t, _ in source]
+    want = {}
+    for (i, t), cover in zip(data, earlier(data, corpus_pipeline.PASSAGE_BYTES), strict=True):
+        edges = [0, *[x for a, b in runs(cover) if whole(t, a, b) >= corpus_pipeline.PASSAGE_WORDS for x in (a, b)], len(t)]
+        want[i] = b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)).decode("utf-8", "ignore")
     assert {r[0]: r[1] for r in rows_of(after)} == want and want != {i: t for i, t, _ in source}
     assert all(r["n_chars"] == len(r["text"]) for r in after.collect())
 
@@ -80,3 +83,17 @@ def test_empty_tables(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = common.stored(stage(spark, docs, DATA), "test")
         assert docs.count() == 0
+
+
+def test_stages_with_long_texts_nulls_repeats_and_clashing_columns(spark):
+    base = corpus(spark)[:40]
+    long = " ".join(t for _, t, *_ in base) * 12
+    rows = [*base, (5000, long, "en", "src0", 1), (5001, None, None, None, None), (5001, None, None, None, None), (None, base[3][1], "en", "src1", 1), base[0], base[0]]
+    extra = "place string, slot int, k1 long, found string, row string, node long, marks string"
+    docs = spark.createDataFrame([(*r, "p", 7, 8, "f", "r", 9, "m") for r in rows], f"{COLUMNS}, {extra}")
+    names = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = common.stored(stage(spark, docs, DATA), "test")
+        if name != "byte-level BPE":
+            assert docs.columns == names and {tuple(r) for r in docs.select(*names[5:]).collect()} == {("p", 7, 8, "f", "r", 9, "m")}
+    assert docs.where("doc_id = 5000").count() >= 1 and docs.where("doc_id = 5001").count() == 0

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -22,6 +23,34 @@ def brute(texts, length):
     return cover
 
 
+def earlier(docs, length):
+    """Covered bytes of each (order, text): strings that start in a document of a smaller order too."""
+    least = {}
+    for order, t in docs:
+        for j in range(len(t) - length + 1):
+            s = t[j : j + length]
+            least[s] = min(least.get(s, order), order)
+    out = []
+    for order, t in docs:
+        c = bytearray(len(t))
+        for j in range(len(t) - length + 1):
+            if least[t[j : j + length]] < order:
+                c[j : j + length] = b"\1" * length
+        out.append(c)
+    return out
+
+
+def runs(cover):
+    edges = [0, *[i for i in range(1, len(cover)) if cover[i] != cover[i - 1]], len(cover)]
+    return [(a, b) for a, b in zip(edges, edges[1:], strict=False) if a < b and cover[a]]
+
+
+def whole(data, a, b):
+    """Words of data[a:b] that neither end cuts."""
+    at = [(m.start(), m.end()) for m in re.finditer(rb"\S+", data)]
+    return sum(a <= x and y <= b for x, y in at)
+
+
 def expected(texts, length):
     out = []
     for t, c in zip(texts, brute(texts, length), strict=True):
@@ -50,6 +79,22 @@ def test_index_against_brute_force(alphabet):
             assert mine == cover
 
 
+@pytest.mark.parametrize("alphabet", [b"a", b"ab", b"abcd"])
+def test_index_keeps_the_first_document(alphabet):
+    rng = random.Random(len(alphabet) + 9)
+    for _ in range(120):
+        base = [bytes(rng.choice(alphabet) for _ in range(rng.randint(1, 60))) for _ in range(4)]
+        parts = [b"".join(rng.choice(base)[rng.randint(0, 5) :] for _ in range(rng.randint(1, 3))) or b"a" for _ in range(rng.randint(1, 8))]
+        rank = [rng.randint(0, 3) for _ in parts]
+        length = rng.choice([3, 5, 10, 20])
+        got = repeats.RunIndex(parts).spans(length, np.array(rank))
+        for spans, cover in zip(got, earlier(list(zip(rank, parts, strict=True)), length), strict=True):
+            mine = bytearray(len(cover))
+            for a, b in spans:
+                mine[a:b] = b"\1" * (b - a)
+            assert mine == cover
+
+
 def test_statistics_run_lengths_and_order():
     parts = [b"banana", b"ananas", b"bandana"]
     index = repeats.RunIndex(parts)
@@ -59,6 +104,7 @@ def test_statistics_run_lengths_and_order():
     tail = lambda i: (text[i : min(e for e in ends if e >= i)], i)
     order = sorted(range(len(text)), key=lambda i: (text[i : min(e for e in ends if e >= i)] + b"\xff", i))
     stats = index.statistics()
+    assert index.order.tolist() == order
     for a, b in zip(order, order[1:], strict=False):
         x, y = tail(a)[0], tail(b)[0]
         lcp = next((k for k, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
@@ -79,7 +125,7 @@ def corpus(seed):
     return texts
 
 
-@pytest.mark.parametrize("limits", [{}, {"BLOCK_BYTES": 2000}, {"HOT_BYTES": 1500}, {"LONGEST_SEGMENT": 50}])
+@pytest.mark.parametrize("limits", [{}, {"BLOCK_BYTES": 2000}, {"HOT_BYTES": 1500}, {"LONGEST_SEGMENT": 50, "PIECE": 1000}])
 def test_tables_against_brute_force(spark, monkeypatch, limits):
     for name, value in limits.items():
         monkeypatch.setattr(repeats, name, value)
@@ -89,6 +135,51 @@ def test_tables_against_brute_force(spark, monkeypatch, limits):
     assert found(df) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("limits", [{}, {"HOT_BYTES": 900}, {"LONGEST_SEGMENT": 50, "PIECE": 700, "BLOCK_BYTES": 2000}])
+@pytest.mark.parametrize("words", [0, 50])
+def test_first_copies_stay(spark, monkeypatch, limits, words):
+    for name, value in limits.items():
+        monkeypatch.setattr(repeats, name, value)
+    texts = corpus(8)
+    random.Random(4).shuffle(texts)
+    rows = [(2 * i, t) for i, t in enumerate(texts)] + [(900, None), (901, ""), (6, texts[3]), (-5, texts[10]), (7, texts[9] + " " + texts[12])]
+    df = spark.createDataFrame([(i, t, None if t is None else len(t), "x") for i, t in rows], "doc_id long, text string, n_chars int, k1 string").repartition(5)
+    got = repeats.cleaned(df, length=200, words=words)
+    assert got.columns == df.columns and dict(got.dtypes) == dict(df.dtypes)
+    data = [(i, (t or "").encode()) for i, t in rows]
+    want = []
+    for (i, t), cover in zip(data, earlier(data, 200), strict=True):
+        spans = [(a, b) for a, b in runs(cover) if not words or whole(t, a, b) >= words]
+        edges = [0, *[x for s in spans for x in s], len(t)]
+        kept = b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)).decode("utf-8", "ignore")
+        want.append((i, kept, len(kept), "x"))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert sum(not t for _, t, _, _ in want) < 10
+
+
+def test_passages_of_51_words_go_but_one(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 7)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    passage, short = prose(51), prose(44)
+    rows = [(i, f"{prose(80)} {passage} {prose(60)}") for i in range(30)] + [(100 + i, f"{prose(50)} {short} {prose(50)}") for i in range(5)] + [(200, f"{(own := prose(70))} {own}"), (201, passage)]
+    got = {r["doc_id"]: r["text"] for r in repeats.cleaned(spark.createDataFrame(rows, "doc_id long, text string"), length=200, words=50).collect()}
+    assert [i for i, t in got.items() if passage in t] == [0]
+    assert all(got[i] == t for i, t in rows if i >= 100 and i != 201) and got[201] == ""
+
+
+def test_very_long_texts(spark):
+    """Texts of many pieces: periodic, without repeats, and two that share a passage across a piece's edge."""
+    rng = np.random.default_rng(5)
+    own = [rng.integers(97, 123, 3 << 20, dtype=np.uint8).tobytes().decode() for _ in range(2)]
+    shared, at = own[0][1000:3000], repeats.PIECE - 700
+    rows = [(1, "ab" * (3 << 19)), (2, own[0]), (3, own[1][:at] + shared + own[1][at:])]
+    got = {r["doc_id"]: r for r in repeats.removed(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_removed", "n_spans").collect()}
+    assert [tuple(got[i])[1:] for i in (1, 2, 3)] == [(3 << 20, 1), (2000, 1), (2000, 1)]
+    kept = {r["doc_id"]: r["n"] for r in repeats.cleaned(spark.createDataFrame(rows, "doc_id long, text string")).selectExpr("doc_id", "length(text) AS n").collect()}
+    assert kept == {1: 3 << 20, 2: 3 << 20, 3: 3 << 20}
+
+
 def test_equal_windows_have_equal_names():
     rng = random.Random(3)
     shared = bytes(rng.randrange(97, 123) for _ in range(400))
