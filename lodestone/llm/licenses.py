@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import keyed
 
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n©]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
-# COPYRIGHT_LINE, any line that begins like a notice, is the rule of the SQL. The canonical form drops less: notices with a sign or a year,
-# and undated ones that begin a paragraph. A line of body text wrapped before the word, or a list item (c), stays.
+# What the canonical form drops: notices with a sign or a year, and undated ones that begin a paragraph. A line of body text wrapped before the word,
+# or a list item (c), stays.
 START = r"[^\p{L}\p{N}\n©]*"
 MARK = r"(?:\(c\)|©|[<\[{(]?(?:\d{4}|yyyy|year)\b)"
 DATED = rf"(?:©|copyright[ \t:,]*{MARK}|\(c\)[ \t:,]*(?:copyright\b|{MARK})|all rights reserved)[^\n]*$"
@@ -88,12 +87,6 @@ KNOWN = [
     ("Zlib", "zlib License\n\n" + ZLIB),
     ("Unlicense", UNLICENSE),
     ("BSL-1.0", BSL),
-    # Notices that stand for a licence when they are the whole text.
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 ]
 
 # Digests of whole texts that are too long to stand here, as in /usr/share/common-licenses; the second of a name ends before the appendix.
