@@ -25,7 +25,7 @@ SUBS = 64
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
-    """How many of ``draws`` taken without replacement are good; exact for populations of any size."""
+    """How many of ``draws`` taken without replacement are good: numpy's exact draw below 10**9 rows, above it rejection with log-gamma weights, exact but for their rounding (about 1e-6 in a weight at 10**12)."""
     if good + bad < 1_000_000_000:
         return int(rng.hypergeometric(good, bad, draws)) if draws and good + bad else 0
     total, lg = good + bad, math.lgamma
@@ -64,25 +64,30 @@ def shard_rows(df: DataFrame, identity: list[str], n_shards: int = 40, seed: int
     Shard sizes differ by one at most (the law ``rows``); the first N mod n_shards shards are the larger. Rows
     are told apart by the columns ``identity``; rows equal in all of these (null equals null) share out equal
     places and are interchangeable. Equal content gives an equal result on every run. An empty table gives no rows.
-    The input must not have columns ``shard``, ``slot`` or any named ``_place*``.
+    Input columns named ``shard`` or ``slot`` give way to the result's; all others come back as they are, whatever their names.
     """
-    spark = df.sparkSession
-    draw = lambda k: F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in identity], *[F.col(c).isNull() for c in identity], F.lit(seed * 16 + k))
+    spark, names = df.sparkSession, df.columns
+    # The row travels as one struct under numbered fields, so no column of the input can clash with one of the steps.
+    at = {c: F.col(f"row.c{i}") for i, c in enumerate(names)}
+    packed = df.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).alias("row"))
+    ids = [at[c] for c in identity]
+    draw = lambda k: F.xxhash64(*[F.coalesce(c.cast("string"), F.lit("\x00")) for c in ids], *[c.isNull() for c in ids], F.lit(seed * 16 + k))
     total = df.count()
     buckets = min(MAX_BUCKETS, max(8, -(-total // ROWS_PER_BUCKET)))
-    dealt = df.withColumn("_place_bucket", F.pmod(draw(0), F.lit(buckets)).cast("int")).withColumn("_place_a", draw(1)).withColumn("_place_b", draw(2))
-    counts = {r[0]: r[1] for r in dealt.groupBy("_place_bucket").count().collect()}  # at most MAX_BUCKETS rows
+    dealt = packed.withColumn("bucket", F.pmod(draw(0), F.lit(buckets)).cast("int")).withColumn("a", draw(1)).withColumn("b", draw(2))
+    counts = {r[0]: r[1] for r in dealt.groupBy("bucket").count().collect()}  # at most MAX_BUCKETS rows
     sizes = [total // n_shards + (j < total % n_shards) for j in range(n_shards)]
     matrix = communication_matrix([counts.get(b, 0) for b in range(buckets)], sizes, seed)
-    cuts = spark.createDataFrame([(b, [int(x) for x in row]) for b, row in enumerate(matrix.cumsum(axis=1))], "_place_bucket int, _place_cuts array<long>")
+    cuts = spark.createDataFrame([(b, [int(x) for x in row]) for b, row in enumerate(matrix.cumsum(axis=1))], "bucket int, cuts array<long>")
 
-    local = Window.partitionBy("_place_bucket").orderBy("_place_a", *identity)
-    sent = dealt.withColumn("_place_n", F.row_number().over(local) - 1).join(F.broadcast(cuts), "_place_bucket")
-    sent = sent.withColumn("shard", F.size(F.filter("_place_cuts", lambda c: c <= F.col("_place_n")))).drop("_place_cuts", "_place_n", "_place_bucket", "_place_a")
-    sent = stored(sent.withColumn("_place_sub", F.pmod("_place_b", F.lit(SUBS)).cast("int")), "shards")
+    local = Window.partitionBy("bucket").orderBy("a", *ids)
+    sent = dealt.withColumn("n", F.row_number().over(local) - 1).join(F.broadcast(cuts), "bucket")
+    sent = sent.select("row", "b", F.size(F.filter("cuts", lambda c: c <= F.col("n"))).alias("shard"))
+    sent = stored(sent.withColumn("sub", F.pmod("b", F.lit(SUBS)).cast("int")), "shards")
 
     # The order within a shard is by (sub, hash): windows of a sub-range, offset by the counts before it.
-    offsets = sent.groupBy("shard", "_place_sub").count().withColumn("_place_offset", F.sum("count").over(Window.partitionBy("shard").orderBy("_place_sub")) - F.col("count")).drop("count")
-    again = Window.partitionBy("shard", "_place_sub").orderBy("_place_b", *identity)
-    out = sent.withColumn("_place_n", F.row_number().over(again) - 1).join(F.broadcast(offsets), ["shard", "_place_sub"])
-    return out.withColumn("slot", (F.col("_place_offset") + F.col("_place_n")).cast("long")).drop("_place_offset", "_place_n", "_place_sub", "_place_b")
+    offsets = sent.groupBy("shard", "sub").count().withColumn("offset", F.sum("count").over(Window.partitionBy("shard").orderBy("sub")) - F.col("count")).drop("count")
+    again = Window.partitionBy("shard", "sub").orderBy("b", *ids)
+    out = sent.withColumn("n", F.row_number().over(again) - 1).join(F.broadcast(offsets), ["shard", "sub"])
+    kept = [at[c].alias(c) for c in names if c.lower() not in ("shard", "slot")]
+    return out.select(*kept, "shard", (F.col("offset") + F.col("n")).cast("long").alias("slot"))

@@ -52,3 +52,11 @@ def test_nulls_repeats_and_small_tables(spark):
     check(rows[:2], sharding.shard_rows(df.limit(2), ["doc_id", "text"], 7).collect(), 7)
     moved = sharding.shard_rows(df.repartition(5), ["doc_id", "text"], 7).collect()
     assert sorted(map(tuple, moved), key=repr) == sorted(map(tuple, got), key=repr)
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(i, "t", 9, "a", -1, "r") for i in range(50)], "doc_id long, b string, shard int, slot string, bucket int, row string")
+    got = sharding.shard_rows(df, ["doc_id", "b"], 7)
+    assert got.columns == ["doc_id", "b", "bucket", "row", "shard", "slot"]
+    check(range(50), rows := got.collect(), 7)
+    assert {(r["b"], r["bucket"], r["row"]) for r in rows} == {("t", -1, "r")} and {r["doc_id"] for r in rows} == set(range(50))
