@@ -20,6 +20,7 @@ from lodestone.llm.common import keyed, small, stored
 BLOCK = 1000
 GOLDEN = 0.6180339887498949
 CHUNK = 65_536
+REACH = 64
 MAX_REPEAT = 3
 WEIGHTS = (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
@@ -69,15 +70,16 @@ def targets(rows: DataFrame) -> DataFrame:
 def schedule(sources: DataFrame) -> DataFrame:
     """(place_no, rank, slot): the slots in the order of the mix, each with its rank among its source's slots.
 
-    The cumulative shares are one row, a number per source; the points are made on the executors.
+    The points are made on the executors. A point's owner is the source whose stretch of the cumulative shares holds it: stretches are cut
+    at every ``REACH`` shares, so points and sources meet by an equal-sized piece, and a piece has few of both however many sources there are.
     """
-    shares = sources.agg(F.array_sort(F.collect_list(F.struct("up_to", "place_no"))).alias("shares"), F.coalesce(F.max("up_to"), F.lit(0)).alias("points"))
-    points = shares.select("points").first()[0]
+    points = sources.agg(F.coalesce(F.max("up_to"), F.lit(0))).first()[0]
     slots = sources.sparkSession.range(0, points, 1, max(1, -(-points // CHUNK))).withColumnRenamed("id", "slot")
-    slots = slots.crossJoin(F.broadcast(shares))  # one row
-    at = ((F.col("slot") + 0.5) * GOLDEN) % 1.0 * F.col("points")
-    owner = F.expr("element_at(shares, size(filter(shares, s -> s.up_to <= at)) + 1).place_no")
-    drawn = slots.withColumn("at", at).select(F.expr(f"slot div {CHUNK}").alias("chunk"), "slot", owner.alias("place_no"))
+    slots = slots.withColumn("at", ((F.col("slot") + 0.5) * GOLDEN) % 1.0 * F.lit(points)).withColumn("piece", F.floor(F.col("at") / REACH).cast("long"))
+    stretches = sources.where("slots > 0").select("place_no", (F.col("up_to") - F.col("slots")).alias("from"), "up_to")
+    stretches = stretches.select("place_no", "from", "up_to", F.explode(F.expr(f"sequence(from div {REACH}, (up_to - 1) div {REACH})")).alias("piece"))
+    met = slots.join(stretches.hint("merge"), "piece").where("at >= from AND at < up_to")
+    drawn = met.select(F.expr(f"slot div {CHUNK}").alias("chunk"), "slot", "place_no")
     tally = drawn.groupBy("place_no", "chunk").agg(F.count("*").alias("n"))
     before = tally.withColumn("before", F.sum("n").over(Window.partitionBy("place_no").orderBy("chunk")) - F.col("n")).select("place_no", "chunk", "before")
     ranked = drawn.withColumn("k", F.row_number().over(Window.partitionBy("place_no", "chunk").orderBy("slot")) - 1).join(before.hint("merge"), ["place_no", "chunk"])
@@ -137,14 +139,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """The mix itself, with the columns of ``docs``: a row for each turn that takes a document, in the order of the first slot that does.
 
     A document taken whole keeps its text; one that a turn takes in part (at most one per source, the last) keeps its first
-    words, joined by single spaces. Rows equal in id, source and text are taken together.
+    words, joined by single spaces. Rows equal in id, source and text are one document here, which takes what is due to all of them. Null and empty
+    texts have no words and don't come; an empty table stays empty; extra columns may have any name.
     """
-    found = takes(*planned(docs, id_col, text_col, source_col)).where("words > 0")
-    found = found.select(F.col("place").alias("_mix_place"), F.col("size").alias("_mix_size"), F.col("words").alias("_mix_take"), F.col("slot").alias("_mix_slot"))
-    place = place_of(F.col(f"`{id_col}`"), F.col(f"`{source_col}`"), F.col(f"`{text_col}`"))
-    one = docs.withColumn("_mix_place", place).dropDuplicates(["_mix_place"])
-    met = one.join(found, "_mix_place")
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(WORD), 0), 1, F.col("_mix_take").cast("int")), " ")
-    met = met.withColumn(text_col, F.when(F.col("_mix_take") == F.col("_mix_size"), F.col(f"`{text_col}`")).otherwise(cut))
-    met = met.orderBy(F.col("_mix_slot").asc_nulls_last(), "_mix_place", F.col("_mix_take").desc())
-    return met.select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = takes(*planned(docs, id_col, text_col, source_col)).where("words > 0").select("place", F.col("size").alias("whole"), F.col("words").alias("take"), "slot")
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    text = F.col(names[text_col])
+    numbered = docs.select(place_of(F.col(f"`{id_col}`"), F.col(f"`{source_col}`"), F.col(f"`{text_col}`")).alias("place"), *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    met = numbered.dropDuplicates(["place"]).join(found, "place")
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), 0), 1, F.col("take").cast("int")), " ")
+    met = met.withColumn(names[text_col], F.when(F.col("take") == F.col("whole"), text).otherwise(cut))
+    met = met.orderBy(F.col("slot").asc_nulls_last(), "place", F.col("take").desc())
+    return met.select(*[F.col(n).alias(c) for c, n in names.items()])

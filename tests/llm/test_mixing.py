@@ -66,6 +66,24 @@ def test_slots_follow_the_weights_all_along(spark):
         assert all(abs(order[:n].count(s) - n * share[s] / total) <= 4 for s in share)
 
 
+def test_many_sources(spark):
+    """Thousands of small sources beside a large one: each point finds its owner, and targets hold."""
+    rows = [(i, "w " * (i % 5 + 1), "en", f"s{i % 3000}", 0, 1) for i in range(6000)] + [(10_000 + i, "w " * 2000, "en", "big", 0, 1) for i in range(20)]
+    got = mixing.mixed_counts(spark.createDataFrame(rows, SCHEMA)).collect()
+    taken, target = defaultdict(int), {}
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert len(got) == len(rows) and all(abs(taken[s] - target[s]) <= 0.5 for s in target)
+
+
+def test_clashing_names_and_long_texts(spark):
+    df = spark.createDataFrame([(i, "word " * n, "abc"[i % 3], "x", 5) for i, n in enumerate([3, 400_000, 7, 0, 12, 90])], "doc_id long, text string, source string, place string, slot int")
+    out = mixing.mix(df)
+    assert out.columns == df.columns and {(r["place"], r["slot"]) for r in out.collect()} == {("x", 5)}
+    assert sum(len(r["text"].split()) for r in out.collect()) == sum(r["taken"] for r in mixing.mixed_counts(df).collect())
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert mixing.mixed_counts(df).count() == 0 and mixing.mix(df).count() == 0
