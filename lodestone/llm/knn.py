@@ -120,11 +120,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     Returns (query_id, rank from 1, vec_id, score); ties go to the smaller vec_id. Null ids or vectors, and
     vectors with null or non-finite components, take no part. Vectors meet those of their own length only.
     A candidate with the query's own id is skipped; a repeated candidate row counts as often as it occurs;
-    repeated query rows count once. With fewer candidates than ``k`` all are returned; empty input gives no
+    query rows that share an id count once, by their least vector. With fewer candidates than ``k`` all are returned; empty input gives no
     rows. Scores are exact below 2**53. Other columns are ignored.
     """
     spark = vectors.sparkSession
-    rows, asked = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col).distinct()
+    rows, asked = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col).groupBy("vec_id").agg(F.min("v").alias("v"))
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
     seeds = {d: (i, m) for d, i, m in matrices(sample["vec_id"].combine_chunks(), sample["v"].combine_chunks())} if sample.num_rows else {}
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))

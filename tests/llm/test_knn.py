@@ -40,3 +40,11 @@ def test_more_query_blocks_and_empty_tables(spark, monkeypatch):
     assert sorted(tuple(r) for r in knn.top_k(df, df, 4).collect()) == brute(rows, set(range(90)), 4)
     assert knn.top_k(df.limit(0), df.limit(0)).count() == 0
     assert knn.top_k(df.limit(1), df.limit(1)).count() == 0
+
+
+def test_queries_that_share_an_id_count_once(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(20)]
+    df = spark.createDataFrame([(i, v, 0, "", 0) for i, v in rows], SCHEMA)
+    twice = spark.createDataFrame([(3, [5.0, 1.0], 0, "", 0), (3, [-2.0, 1.0], 0, "", 0), (3, [-2.0, 1.0], 0, "", 0)], SCHEMA)
+    got = sorted(tuple(r) for r in knn.top_k(df, twice, 2).collect())
+    assert [(q, r, i) for q, r, i, _ in got] == [(3, 1, 0), (3, 2, 1)]
