@@ -19,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import give_back, keyed, small
+from lodestone.llm.common import give_back, keyed, mixed, small
 
 ORDER = 5
 SAMPLE_CHARS = 600_000
 SAMPLE_DOCS = 2000
 CALIBRATION = 5  # every so many sampled texts go to the calibration instead of the counts
+OUTLIER = 12.0  # median deviations above the median
 ROOM = 1.0
 SHORT_ROOM = 12.0
 CONFIDENT = 40  # symbols beyond which evidence no longer adds up: symbols of a text are not independent
@@ -40,12 +41,6 @@ def runs_of(text: Column) -> Column:
     return F.split(F.lower(text), r"[^\p{L}]+")
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def sequences(runs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols of all runs between their marks, position of each in its run, run of each)."""
     lens = np.fromiter(map(len, runs), np.int64, len(runs)) + 2
@@ -217,7 +212,8 @@ def sample(docs: DataFrame) -> DataFrame:
     ids = rows.select("doc_id", "lang", F.length("text").alias("chars"), F.xxhash64("doc_id").alias("h"))
     totals = ids.groupBy("lang").agg(F.count("*").alias("total"))
     near = ids.join(small(totals), "lang").where(F.pmod("h", F.lit(1 << 30)) * F.col("total") < F.lit(float(4 * SAMPLE_DOCS * (1 << 30))))
-    order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h", "doc_id")
+    # Texts that would take a large share of the budget come last, so one of them can't end the sample early.
+    order = Window.partitionBy("lang").orderBy(F.col("chars") > SAMPLE_CHARS // 20, F.pmod("h", F.lit(1 << 30)), "h", "doc_id")
     near = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_DOCS)
     near = near.withColumn("before", F.sum("chars").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("chars"))
     chosen = near.where(F.col("before") < SAMPLE_CHARS).groupBy("lang", "doc_id").agg(F.min("n").alias("n"))
@@ -235,7 +231,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     for lang, n, runs in zip(*(rows[c].to_pylist() for c in ("lang", "n", "runs")), strict=True):
         runs = [r for r in runs if r]
         if runs:
-            if n % CALIBRATION or lang not in counts:
+            if n % CALIBRATION != 2 or lang not in counts:  # with two texts one is held out
                 counts.setdefault(lang, Counter()).update(runs)
             else:
                 checks.setdefault(lang, []).append(runs)
@@ -247,11 +243,19 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         bits, symbols = model.texts(pa.array(texts, pa.list_(pa.string())))
         entropy = model.entropies(bits, symbols)[:, j] - SHORT_ROOM / np.sqrt(np.maximum(symbols, 1))
         long = symbols >= 200
-        model.level[j] = max(model.entropies(bits, symbols)[long, j].max() if long.any() else -np.inf, entropy.max()) + ROOM
+        whole = model.entropies(bits, symbols)[long, j]
+        model.level[j] = max(typical_top(whole) if long.any() else -np.inf, typical_top(entropy)) + ROOM
     model.forget()
     return model
 
 
+def typical_top(values: np.ndarray) -> float:
+    """The largest value that is no outlier: at most ``OUTLIER`` median deviations above the median (a mislabelled text doesn't lift a level)."""
+    middle = np.median(values)
+    spread = max(float(np.median(np.abs(values - middle))), 0.02)
+    return float(values[values <= middle + OUTLIER * spread].max())
+
+
 FOUND = "struct<lang_pred:string,score:double,entropy:double,accepted:boolean>"
 
 
@@ -285,7 +289,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that are not rejected, with all columns and ``lang_col`` set to the language found.
 
-    Learns from the labelled rows of ``docs`` itself.
+    Learns from the labelled rows of ``docs`` itself. Null texts and those without letters are rejected, as is every text if nothing was learned;
+    repeated rows stay repeated, an empty table stays empty, and extra columns may have any name.
     """
-    found = identified(docs, train(docs, id_col, text_col, lang_col), text_col, "_lang_found").where("_lang_found.accepted")
-    return found.select(*[F.col("_lang_found.lang_pred").alias(c) if c == lang_col else F.col(f"`{c}`") for c in docs.columns])
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    numbered = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    rows = identified(numbered, train(docs, id_col, text_col, lang_col), names[text_col], "found").where("found.accepted")
+    return rows.select(*[F.col("found.lang_pred" if c == lang_col else n).alias(c) for c, n in names.items()])
