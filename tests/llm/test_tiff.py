@@ -118,3 +118,38 @@ def test_query_on_a_table(spark):
         media = tiff.write(payload)
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest())
     assert not docs
+
+
+def read_again(data):
+    """A second reader, of little-endian files with deflate strips and horizontal differences: (pages, samples)."""
+    assert data[:4] == b"II*\0"
+    at, out, n = struct.unpack_from("<I", data, 4)[0], b"", 0
+    while at:
+        count = struct.unpack_from("<H", data, at)[0]
+        tags = {}
+        for k in range(count):
+            tag, kind, many, inline = struct.unpack_from("<HHII", data, at + 2 + 12 * k)
+            size = {1: 1, 3: 2, 4: 4}.get(kind, 0) * many
+            place = inline if size > 4 else at + 2 + 12 * k + 8
+            tags[tag] = list(struct.unpack_from(f"<{many}{ {1: 'B', 3: 'H', 4: 'I'}[kind] }", data, place)) if size else None
+        assert tags[259] == [8] and tags[317] == [2] and tags[256] == [64]
+        for start, length in zip(tags[273], tags[279], strict=True):
+            rows = np.frombuffer(zlib.decompress(data[start : start + length]), np.uint8).reshape(-1, 64)
+            out += np.cumsum(rows, axis=1, dtype=np.uint8).tobytes()
+        at, n = struct.unpack_from("<I", data, at + 2 + 12 * count)[0], n + 1
+    return n, out
+
+
+def test_a_second_reader_and_features_by_hand(spark):
+    texts = [(1, "é" * 333), (2, None), (3, "x" * 64), (4, "long text " * 200_000)]
+    files = tiff.encode_texts(spark.createDataFrame(texts, "doc_id long, text string"))
+    media = {r["doc_id"]: bytes(r["media"]) for r in files.select("doc_id", "media").collect()}
+    for r in tiff.digest_files(files).collect():
+        pages, samples = read_again(media[r["doc_id"]])
+        assert samples == tiff.payload_of(dict(texts)[r["doc_id"]])[1] and hashlib.sha256(media[r["doc_id"]]).hexdigest() == r["media_sha256"] and len(media[r["doc_id"]]) == r["media_bytes"]
+        value = np.frombuffer(samples, np.uint8).astype(float)
+        share = np.unique(value, return_counts=True)[1] / len(value)
+        found = dict(x.split("=") for x in r["feature"].split(";"))
+        assert int(found["pages"]) == pages == r["n_pages"] and int(found["values"]) == len(share)
+        assert float(found["mean"]) == pytest.approx(value.mean(), abs=1e-4) and float(found["std"]) == pytest.approx(value.std(), abs=1e-4)
+        assert float(found["entropy"]) == pytest.approx(-(share * np.log2(share)).sum(), abs=1e-4)
