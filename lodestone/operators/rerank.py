@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
@@ -32,13 +32,24 @@ def lexical_logit(question: Column, passage: Column) -> Column:
     return F.round(share * 12 - 6, 6)
 
 
-def rerank(candidates: DataFrame, config: EngineConfig = DEFAULTS, scorer: PairScorer | None = None) -> DataFrame:
+def rerank(candidates: DataFrame, config: EngineConfig = DEFAULTS, scorer: PairScorer | None = None, cut: Callable[[str, int], str] | None = None) -> DataFrame:
     """Candidates (qid, question, chunk_id, text, ...) with rerank_score, the best ``rerank_top_k`` by final_rank.
 
     A scorer gets passages of one question by length, ``rerank_batch_size`` at a time; truncation comes first, so the order
-    of batches can't change a score. Null scores rank as 0.
+    of batches can't change a score. Null scores rank as 0. ``cut`` truncates by a model's own tokens (``models.SubwordCounter.cut``).
     """
-    rows = candidates.withColumn("_passage", prepared(F.col("text"), config))
+    if cut is None:
+        passage = prepared(F.col("text"), config)
+    else:
+        most = config.rerank_max_tokens
+
+        @F.pandas_udf("string")
+        def shortened(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for part in parts:
+                yield part.map(lambda t: None if t is None else cut(t, most))
+
+        passage = shortened(F.col("text"))
+    rows = candidates.withColumn("_passage", passage)
     if scorer is None:
         rows = rows.withColumn("rerank_score", lexical_logit(F.col("question"), F.col("_passage")))
     else:
