@@ -329,7 +329,7 @@ def _gold(spark, sf_dir):
     questions without such a token meet every document.
     """
     labels = asked(spark, sf_dir)
-    inner = tokens(F.regexp_replace("question", r"(?i)^[^a-z0-9]*[a-z0-9]+|[a-z0-9]+[^a-z0-9]*$", ""))
+    inner = tokens(F.regexp_replace(F.lower("question"), "^[^a-z0-9]*[a-z0-9]+|[a-z0-9]+[^a-z0-9]*$", ""))
     terms = labels.select("qid", F.explode(inner).alias("term")).distinct()
     index = _index(spark, sf_dir).sparse
     rarest = sparse.small(terms).join(index.weights, "term").groupBy("qid").agg(F.min_by("term", F.struct("df", "term")).alias("term"), F.count("*").alias("held"))
