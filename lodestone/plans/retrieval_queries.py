@@ -17,7 +17,7 @@ from lodestone.functions.text import probability, tokens
 from lodestone.operators import answer, dense, evaluate, fusion, guard, refusal, rerank, sparse, verify
 from lodestone.plans import ask as asking
 from lodestone.plans.index import index_of
-from lodestone.plans.common import DENSE_SQL, FUSED_SQL, RERANK_SQL, RETRIEVAL_SQL, SPARSE_SQL, asked, keywords_sql, longs, passages, question_vectors, table, text_sql, tokens_sql, vectors
+from lodestone.plans.common import DENSE_SQL, FUSED_SQL, RERANK_SQL, RETRIEVAL_SQL, SPARSE_SQL, asked, longs, passages, question_vectors, table, text_sql, tokens_sql, vectors
 from lodestone.sources.scratch import stored
 
 # The lexical scorer's scale is its own, so its floor is too: midway between answerable and trap questions on the test tables.
