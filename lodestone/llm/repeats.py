@@ -26,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import discard, mixed, stored, tidied
+from lodestone.llm.common import discard, give_back, mixed, stored, tidied
 
 LENGTH = 400
 K = 32
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20  # a block is closed before a name would lift it above this; a larger name is a block of its own
 HOT_BYTES = 4 << 20
+SLICE = 1 << 18  # positions of an index that are worked on at once
 LONGEST_SEGMENT = 4096  # windows; longer runs of one name (periodic text) are cut, with the overlap that keeps every window
 BATCH_BYTES = 4 << 20
 PIECE = 1 << 20  # bytes of a text that are read at once
@@ -124,40 +125,50 @@ def suffix_order(data: np.ndarray, room: np.ndarray) -> np.ndarray:
     n, key = len(data), np.zeros(len(data), np.uint64)
     padded = np.concatenate([data, np.full(8, SEPARATOR, np.uint8)])
     for i in range(7):
-        key = (key << np.uint64(8)) | np.where(room >= i, padded[i : i + n], SEPARATOR).astype(np.uint64)
-    order = np.argsort(key, kind="stable")
-    sorted_key = key[order]
-    fresh = np.concatenate([[True], (sorted_key[1:] != sorted_key[:-1])]) | (room[order] < 7)
-    fresh[1:] |= room[order][:-1] < 7
-    rank, h = np.empty(n, np.int64), 7
-    head = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    rank[order] = head
+        key <<= np.uint64(8)
+        key |= np.where(room >= i, padded[i : i + n], np.uint8(SEPARATOR))
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    key = key[order]
+    fresh = np.concatenate([[True], (key[1:] != key[:-1])])
+    del key
+    short = room[order] < 7
+    fresh |= short
+    fresh[1:] |= short[:-1]
+    rank, h = np.empty(n, np.int32), 7
+    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n, dtype=np.int32), np.int32(0)))
     while True:
-        alone = fresh & np.append(fresh[1:], True)
-        slots = np.flatnonzero(~alone)
+        slots = np.flatnonzero(~(fresh & np.append(fresh[1:], True))).astype(np.int32)
         if not len(slots):
             return order
         who = order[slots]
-        pair = rank[who] * n + rank[who + h]
+        pair = rank[who].astype(np.int64)
+        pair *= n
+        pair += rank[who + h]
         again = np.argsort(pair, kind="stable")
-        order[slots], pair = who[again], pair[again]
+        who, pair = who[again], pair[again]
+        del again
         differs = np.concatenate([[True], pair[1:] != pair[:-1]])
-        fresh[slots] = differs
-        rank[order[slots]] = slots[np.maximum.accumulate(np.where(differs, np.arange(len(slots)), 0))]
+        del pair
+        order[slots], fresh[slots] = who, differs
+        rank[who] = slots[np.maximum.accumulate(np.where(differs, np.arange(len(slots), dtype=np.int32), np.int32(0)))]
         h *= 2
 
 
 def common(data: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
     """The number of equal bytes from each a and b on, ``most`` at most; eight at a time."""
-    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)).view("<u8").ravel()
-    out, todo = np.zeros(len(a), np.int64), np.flatnonzero(most > 0)
-    while len(todo):
-        x = words[a[todo] + out[todo]] ^ words[b[todo] + out[todo]]
-        low = x & (~x + np.uint64(1))
-        same = np.where(x == 0, 8, np.log2(np.maximum(low, 1).astype(np.float64)).astype(np.int64) // 8)
-        out[todo] += same
-        todo = todo[(same == 8) & (out[todo] < most[todo])]
-    return np.minimum(out, most)
+    padded, out = np.concatenate([data, np.zeros(8, np.uint8)]), np.zeros(len(a), np.int32)
+    words = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # a view: eight bytes from each position
+    for at in range(0, len(a), SLICE):
+        one, other, limit = (c[at : at + SLICE].astype(np.int64) for c in (a, b, most))
+        same, todo = np.zeros(len(one), np.int64), np.flatnonzero(limit > 0)
+        while len(todo):
+            x = words[one[todo] + same[todo]] ^ words[other[todo] + same[todo]]
+            low = x & (~x + np.uint64(1))
+            met = np.where(x == 0, 8, np.log2(np.maximum(low, 1).astype(np.float64)).astype(np.int64) // 8)
+            same[todo] += met
+            todo = todo[(met == 8) & (same[todo] < limit[todo])]
+        out[at : at + SLICE] = np.minimum(same, limit)
+    return out
 
 
 class RunIndex:
@@ -173,7 +184,7 @@ class RunIndex:
         self.starts = self.ends - lens
         data = np.frombuffer(b"".join(p + b"\xff" for p in parts), np.uint8)
         self.size = len(data)
-        room = np.repeat(self.ends, lens + 1) - np.arange(len(data))
+        room = np.repeat(self.ends.astype(np.int32), lens + 1) - np.arange(len(data), dtype=np.int32)
         order = suffix_order(data, room)
         before = data[order - 1]
         before[order == 0] = SEPARATOR
@@ -187,11 +198,11 @@ class RunIndex:
 
     def statistics(self) -> np.ndarray:
         """For each position the longest match with the suffix before it in the order, streamed from the samples."""
-        out, at = np.zeros(self.size, np.int64), np.argsort(self.head)
+        out, at = np.zeros(self.size, np.int32), np.argsort(self.head)
         head, match = self.head[at], self.match[at]
         if len(head):  # each head's value holds until the next head
             ends = np.repeat(head + match, np.diff(np.append(head, self.size)))
-            out[head[0] :] = np.maximum(0, ends - np.arange(head[0], self.size))
+            out[head[0] :] = np.maximum(0, ends - np.arange(head[0], self.size, dtype=np.int32))
         return out
 
     def spans(self, length: int, rank: np.ndarray | None = None) -> list[list[tuple[int, int]]]:
@@ -261,26 +272,33 @@ def index_blocks(rows: DataFrame, length: int, first: bool) -> DataFrame:
     """Marks of (name, k1, k2, start, more, seg) rows, which come with all segments of a name together and in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, name = [], 0, None
+        held, size, own, fresh, name = [], 0, [], 0, None  # the block's rows and bytes, and those of the name that is being read
 
-        def marks() -> Iterator[pa.RecordBatch]:
-            if held:
-                keys = [h[:2] for h in held]
+        def marks(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            if rows:
+                keys = [h[:2] for h in rows]
                 places = {k: i for i, k in enumerate(sorted(set(keys)))}
-                found = RunIndex([h[4] for h in held]).spans(length, np.array([places[k] for k in keys]) if first else None)
-                out = [(k1, k2, at + a, b - a) for (k1, k2, start, more, _), spans in zip(held, found, strict=True) for a, b in spans for at in (start, *(more or ()))]
+                found = RunIndex([h[4] for h in rows]).spans(length, np.array([places[k] for k in keys]) if first else None)
+                out = [(k1, k2, at + a, b - a) for (k1, k2, start, more, _), spans in zip(rows, found, strict=True) for a, b in spans for at in (start, *(more or ()))]
                 if out:
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), MARKS.types, strict=True)], schema=MARKS)
+                give_back()
 
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("name", "k1", "k2", "start", "more", "seg")), strict=True):
-                if row[0] != name and size >= BLOCK_BYTES:
-                    yield from marks()
-                    held, size = [], 0
-                name = row[0]
-                held.append(row[1:])
-                size += len(row[5])
-        yield from marks()
+                if row[0] != name:
+                    if size + fresh > BLOCK_BYTES:
+                        yield from marks(held)
+                        held, size = [], 0
+                    held.extend(own)
+                    size, own, fresh, name = size + fresh, [], 0, row[0]
+                own.append(row[1:])
+                fresh += len(row[5])
+        if size + fresh > BLOCK_BYTES:
+            yield from marks(held)
+            held = []
+        held.extend(own)
+        yield from marks(held)
 
     return rows.mapInArrow(tidied(run), MARK)
 

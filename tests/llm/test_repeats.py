@@ -1,8 +1,10 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import DATA
 
@@ -95,6 +97,39 @@ def test_index_keeps_the_first_document(alphabet):
             assert mine == cover
 
 
+def test_index_takes_few_bytes_a_position():
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
+    base = [" ".join(word() for _ in range(100)).encode() for _ in range(40)]
+    parts = [rng.choice(base) + word().encode() for _ in range(1000)]
+    tracemalloc.start()
+    repeats.RunIndex(parts).spans(240, np.arange(len(parts)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 75 * sum(map(len, parts))
+
+
+def test_blocks_close_before_a_name_lifts_them_over_the_limit(monkeypatch):
+    sizes = []
+
+    class Index(repeats.RunIndex):
+        def __init__(self, parts):
+            sizes.append(sum(map(len, parts)))
+            super().__init__(parts)
+
+    class Rows:
+        def mapInArrow(self, run, schema):
+            return run
+
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", 1000)
+    monkeypatch.setattr(repeats, "RunIndex", Index)
+    names = [1] * 9 + [2] * 15 + [3] * 4 + [4] * 4
+    columns = [names, range(len(names)), [0] * len(names), [0] * len(names), [None] * len(names), [b"q" * 100] * len(names)]
+    batch = pa.record_batch([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.binary()], strict=True)], names=["name", "k1", "k2", "start", "more", "seg"])
+    out = list(repeats.index_blocks(Rows(), 50, False)(iter([batch.slice(0, 5), batch.slice(5)])))
+    assert sizes == [900, 1500, 800] and sum(b.num_rows for b in out) == len(names)
+
+
 def test_statistics_run_lengths_and_order():
     parts = [b"banana", b"ananas", b"bandana"]
     index = repeats.RunIndex(parts)
