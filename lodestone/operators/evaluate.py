@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,10 +16,16 @@ def part_of(part_id: Column) -> Column:
 
 
 def gold_ranks(labels: DataFrame, ranked: DataFrame) -> DataFrame:
-    """(qid, gold_rank): the first ranked row with the label's law and article, and its part where the label names one."""
-    hit = ranked.withColumn("part", part_of(F.col("part_id")))
-    joined = labels.alias("l").join(hit.alias("r"), (F.col("l.qid") == F.col("r.qid")) & (F.col("l.law_id") == F.col("r.law_id")) & (F.col("l.article_no") == F.col("r.article_no")) & (F.col("l.part").isNull() | (F.col("l.part") == F.col("r.part"))), "left")
-    return joined.groupBy(F.col("l.qid").alias("qid")).agg(F.min("r.rank").alias("gold_rank"))
+    """(qid, gold_rank): the first ranked row with the label's law and article, and its part where the label names one.
+
+    A ranking without a ``qid`` is that of every question. Only the best rank of each law, article and part meets the labels.
+    """
+    on = [c for c in ("qid", "law_id", "article_no") if c in ranked.columns]
+    of_part = ranked.groupBy(*on, part_of(F.col("part_id")).alias("part")).agg(F.min("rank").alias("rank"))
+    of_any = of_part.groupBy(*on).agg(F.min("rank").alias("rank")).withColumn("part", F.lit(None).cast("string"))
+    best = of_part.unionByName(of_any)
+    same = reduce(lambda x, c: x & (F.col(f"l.{c}") == F.col(f"r.{c}")), on, F.col("l.part").eqNullSafe(F.col("r.part")))
+    return labels.alias("l").join(best.alias("r"), same, "left").groupBy(F.col("l.qid").alias("qid")).agg(F.min("r.rank").alias("gold_rank"))
 
 
 def phrase_ranks(labels: DataFrame, ranked: DataFrame) -> DataFrame:

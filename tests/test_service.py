@@ -8,7 +8,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from lodestone.config import EngineConfig
-from lodestone.operators import answer, dense, guard, workspace
+from lodestone.operators import answer, dense, evaluate, guard, workspace
 from lodestone.plans import ask as asking
 from lodestone.plans.experiments import chunk_size_hits, rehearsed
 
@@ -127,3 +127,17 @@ def test_chunk_sizes_with_hits(spark):
     got = {(r["target"], r["capped"]): r for r in chunk_size_hits(spark.createDataFrame(rows, article), labels, (100, 700), EngineConfig(embedding_dim=16)).collect()}
     assert len(got) == 4 and got[100, True]["chunks"] > got[700, True]["chunks"] and got[700, False]["tokens_max"] >= got[700, True]["tokens_max"]
     assert all(0.6 <= r["hit_rate_at_5"] <= 0.6667 and r["hit_rate_at_1"] <= r["hit_rate_at_5"] for r in got.values())
+
+
+def test_gold_ranks_of_one_shared_ranking(spark):
+    """Every suffix of nulls and parts: as if each question had its own copy of the ranking."""
+    labels = spark.createDataFrame([(i, f"l{i % 4}" if i % 7 else None, i % 3, [None, "decree-law", "cabinet-resolution"][i % 3 - i % 2]) for i in range(60)] + [(3, "l1", 2, None)], "qid long, law_id string, article_no int, part string")
+    rows = spark.createDataFrame([(f"l{i % 3}" if i % 11 else None, i % 3, [None, "cabinet-resolution-1", "law-1"][i % 5 % 3], 200 - i) for i in range(120)], "law_id string, article_no int, part_id string, rank int")
+    shared = {r["qid"]: r["gold_rank"] for r in evaluate.gold_ranks(labels, rows).collect()}
+    own = {r["qid"]: r["gold_rank"] for r in evaluate.gold_ranks(labels, labels.select("qid").distinct().crossJoin(rows)).collect()}
+    held, want = rows.collect(), {}
+    for r in labels.collect():
+        part = lambda x: "cabinet-resolution" if "cabinet" in (x["part_id"] or "") else "decree-law"
+        hits = [x["rank"] for x in held if r["law_id"] and x["law_id"] == r["law_id"] and x["article_no"] == r["article_no"] and (r["part"] is None or r["part"] == part(x))]
+        want[r["qid"]] = min([x for x in [want.get(r["qid"]), *hits] if x is not None], default=None)
+    assert shared == own == want and len({*want.values()} - {None}) > 2
