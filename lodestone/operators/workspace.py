@@ -20,8 +20,8 @@ def live_sessions(touches: DataFrame, now: Column, config: EngineConfig = DEFAUL
 
 
 def sessionised(touches: DataFrame, config: EngineConfig = DEFAULTS) -> DataFrame:
-    """Touches with ``session_no``: a new session starts after an idle time above the TTL."""
-    order = Window.partitionBy("session_id").orderBy("ts")
+    """Touches with ``session_no``: a new session starts after an idle time above the TTL. Touches without a time come last, together."""
+    order = Window.partitionBy("session_id").orderBy(F.asc_nulls_last("ts"))
     gap = F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(order))
     return touches.withColumn("session_no", F.sum(F.when(gap <= config.workspace_ttl_seconds, 0).otherwise(1)).over(order.rangeBetween(Window.unboundedPreceding, 0)))
 

@@ -2,6 +2,7 @@
 
 import random
 import sys
+from datetime import datetime
 
 import pytest
 from pyspark import cloudpickle
@@ -141,3 +142,10 @@ def test_gold_ranks_of_one_shared_ranking(spark):
         hits = [x["rank"] for x in held if r["law_id"] and x["law_id"] == r["law_id"] and x["article_no"] == r["article_no"] and (r["part"] is None or r["part"] == part(x))]
         want[r["qid"]] = min([x for x in [want.get(r["qid"]), *hits] if x is not None], default=None)
     assert shared == own == want and len({*want.values()} - {None}) > 2
+
+
+def test_sessions_put_touches_without_a_time_last(spark):
+    day = lambda d: None if d is None else datetime(2024, 1, d)
+    rows = [(1, day(3)), (1, None), (1, day(9)), (1, None), (2, None)]
+    got = workspace.sessionised(spark.createDataFrame(rows, "session_id long, ts timestamp"), EngineConfig(workspace_ttl_seconds=86_400)).collect()
+    assert sorted(((r["session_id"], r["ts"], r["session_no"]) for r in got), key=str) == sorted([(1, day(3), 1), (1, day(9), 2), (1, None, 4), (1, None, 4), (2, None, 1)], key=str)
