@@ -19,10 +19,18 @@ def live_sessions(touches: DataFrame, now: Column, config: EngineConfig = DEFAUL
     return fresh.orderBy(F.desc("touched_at"), F.desc("session_id")).limit(config.workspace_max_sessions)
 
 
+def _seconds(touches: DataFrame) -> Column:
+    """``ts`` as a double of seconds since 1970 with their parts. A time without a zone is read as UTC in any session's zone, so that none of its days has 23 hours."""
+    if dict(touches.dtypes)["ts"] != "timestamp_ntz":
+        return F.col("ts").cast("timestamp").cast("double")
+    since = F.col("ts") - F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")
+    return (since.cast("interval second").cast("decimal(20,6)") * 1_000_000).cast("long") / 1e6
+
+
 def sessionised(touches: DataFrame, config: EngineConfig = DEFAULTS) -> DataFrame:
-    """Touches with ``session_no``: a new session starts after an idle time above the TTL. Touches without a time come last, together."""
+    """Touches with ``session_no``: a new session starts after an idle time above the TTL, by parts of a second too. Touches without a time come last, together."""
     order = Window.partitionBy("session_id").orderBy(F.asc_nulls_last("ts"))
-    gap = F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(order))
+    gap = _seconds(touches) - F.lag(_seconds(touches)).over(order)
     return touches.withColumn("session_no", F.sum(F.when(gap <= config.workspace_ttl_seconds, 0).otherwise(1)).over(order.rangeBetween(Window.unboundedPreceding, 0)))
 
 

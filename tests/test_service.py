@@ -2,15 +2,17 @@
 
 import random
 import sys
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
+from conftest import same_as_duckdb
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from lodestone.config import EngineConfig
 from lodestone.operators import answer, dense, evaluate, guard, workspace
 from lodestone.plans import ask as asking
+from lodestone.plans import catalogue
 from lodestone.plans.experiments import chunk_size_hits, rehearsed
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # stand-ins go to the workers by value
@@ -149,3 +151,19 @@ def test_sessions_put_touches_without_a_time_last(spark):
     rows = [(1, day(3)), (1, None), (1, day(9)), (1, None), (2, None)]
     got = workspace.sessionised(spark.createDataFrame(rows, "session_id long, ts timestamp"), EngineConfig(workspace_ttl_seconds=86_400)).collect()
     assert sorted(((r["session_id"], r["ts"], r["session_no"]) for r in got), key=str) == sorted([(1, day(3), 1), (1, day(9), 2), (1, None, 4), (1, None, 4), (2, None, 1)], key=str)
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_session_runs_split_by_parts_of_a_second(spark, tmp_path, zone):
+    two = timedelta(days=2)
+    gaps = [two, two + timedelta(microseconds=1), two + timedelta(seconds=0.4), two - timedelta(seconds=0.4), two + timedelta(minutes=30)]
+    starts = [datetime(2024, 3, 9, 12, 0, 0, 700_000), datetime(1969, 12, 30, 12, 0, 0, 300_000), datetime(1950, 1, 1, 0, 0, 0, 999_999), datetime(2260, 1, 1)]
+    rows = [(t, 10 * i + k) for i, start in enumerate(starts) for k, gap in enumerate(gaps) for t in (start, start + gap)]
+    spark.createDataFrame(rows, "ts timestamp_ntz, user_id long").selectExpr("ts", "user_id", "monotonically_increasing_id() AS event_id").write.parquet(f"{tmp_path}/events.parquet")
+    run, sql = catalogue.queries()["session_runs"], catalogue.oracle_sql()["session_runs"]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        assert same_as_duckdb(run(spark, str(tmp_path)), sql, tmp_path) > 25
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
