@@ -20,11 +20,16 @@ def live_sessions(touches: DataFrame, now: Column, config: EngineConfig = DEFAUL
 
 
 def _seconds(touches: DataFrame) -> Column:
-    """``ts`` as a double of seconds since 1970 with their parts. A time without a zone is read as UTC in any session's zone, so that none of its days has 23 hours."""
-    if dict(touches.dtypes)["ts"] != "timestamp_ntz":
-        return F.col("ts").cast("timestamp").cast("double")
-    since = F.col("ts") - F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")
-    return (since.cast("interval second").cast("decimal(20,6)") * 1_000_000).cast("long") / 1e6
+    """``ts`` as a double of seconds since 1970 with their parts; null for the first and last time that 64 bits hold, which stand for infinite ones.
+
+    A time without a zone is read as UTC in any session's zone, so that none of its days has 23 hours.
+    """
+    if dict(touches.dtypes)["ts"] == "timestamp_ntz":
+        since = F.col("ts") - F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")
+        seconds = (since.cast("interval second").cast("decimal(20,6)") * 1_000_000).cast("long") / 1e6
+    else:
+        seconds = F.col("ts").cast("timestamp").cast("double")
+    return F.when(F.abs(seconds) < 2**63 / 1e6, seconds)
 
 
 def sessionised(touches: DataFrame, config: EngineConfig = DEFAULTS) -> DataFrame:

@@ -167,3 +167,10 @@ def test_session_runs_split_by_parts_of_a_second(spark, tmp_path, zone):
         assert same_as_duckdb(run(spark, str(tmp_path)), sql, tmp_path) > 25
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_infinite_times_are_sessions_of_their_own(spark):
+    times = spark.createDataFrame([(1, 0), (1, 2**63 - 1), (1, 2**63 - 1), (2, 1 - 2**63), (2, 1 - 2**63), (2, 0)], "session_id long, at long").selectExpr("session_id", "timestamp_micros(at) AS ts")
+    for touches in (times, times.withColumn("ts", F.col("ts").cast("timestamp_ntz"))):
+        got = sorted((r["session_id"], r["session_no"]) for r in workspace.sessionised(touches).select("session_id", "session_no").collect())
+        assert got == [(1, 1), (1, 3), (1, 3), (2, 2), (2, 2), (2, 3)]
