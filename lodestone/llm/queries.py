@@ -70,9 +70,10 @@ def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What stays of every text without the 400-byte strings that repeat."""
-    rows = repeats.removed(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.octet_length("kept").cast("long").alias("n_kept"))
+    """What stays of every text without the 400-byte strings that repeat; beside it, without the shared passages of 50 words or more but their first copies."""
+    rows = repeats.removed_beside_cleaned(table(spark, sf_dir, "documents"))
+    digests = [F.sha2("kept", 256).alias("kept_sha256"), F.octet_length("kept").cast("long").alias("n_kept")]
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", *digests, "n_shared", "n_passages", "text")
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

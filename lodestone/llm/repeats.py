@@ -211,14 +211,27 @@ class RunIndex:
         With ``rank``, the place of each segment's document: under strings that start in an earlier document. Suffixes that begin with one
         string are neighbours in the order, joined by matches of ``length`` or more.
         """
+        places, owner, later = self.places(length, rank)
+        return self.joined(places, owner, length) if rank is None else self.joined(places[later], owner[later], length)
+
+    def both_spans(self, length: int, rank: np.ndarray) -> tuple[list[list[tuple[int, int]]], list[list[tuple[int, int]]]]:
+        """``spans`` without and with ``rank``, from one reading of the statistics."""
+        places, owner, later = self.places(length, rank)
+        return self.joined(places, owner, length), self.joined(places[later], owner[later], length)
+
+    def places(self, length: int, rank: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """The starts of strings of ``length`` bytes that start twice, their segments, and with ``rank`` whether an earlier document has the string."""
         joins = self.statistics()[self.order] >= length
         met = np.flatnonzero(joins | np.append(joins[1:], False))
         places, opens = self.order[met], np.flatnonzero(~joins[met])
-        owner = np.searchsorted(self.ends, places)
-        if rank is not None and len(met):
+        owner, later = np.searchsorted(self.ends, places), None
+        if rank is not None:
             own = rank[owner]
-            later = own > np.repeat(np.minimum.reduceat(own, opens), np.diff(np.append(opens, len(met))))
-            places, owner = places[later], owner[later]
+            later = own > np.repeat(np.minimum.reduceat(own, opens), np.diff(np.append(opens, len(met)))) if len(met) else np.zeros(0, bool)
+        return places, owner, later
+
+    def joined(self, places: np.ndarray, owner: np.ndarray, length: int) -> list[list[tuple[int, int]]]:
+        """For each segment the (start, end) of its bytes under the strings at ``places``."""
         by_place = np.argsort(places)
         places, owner = places[by_place], owner[by_place]
         out: list[list[tuple[int, int]]] = [[] for _ in self.ends]
@@ -268,8 +281,12 @@ def list_segments(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(tidied(run), "k1 long, k2 long, name long, content long, bytes int, again boolean, start int, more array<int>")
 
 
-def index_blocks(rows: DataFrame, length: int, first: bool) -> DataFrame:
-    """Marks of (name, k1, k2, start, more, seg) rows, which come with all segments of a name together and in order."""
+def index_blocks(rows: DataFrame, length: int, first: bool, both: bool = False) -> DataFrame:
+    """Marks of (name, k1, k2, start, more, seg) rows, which come with all segments of a name together and in order.
+
+    With ``both``, marks of either kind, and a column ``later`` that tells those of ``first``.
+    """
+    schema = MARKS.append(pa.field("later", pa.bool_())) if both else MARKS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, own, fresh, name = [], 0, [], 0, None  # the block's rows and bytes, and those of the name that is being read
@@ -278,10 +295,16 @@ def index_blocks(rows: DataFrame, length: int, first: bool) -> DataFrame:
             if rows:
                 keys = [h[:2] for h in rows]
                 places = {k: i for i, k in enumerate(sorted(set(keys)))}
-                found = RunIndex([h[4] for h in rows]).spans(length, np.array([places[k] for k in keys]) if first else None)
-                out = [(k1, k2, at + a, b - a) for (k1, k2, start, more, _), spans in zip(rows, found, strict=True) for a, b in spans for at in (start, *(more or ()))]
+                index = RunIndex([h[4] for h in rows])
+                rank = np.array([places[k] for k in keys]) if first or both else None
+                if both:  # where both kinds are the same spans, these are listed once
+                    found = [(s, l, s != l) for s, l in zip(*index.both_spans(length, rank), strict=True)]
+                    found = [[(a, b, True) for a, b in l] + [(a, b, False) for a, b in s if differ] for s, l, differ in found]
+                else:
+                    found = index.spans(length, rank)
+                out = [(k1, k2, at + a, b - a, *kind) for (k1, k2, start, more, _), spans in zip(rows, found, strict=True) for a, b, *kind in spans for at in (start, *(more or ()))]
                 if out:
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), MARKS.types, strict=True)], schema=MARKS)
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
                 give_back()
 
         for batch in batches:
@@ -300,7 +323,7 @@ def index_blocks(rows: DataFrame, length: int, first: bool) -> DataFrame:
         held.extend(own)
         yield from marks(held)
 
-    return rows.mapInArrow(tidied(run), MARK)
+    return rows.mapInArrow(tidied(run), MARK + ", later boolean" * both)
 
 
 def list_windows(rows: DataFrame, length: int) -> DataFrame:
@@ -362,6 +385,39 @@ def starts() -> Column:
 
 def marked(keyed_docs: DataFrame, length: int = LENGTH, first: bool = False) -> DataFrame:
     """(k1, k2, start, bytes): the spans that repeat, merged. See the module's description for the steps."""
+    marks, *spent = found_marks(keyed_docs, length, first)
+    out = stored(merged_marks(marks), "marks")
+    discard(*spent)
+    return out
+
+
+def marked_both(keyed_docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """``marked`` without and with ``first``, from one index."""
+    marks, *spent = found_marks(keyed_docs, length, False, both=True)
+    marks = stored(marks, "found")
+    discard(*spent)
+    out = stored(merged_marks(marks.drop("later")), "marks"), stored(merged_marks(marks.where("later").drop("later")), "later-marks")
+    discard(marks)
+    return out
+
+
+def marked_within(keyed_docs: DataFrame, spans: DataFrame, length: int) -> DataFrame:
+    """``marked`` for a greater length, from the ``spans`` that a smaller one has marked: each lies wholly in one of them, so only these are read."""
+    by_doc = spans.where(F.col("bytes") >= length).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "bytes")).alias("spans"))
+    cuts = F.expr("transform(spans, s -> struct(s.start AS at, substring(data, s.start + 1, s.bytes) AS text))")
+    own = keyed_docs.select("k1", "k2", F.col("text").cast("binary").alias("data")).join(by_doc, ["k1", "k2"])
+    cuts = own.select("k1", "k2", cuts.alias("cuts")).select("k1", "k2", F.explode("cuts").alias("s")).select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "s.*")
+    cuts = stored(cuts, "spans")
+    marks = marked(cuts.select(F.col("id").alias("k1"), F.lit(0).cast("long").alias("k2"), "text"), length)
+    # Rows equal in id and text have the same spans with the same marks: these count once.
+    places = marks.select(F.col("k1").alias("id"), "start", "bytes").join(cuts.select("id", "k1", "k2", "at"), "id")
+    out = stored(places.select("k1", "k2", (F.col("at") + F.col("start")).alias("start"), "bytes").distinct(), "marks-within")
+    discard(cuts, marks)
+    return out
+
+
+def found_marks(keyed_docs: DataFrame, length: int, first: bool, both: bool = False) -> tuple[DataFrame, ...]:
+    """(k1, k2, start, bytes) before these are merged, and the tables they are read from. With ``both``, ``later`` tells the marks of ``first``."""
     listed = stored(list_segments(keyed_docs.select("k1", "k2", "text"), length), "segments")
     places = F.lit(1) + F.coalesce(F.array_size("more"), F.lit(0))
     names = listed.groupBy("name").agg(F.sum(places).alias("n"), F.max("again").alias("again")).where("n > 1 OR again").select("name")
@@ -381,30 +437,35 @@ def marked(keyed_docs: DataFrame, length: int = LENGTH, first: bool = False) ->
     else:
         repeated = listed.join(contents.where("copies > 1").select(*key), key, "left_semi")
         wanted = (F.count("*") > 1) | F.max("again")
-    repeated = repeated.select("k1", "k2", starts().alias("start"), "bytes")
+    kind = ["later"] if both else []
+    if both:
+        copied = contents.where("copies > 1").select(*key, lead.alias("kept"))
+        repeated = listed.join(copied, key).withColumn("later", F.struct("k1", "k2") > F.col("kept"))
+    repeated = repeated.select("k1", "k2", starts().alias("start"), "bytes", *kind)
 
     per_name = contents.withColumn("lead", lead).groupBy("name").agg(F.sum("bytes").alias("total"), wanted.alias("wanted")).where("wanted").drop("wanted")
     asked = contents.join(per_name, "name").select("name", "first.*", "bytes", (F.col("total") > HOT_BYTES).alias("hot"))
     by_doc = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("name", "start", "more", "bytes", "hot")).alias("asked"))
-    own = keyed_docs.select("k1", "k2", F.encode("text", "UTF-8").alias("data"))
+    own = keyed_docs.select("k1", "k2", F.col("text").cast("binary").alias("data"))
     # Segments are cut out before they become rows, so no row carries the whole text beside one of them.
     cuts = F.expr("transform(asked, s -> struct(s.name, s.start, s.more, s.hot, substring(data, s.start + 1, s.bytes) AS seg))")
     parts = own.join(by_doc, ["k1", "k2"]).select("k1", "k2", cuts.alias("cuts")).select("k1", "k2", F.explode("cuts").alias("s")).select("k1", "k2", "s.*")
     parts = stored(parts, "segment-bytes")
 
     blocks = parts.where("NOT hot").select("name", "k1", "k2", "start", "more", "seg")
-    blocks = index_blocks(blocks.repartition("name").sortWithinPartitions("name"), length, first)
+    blocks = index_blocks(blocks.repartition("name").sortWithinPartitions("name"), length, first, both)
     windows = list_windows(parts.where("hot").select("k1", "k2", "start", "more", "seg"), length)
     if first:
         twice = windows.groupBy("a", "b").agg(F.min(F.struct("k1", "k2")).alias("kept"), F.max(F.struct("k1", "k2")).alias("last")).where("kept < last").drop("last")
         single = windows.join(twice, ["a", "b"]).where(F.struct("k1", "k2") > F.col("kept"))
+    elif both:
+        twice = windows.groupBy("a", "b").agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2")).alias("kept")).where("copies > 1").drop("copies")
+        single = windows.join(twice, ["a", "b"]).withColumn("later", F.struct("k1", "k2") > F.col("kept"))
     else:
         twice = windows.groupBy("a", "b").agg(F.count("*").alias("copies")).where("copies > 1").select("a", "b")
         single = windows.join(twice, ["a", "b"], "left_semi")
-    single = single.select("k1", "k2", starts().alias("at"), "offset").select("k1", "k2", (F.col("at") + F.col("offset")).alias("start"), F.lit(length).alias("bytes"))
-    out = stored(merged_marks(repeated.unionByName(blocks).unionByName(single)), "marks")
-    discard(listed, contents, parts)
-    return out
+    single = single.select("k1", "k2", starts().alias("at"), "offset", *kind).select("k1", "k2", (F.col("at") + F.col("offset")).alias("start"), F.lit(length).alias("bytes"), *kind)
+    return repeated.unionByName(blocks).unionByName(single), listed, contents, parts
 
 
 def whole_words(data: bytes, a: int, b: int) -> int:
@@ -415,6 +476,14 @@ def whole_words(data: bytes, a: int, b: int) -> int:
     return max(0, n - cut_ahead - cut_behind)
 
 
+def less(data: bytes, begins: pa.Scalar, sizes: pa.Scalar, words: int) -> tuple[int, bytes]:
+    """The number of marked runs of ``words`` whole words or more, and what stays without them."""
+    spans = [(a, a + n) for a, n in zip(begins.as_py(), sizes.as_py(), strict=True)] if begins.is_valid else []
+    spans = [(a, b) for a, b in spans if not words or whole_words(data, a, b) >= words]
+    edges = [0, *[x for span in spans for x in span], len(data)]
+    return len(spans), b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+
+
 def cut(docs: DataFrame, id_col: str, text_col: str, keep: list[str], as_text: bool = False, length: int = LENGTH, first: bool = False, words: int = 0) -> DataFrame:
     """Each row of ``docs`` as doc_id, n_bytes, n_removed, n_spans, kept, and the columns ``keep`` as kept_0, kept_1 and so on.
 
@@ -436,11 +505,8 @@ def cut(docs: DataFrame, id_col: str, text_col: str, keep: list[str], as_text: b
             out = []
             for text, begins, sizes in zip(batch.column("text"), batch.column("starts"), batch.column("sizes"), strict=True):
                 data = text.as_buffer().to_pybytes()
-                spans = [(a, a + n) for a, n in zip(begins.as_py(), sizes.as_py(), strict=True)] if begins.is_valid else []
-                spans = [(a, b) for a, b in spans if not words or whole_words(data, a, b) >= words]
-                edges = [0, *[x for span in spans for x in span], len(data)]
-                left = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                out.append((len(data), len(data) - len(left), len(spans), left.decode("utf-8", "ignore") if as_text else left))
+                spans, left = less(data, begins, sizes, words)
+                out.append((len(data), len(data) - len(left), spans, left.decode("utf-8", "ignore") if as_text else left))
                 size, at = size + len(left), at + 1
                 if size >= BATCH_BYTES or at == batch.num_rows:
                     columns = [pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), added, strict=True)]
@@ -462,6 +528,40 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     return cut(docs, id_col, text_col, [], length=length)
 
 
+def removed_beside_cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, short: int = 240, words: int = 50) -> DataFrame:
+    """The columns of ``removed``, then those of another rule that passages too short for ``length`` meet: n_shared, n_passages and text.
+
+    ``text`` is the row's text as ``cleaned`` leaves it with strings of ``short`` bytes, ``length`` at most, and ``words``: of a passage that
+    documents share the copy under the least id stays. n_shared and n_passages are the bytes and runs that go from it. Null texts are empty, and
+    rows equal in id and text count as in ``removed`` and in ``cleaned``. The table is indexed for ``short``; for ``length`` only what is marked there.
+    """
+    every, later = marked_both(with_key(docs, id_col, text_col), short)
+    long = marked_within(with_key(docs, id_col, text_col), every, length)
+    discard(every)
+    kinds = long.withColumn("long", F.lit(True)).unionByName(later.withColumn("long", F.lit(False)))
+    lists = [F.sort_array(F.collect_list(F.when(c, F.struct("start", "bytes")))).alias(n) for n, c in (("marks", F.col("long")), ("later", ~F.col("long")))]
+    by_doc = kinds.groupBy("k1", "k2").agg(*lists)
+    places = [F.col(f"{n}.{c}").alias(f"{n}_{c}") for n in ("marks", "later") for c in ("start", "bytes")]
+    joined = with_key(docs, id_col, text_col).join(by_doc, ["k1", "k2"], "left").select("doc_id", "text", *places)
+    fields = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("n_shared", pa.int64()), ("n_passages", pa.int64()), ("text", pa.string())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = at = size = 0
+            out = []
+            for text, *spans in zip(*(batch.column(c) for c in ("text", "marks_start", "marks_bytes", "later_start", "later_bytes")), strict=True):
+                data = text.as_buffer().to_pybytes()
+                (runs, left), (passages, rest) = less(data, *spans[:2], 0), less(data, *spans[2:], words)
+                out.append((len(data), len(data) - len(left), runs, left, len(data) - len(rest), passages, rest.decode("utf-8", "ignore")))
+                size, at = size + len(left) + len(rest), at + 1
+                if size >= BATCH_BYTES or at == batch.num_rows:
+                    columns = [pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), fields, strict=True)]
+                    yield pa.record_batch([batch.column("doc_id").slice(done, at - done), *columns], names=["doc_id", *[n for n, _ in fields]])
+                    done, size, out = at, 0, []
+
+    return joined.mapInArrow(tidied(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, n_shared long, n_passages long, text string")
+
+
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", length: int = LENGTH, words: int = 0) -> DataFrame:
     """All rows of ``docs`` with their texts less what an earlier document holds, and the new length in ``chars_col``.
 

@@ -203,6 +203,40 @@ def test_passages_of_51_words_go_but_one(spark):
     assert all(got[i] == t for i, t in rows if i >= 100 and i != 201) and got[201] == ""
 
 
+@pytest.mark.parametrize("limits", [{}, {"HOT_BYTES": 900}, {"LONGEST_SEGMENT": 50, "PIECE": 700, "BLOCK_BYTES": 2000}])
+def test_both_rules_against_brute_force(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(repeats, name, value)
+    texts = corpus(9)
+    random.Random(5).shuffle(texts)
+    rows = [(2 * i, t) for i, t in enumerate(texts)] + [(900, None), (901, ""), (6, texts[3]), (6, texts[3]), (-5, texts[10]), (7, texts[9] + " " + texts[12])]
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, n_shared int, k1 string").repartition(5)
+    got = repeats.removed_beside_cleaned(df, short=200).collect()
+    data = [(i, (t or "").encode()) for i, t in rows]
+    want = []
+    for (i, t), long, cover in zip(data, expected([t for _, t in data], 400), earlier(data, 200), strict=True):
+        spans = [(a, b) for a, b in runs(cover) if whole(t, a, b) >= 50]
+        edges = [0, *[x for s in spans for x in s], len(t)]
+        kept = b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+        want.append((i, *long, len(t) - len(kept), len(spans), kept.decode("utf-8", "ignore")))
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(bytes(r["kept"])).hexdigest(), r["n_shared"], r["n_passages"], r["text"]) for r in got) == sorted(want)
+    assert sum(w[2] > 0 for w in want) > 5 and sum(w[5] > 0 for w in want) > 5
+
+
+def test_query_catches_shared_passages_under_400_bytes(spark, tmp_path):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 7)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    passage = prose(52)
+    rows = [(i, f"{prose(80)} {passage} {prose(60)}") for i in range(8)] + [(100 + i, prose(150)) for i in range(8)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op6_run_length_index(spark, str(tmp_path)).collect()}
+    assert len(passage) < 398 and all(r["n_removed"] == 0 and r["n_kept"] == r["n_bytes"] for r in got.values())
+    assert [i for i, r in got.items() if passage in r["text"]] == [0]
+    assert all(got[i]["text"] == t and got[i]["n_shared"] == 0 for i, t in rows if i == 0 or i >= 100)
+    assert all(got[i]["n_passages"] == 1 and got[i]["n_shared"] >= len(passage) for i in range(1, 8))
+
+
 def test_very_long_texts(spark):
     """Texts of many pieces: periodic, without repeats, and two that share a passage across a piece's edge."""
     rng = np.random.default_rng(5)
